@@ -134,3 +134,19 @@ def neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]
         on = on & F.col(g).eqNullSafe(F.col(f"_n_{g}"))
     j = numbered.join(other, on, "left")
     return j.select(*[F.col(c) for c in df.columns], *[F.col(f"{prefix}{c}") for c in cols])
+
+
+def chunked_lists(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], items: Column,
+                  chunk: int = 1000, partitions: int | None = None) -> DataFrame:
+    """Ordered item lists per group, cut into rows of at most ``chunk`` items.
+
+    A plain ``collect_list`` per group would build one unbounded value in one
+    task for a hot group; numbering the rows first (skew-safe) and grouping by
+    ``(group, chunk_no)`` bounds every list.  Output: group columns, CHUNK_NO,
+    N_ITEMS, ITEMS (array in ``order``).
+    """
+    n = row_number_by(df.withColumn("_item", items), group, order, "_pos", partitions)
+    g = n.groupBy(*group, F.floor((F.col("_pos") - 1) / F.lit(chunk)).cast("bigint").alias("CHUNK_NO"))
+    agg = g.agg(F.count(F.lit(1)).alias("N_ITEMS"),
+                F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col("_item")))).alias("_s"))
+    return agg.select(*group, "CHUNK_NO", "N_ITEMS", F.transform("_s", lambda s: s["_item"]).alias("ITEMS"))
