@@ -1 +1,86 @@
-"""placeholder"""
+"""Driver queries for graph capacity allocation (E*)."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotline.operators import allocate as A
+from lotline.plans.oracle_views import with_views
+from lotline.plans.registry import register
+from lotline.sources import views as V
+from lotline.sources.tables import table
+
+
+def graph(spark: SparkSession, d: str):
+    return A.build_graph(V.graph_nodes(spark, d), V.graph_edges(spark, d))
+
+
+def cap_as_free(nodes: DataFrame) -> DataFrame:
+    return nodes.select("NODE_ID", "CAP", F.col("CAP").alias("FREE"))
+
+
+@register("e1_build_graph", with_views("""
+WITH ends AS (SELECT SRC AS NODE_ID FROM graph_edges UNION SELECT DST FROM graph_edges),
+n AS (SELECT NODE_ID, arg_max(CAP, SEQ) AS CAP FROM graph_nodes GROUP BY ALL
+      UNION ALL SELECT NODE_ID, 0 FROM ends WHERE NODE_ID NOT IN (SELECT NODE_ID FROM graph_nodes)),
+adj AS (SELECT SRC AS a, DST AS b FROM graph_edges UNION SELECT DST, SRC FROM graph_edges)
+SELECT n.NODE_ID, n.CAP, count(adj.b) AS DEGREE FROM n LEFT JOIN adj ON adj.a = n.NODE_ID GROUP BY ALL""",
+                                       "graph_nodes", "graph_edges"))
+def e1(spark: SparkSession, d: str) -> DataFrame:
+    nodes, adj = graph(spark, d)
+    deg = adj.groupBy("NODE_ID").agg(F.count(F.lit(1)).alias("DEGREE"))
+    return nodes.join(deg, "NODE_ID", "left").select("NODE_ID", "CAP", F.coalesce("DEGREE", F.lit(0)).alias("DEGREE"))
+
+
+def usage(spark: SparkSession, d: str) -> DataFrame:
+    """Slots already in use: customers with a negative balance, by c_custkey % (n + 5)."""
+    n = table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("_n"))
+    c = table(spark, d, "customer").where(F.col("c_acctbal") < 0).select("c_custkey").crossJoin(F.broadcast(n))
+    return c.groupBy((F.col("c_custkey") % (F.col("_n") + 5)).alias("NODE_ID")).agg(F.count(F.lit(1)).alias("USED"))
+
+
+@register("e2_free_capacity", with_views("""
+WITH u AS (SELECT c_custkey % ((SELECT count(*) FROM supplier) + 5) AS NODE_ID, count(*) AS USED
+           FROM customer WHERE c_acctbal < 0 GROUP BY ALL)
+SELECT g.NODE_ID, g.CAP, coalesce(u.USED, 0) AS USED, greatest(0, least(g.CAP, g.CAP - coalesce(u.USED, 0))) AS FREE
+FROM graph_nodes g LEFT JOIN u USING (NODE_ID)""", "graph_nodes"))
+def e2(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = graph(spark, d)
+    return A.free_capacity(nodes, usage(spark, d))
+
+
+@register("e3_one_hop_allocation", None)
+def e3(spark: SparkSession, d: str) -> DataFrame:
+    nodes, adj = graph(spark, d)
+    return A.allocate_one_hop(V.graph_requests(spark, d), cap_as_free(nodes), adj)
+
+
+@register("e4_bfs_order", None)
+def e4(spark: SparkSession, d: str) -> DataFrame:
+    nodes, adj = graph(spark, d)
+    starts = nodes.select(F.col("NODE_ID").alias("START_ID"))
+    return A.bfs_ranks(starts, cap_as_free(nodes), adj).select("START_ID", "NODE_ID", "RANK", "LEVEL")
+
+
+@register("e5_components", with_views("""
+WITH RECURSIVE adj AS (SELECT SRC AS a, DST AS b FROM graph_edges UNION SELECT DST, SRC FROM graph_edges),
+r AS (SELECT NODE_ID AS s, NODE_ID AS v FROM graph_nodes
+      UNION SELECT r.s, adj.b FROM r JOIN adj ON adj.a = r.v)
+SELECT v AS NODE_ID, min(s) AS COMP FROM r GROUP BY ALL""", "graph_nodes", "graph_edges"))
+def e5(spark: SparkSession, d: str) -> DataFrame:
+    nodes, adj = graph(spark, d)
+    return A.components(nodes.select("NODE_ID"), adj)
+
+
+@register("e6_allocate_requests", None)
+def e6(spark: SparkSession, d: str) -> DataFrame:
+    nodes, adj = graph(spark, d)
+    return A.allocate_bfs(V.graph_requests(spark, d), cap_as_free(nodes), adj)
+
+
+@register("e7_remaining_capacity", None)
+def e7(spark: SparkSession, d: str) -> DataFrame:
+    nodes, adj = graph(spark, d)
+    free = cap_as_free(nodes)
+    got = A.allocate_bfs(V.graph_requests(spark, d), free, adj)
+    return A.remaining(free, got)
