@@ -73,9 +73,9 @@ def variant_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def variant_is_fraction(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    return kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+def variant_is_string(v: Column) -> Column:
+    """True for a JSON string (its JSON text starts with a quote); cheaper than a schema probe."""
+    return F.substring(F.to_json(v), 1, 1) == F.lit('"')
 
 
 def guid_to_bytes(text: Column) -> Column:
@@ -109,7 +109,7 @@ def coerce_lenient(v: Column, target: str) -> Column:
     if t in ("int", "bigint", "long"):
         st = "int" if t == "int" else "bigint"
         num = F.try_variant_get(v, "$", "decimal(38,10)")
-        return F.when(variant_is_fraction(v), F.bround(num, 0).try_cast(st)).otherwise(txt.try_cast(st))
+        return F.when(variant_is_string(v), txt.try_cast(st)).otherwise(F.bround(num, 0).try_cast(st))
     if t.startswith("decimal") or t == "double":
         return txt.try_cast(t)
     if t in ("timestamp", "timestamp_ntz"):

@@ -19,12 +19,19 @@ Only loop counters reach the driver; each round is checkpointed.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline import frames
 
 R_UNKNOWN_START = "unknown start"
+_LOG = logging.getLogger("lotline.allocate")
+
+
+def _log(msg: str) -> None:
+    _LOG.debug(msg)
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +78,7 @@ def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 200) -> DataF
             jumped = jumped.join(ref, F.col("LABEL") == F.col("_ln"), "left").select(
                 "NODE_ID", F.least("LABEL", F.coalesce("_ll", "LABEL")).alias("LABEL"))
         new = frames.checkpoint(jumped)
+        _log("components: round")
         changed = new.join(lab.withColumnRenamed("LABEL", "_old"), "NODE_ID").where(
             F.col("LABEL") != F.col("_old")).limit(1).count()
         lab = new
@@ -111,10 +119,13 @@ def bfs_ranks(starts: DataFrame, free: DataFrame, adj: DataFrame, max_levels: in
         first = ex.groupBy("START_ID", "NODE_ID").agg(F.min(F.struct("_prank", "EDGE_SEQ")).alias("_d"))
         first = first.select("START_ID", "NODE_ID", F.col("_d._prank").alias("_prank"), F.col("_d.EDGE_SEQ").alias("_es"))
         base = visited.groupBy("START_ID").agg(F.max("RANK").alias("_base"))
-        numbered = frames.row_number_by(first, ["START_ID"], ["_prank", "_es", "NODE_ID"], "_lr")
+        # one level of one start: bounded by the component size
+        numbered = first.withColumn("_lr", F.row_number().over(
+            Window.partitionBy("START_ID").orderBy("_prank", "_es", "NODE_ID")))
         new = numbered.join(base, "START_ID").select(
             "START_ID", "NODE_ID", (F.col("_base") + F.col("_lr")).alias("RANK"), F.lit(level).alias("LEVEL"))
         new = frames.checkpoint(new)
+        _log(f"bfs: level {level}")
         if new.isEmpty():
             break
         visited = frames.checkpoint(visited.unionByName(new))
@@ -144,6 +155,7 @@ def deferred_acceptance(cand: DataFrame, free: DataFrame, max_rounds: int = 100_
     state = frames.checkpoint(c.select("REQ_NO").distinct().select(
         "REQ_NO", F.lit(0).cast("long").alias("LAST_RANK"), F.lit(None).cast(c.schema["NODE_ID"].dataType).alias("HELD"),
         F.lit(False).alias("DONE")))
+    rounds = 0
     for _ in range(max_rounds):
         held = state.where(F.col("HELD").isNotNull())
         node_state = held.groupBy(F.col("HELD").alias("NODE_ID")).agg(
@@ -155,10 +167,14 @@ def deferred_acceptance(cand: DataFrame, free: DataFrame, max_rounds: int = 100_
         prop = opts.groupBy("REQ_NO").agg(F.min(F.struct("RANK", "NODE_ID")).alias("_p")).select(
             "REQ_NO", F.col("_p.NODE_ID").alias("NODE_ID"), F.col("_p.RANK").alias("RANK"))
         prop = frames.checkpoint(prop)
+        rounds += 1
         if prop.isEmpty():
             break
         pool = held.select("REQ_NO", F.col("HELD").alias("NODE_ID"), F.col("LAST_RANK").alias("RANK")).unionByName(prop)
-        ranked = frames.row_number_by(pool, ["NODE_ID"], ["REQ_NO"], "_pos").join(fr, "NODE_ID")
+        # per node the pool is its holders plus this round's proposers: at most the
+        # served requests of its component, i.e. bounded by the component's free slots
+        ranked = pool.withColumn("_pos", F.row_number().over(Window.partitionBy("NODE_ID").orderBy("REQ_NO"))).join(
+            fr, "NODE_ID")
         kept = ranked.select("REQ_NO", F.col("RANK").alias("LAST_RANK"),
                              F.when(F.col("_pos") <= F.col("FREE"), F.col("NODE_ID")).alias("HELD"))
         # unassigned requests without a proposal this round have no usable candidate left
@@ -169,6 +185,7 @@ def deferred_acceptance(cand: DataFrame, free: DataFrame, max_rounds: int = 100_
         state = frames.checkpoint(kept.withColumn("DONE", F.lit(False)).unionByName(rest))
     else:
         raise RuntimeError("allocation did not converge")
+    _log(f"deferred acceptance: {rounds} rounds")
     return state.where(F.col("HELD").isNotNull()).select("REQ_NO", F.col("HELD").alias("NODE_ID"))
 
 

@@ -23,7 +23,7 @@ R_PAYLOAD = "payload not an object"
 R_UNKNOWN_TABLE = "unknown table"
 
 
-ENVELOPE_SCHEMA = "Table string, Key string, Payload variant, Ts string, _corrupt string"
+ENVELOPE_SCHEMA = "Table string, Key string, Payload map<string,variant>, Ts string, _corrupt string"
 _ENV_COLS = ("_e_table", "_e_key", "_e_payload", "_e_ts", "_e_corrupt")
 
 
@@ -33,22 +33,23 @@ def decode_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
     A missing Table or a Payload that is not an object gives a reason (the row
     leaves the main flow); a missing or null Payload is an empty object.
 
-    The body is parsed exactly once per row: ``from_json`` yields one struct
-    that a one-element ``inline`` turns into columns.  The Generate also keeps
-    the optimizer from pushing the reason filter below the parse, which would
-    re-evaluate the parse once per reference.
+    The body is parsed exactly once per row on the common path: ``from_json``
+    reads the payload straight into ``map<string,variant>`` (JSON numbers and
+    strings stay distinct for coercion) and a one-element ``inline`` turns
+    the struct into columns.  The Generate also keeps the optimizer from
+    pushing the reason filter below the parse, which would re-evaluate it per
+    reference.  Only rows the parser flags as corrupt are looked at again, to
+    tell broken JSON from a payload that is not an object.
     """
     env = F.from_json(F.col(body), ENVELOPE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
     x = df.select("*", F.inline(F.array(env)).alias(*_ENV_COLS))
-    p = F.col("_e_payload")
-    p_kind = F.schema_of_variant(p)
-    missing_payload = p.isNull() | (p_kind == "VOID")
     b = F.col(body)
-    reason = (F.when(b.isNull() | (F.trim(b) == "") | F.col("_e_corrupt").isNotNull(), F.lit(R_NOT_JSON))
-              .when(F.col("_e_table").isNull(), F.lit(R_NO_TABLE))
-              .when(~missing_payload & ~p_kind.startswith("OBJECT"), F.lit(R_PAYLOAD)))
-    payload = F.when(missing_payload, F.create_map().cast("map<string,variant>")).otherwise(
-        F.try_variant_get(p, "$", "map<string,variant>"))
+    corrupt = F.col("_e_corrupt").isNotNull()
+    reason = (F.when(b.isNull() | (F.trim(b) == ""), F.lit(R_NOT_JSON))
+              .when(corrupt & F.col("_e_table").isNull(), F.lit(R_NOT_JSON))
+              .when(corrupt, F.when(F.try_parse_json(b).isNull(), F.lit(R_NOT_JSON)).otherwise(F.lit(R_PAYLOAD)))
+              .when(F.col("_e_table").isNull(), F.lit(R_NO_TABLE)))
+    payload = F.coalesce(F.col("_e_payload"), F.create_map().cast("map<string,variant>"))
     return x.select(
         *[F.col(c) for c in df.columns],
         F.col("_e_table").alias("TABLE_RAW"), norm_table(F.col("_e_table")).alias("TABLE_NAME"),
