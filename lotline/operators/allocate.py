@@ -72,12 +72,13 @@ def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 200) -> DataF
         nb = e.join(lab.withColumnRenamed("NODE_ID", "NBR").withColumnRenamed("LABEL", "_nl"), "NBR")
         hooked = lab.join(nb.groupBy("NODE_ID").agg(F.min("_nl").alias("_m")), "NODE_ID", "left").select(
             "NODE_ID", F.least("LABEL", F.coalesce("_m", "LABEL")).alias("LABEL"))
-        jumped = hooked
+        jumped = frames.checkpoint(hooked)
         for _ in range(2):
+            # each jump reads a checkpointed table, so the self-join plan stays flat
             ref = jumped.select(F.col("NODE_ID").alias("_ln"), F.col("LABEL").alias("_ll"))
-            jumped = jumped.join(ref, F.col("LABEL") == F.col("_ln"), "left").select(
-                "NODE_ID", F.least("LABEL", F.coalesce("_ll", "LABEL")).alias("LABEL"))
-        new = frames.checkpoint(jumped)
+            jumped = frames.checkpoint(jumped.join(ref, F.col("LABEL") == F.col("_ln"), "left").select(
+                "NODE_ID", F.least("LABEL", F.coalesce("_ll", "LABEL")).alias("LABEL")))
+        new = jumped
         _log("components: round")
         changed = new.join(lab.withColumnRenamed("LABEL", "_old"), "NODE_ID").where(
             F.col("LABEL") != F.col("_old")).limit(1).count()
