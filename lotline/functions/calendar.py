@@ -29,3 +29,8 @@ def add_seconds(ts: Column, secs: Column) -> Column:
 
 def add_hours(ts: Column, hours: Column) -> Column:
     return F.timestamp_add("HOUR", hours, ts)
+
+
+def ntz(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a datetime, independent of any time zone setting."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")

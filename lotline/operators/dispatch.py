@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotline import frames
+from lotline.functions.calendar import ntz
 
 # Factor scopes.
 FIXED, STEPTYPE, LOTTYPE = "FIXED", "STEPTYPE", "LOTTYPE"
@@ -104,7 +105,7 @@ def eligible(rows: DataFrame, arrange: DataFrame, keys: Sequence[str], ts: str,
 
 def asof_state(log: DataFrame, keys: Sequence[str], ts: str, tie: str, action: str, asof, keep: str = "add") -> DataFrame:
     """Per key the last action at or before ``asof``; keys whose last action is ``keep``."""
-    g = log.where(F.col(ts) <= F.lit(asof)).groupBy(*keys).agg(
+    g = log.where(F.col(ts) <= (ntz(asof) if hasattr(asof, "isoformat") else F.lit(asof))).groupBy(*keys).agg(
         F.max(F.struct(F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.col(action).alias("_a"))).alias("_last"))
     return g.where(F.col("_last._a") == keep).select(*keys, F.col("_last._ts").alias("LAST_TS"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotline import frames
-from lotline.functions.calendar import hours_between
+from lotline.functions.calendar import hours_between, ntz
 from lotline.operators import dispatch as D
 from lotline.plans import duck
 from lotline.plans.oracle_views import with_views
@@ -56,7 +56,7 @@ def prepared_lots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry() -> dict:
-    now = F.lit(NOW).cast("timestamp_ntz")
+    now = ntz(NOW)
     age = _clamp01(hours_between(F.col("ARRIVAL"), now) / NORM_H)
     return {
         "LOT_AGE": age,
@@ -169,7 +169,7 @@ FROM lots JOIN s USING (EQP_ID, STEP_ID)""", "lots"))
 def d6_d7(spark: SparkSession, d: str) -> DataFrame:
     """D6 elapsed-time and D7 time-left factors (our formulas; remaining CT = QTY hours)."""
     lots = V.lots(spark, d)
-    now = F.lit(NOW).cast("timestamp_ntz")
+    now = ntz(NOW)
     s = lots.groupBy("EQP_ID", "STEP_ID").agg(F.min("ARRIVAL").alias("_step_start"))
     j = lots.join(s, ["EQP_ID", "STEP_ID"])
     elapsed = hours_between(F.col("ARRIVAL"), now)
@@ -235,14 +235,14 @@ SELECT LOT_ID, CAST(ARRIVAL <= {_NOW} AS INTEGER) AS ATSTEP,
 FROM lots""", "lots"))
 def d11(spark: SparkSession, d: str) -> DataFrame:
     lots = V.lots(spark, d)
-    now = F.lit(NOW).cast("timestamp_ntz")
+    now = ntz(NOW)
     return lots.select("LOT_ID", (F.col("ARRIVAL") <= now).cast("int").alias("ATSTEP"),
                        (-F.greatest(hours_between(now, F.col("ARRIVAL")) * 60.0, F.lit(0.0))).alias("STEP_ETA"),
                        (-F.when(F.col("HOT"), 30.0).otherwise(0.0)).alias("SWITCH_TIME"))
 
 
 def d12_rules():
-    now_minus_year = F.lit(dt.datetime(2000, 9, 1)).cast("timestamp_ntz")
+    now_minus_year = ntz(dt.datetime(2000, 9, 1))
     return [("HOLD", F.col("QTY") > 20), ("OVERDUE", F.col("DUE") < now_minus_year),
             ("LOW_PRIORITY", F.col("STEP_ID") == "5-LOW")]
 
@@ -367,7 +367,7 @@ FROM c LEFT JOIN lim ON lim.f = c.FROM_AREA AND lim.t2 = c.TO_AREA""")
 def d18(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(
         "event_id", (F.col("user_id") % 3).alias("FROM_AREA"), F.col("event_type").alias("TO_AREA"),
-        F.timestamp_diff("SECOND", F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col("ts")).alias("t"))
+        F.timestamp_diff("SECOND", ntz(dt.datetime(1970, 1, 1)), F.col("ts")).alias("t"))
     c = D.windowed_count(e, ["FROM_AREA", "TO_AREA"], "t", "event_id", 3600)
     lim = spark.createDataFrame(AREA_LIMITS, "FROM_AREA long, TO_AREA string, LIM int")
     j = c.join(F.broadcast(lim), ["FROM_AREA", "TO_AREA"], "left")

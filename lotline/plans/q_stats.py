@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotline import frames
-from lotline.functions.calendar import shop_day
+from lotline.functions.calendar import ntz, shop_day
 from lotline.operators import stats as S
 from lotline.plans.oracle_views import with_views
 from lotline.plans.registry import register
@@ -306,7 +306,7 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     j = x.join(a, (F.col("ROUTE_ID") == F.col("_a_route")) & (F.col("_a_seq") == F.col("TARGET_SEQ") - 1))
     j = j.join(b, (F.col("ROUTE_ID") == F.col("_b_route")) & (F.col("_b_seq") == F.col("CUR_SEQ") - 1), "left")
     rem = F.col("_a") - F.coalesce(F.col("_b"), F.lit(0))
-    eta = F.timestamp_add("MICROSECOND", (rem * 3_600_000_000).cast("long"), F.lit(V.NOW).cast("timestamp_ntz"))
+    eta = F.timestamp_add("MICROSECOND", (rem * 3_600_000_000).cast("long"), ntz(V.NOW))
     return j.select("LOT_ID", "ROUTE_ID", "CUR_SEQ", "TARGET_SEQ", rem.alias("REMAIN_TO_TARGET"), eta.alias("ETA"),
                     (F.col("CUR_SEQ") != F.col("TARGET_SEQ")).alias("UPSTREAM"))
 

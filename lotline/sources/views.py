@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotline import frames
-from lotline.functions.calendar import add_hours, add_seconds
+from lotline.functions.calendar import add_hours, add_seconds, ntz
 from lotline.sources.tables import table
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
@@ -134,8 +134,8 @@ def arrange(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_type").alias("RECIPE_ID"), even.alias("_even"),
     ).select(
         "PART_ID", "STEP_SEQ", ((F.col("PART_ID") + F.col("STEP_SEQ")) % 100).alias("EQP_ID"), "RECIPE_ID",
-        F.when(F.col("_even"), F.lit(dt.datetime(1995, 1, 1))).cast("timestamp_ntz").alias("START_TIME"),
-        F.when(F.col("_even"), F.lit(dt.datetime(1999, 12, 31))).cast("timestamp_ntz").alias("END_TIME"),
+        F.when(F.col("_even"), ntz(dt.datetime(1995, 1, 1))).alias("START_TIME"),
+        F.when(F.col("_even"), ntz(dt.datetime(1999, 12, 31))).alias("END_TIME"),
     )
 
 
