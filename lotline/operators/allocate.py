@@ -199,9 +199,10 @@ def allocate_bfs(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFr
     comp = components(nodes, adj)
     cap = free.join(comp, "NODE_ID").groupBy("COMP").agg(F.sum("FREE").alias("_C"))
     r = requests.join(comp.withColumnRenamed("NODE_ID", "START_ID"), "START_ID")
-    r = frames.row_number_by(r, ["COMP"], ["REQ_NO"], "_pos").join(cap, "COMP")
-    served = r.where(F.col("_pos") <= F.col("_C"))
-    need = served.groupBy("START_ID").agg(F.max("_pos").alias("NEED"))
+    # materialised once: every BFS level and the candidate join read it
+    r = frames.checkpoint(frames.row_number_by(r, ["COMP"], ["REQ_NO"], "_pos").join(cap, "COMP"))
+    served = frames.checkpoint(r.where(F.col("_pos") <= F.col("_C")))
+    need = frames.checkpoint(served.groupBy("START_ID").agg(F.max("_pos").alias("NEED")))
     ranks = bfs_ranks(need, free, adj)
     cand = served.select("REQ_NO", "START_ID", "_pos").join(ranks, "START_ID").where(
         F.col("CUM_FREE") - F.col("FREE") < F.col("_pos")).select("REQ_NO", "NODE_ID", "RANK")
