@@ -21,6 +21,7 @@ order (ties broken by a unique column).
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark, name: str) -> str:
+    """A fresh path for an intermediate table, in the shared checkpoint folder."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/lotline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage through a Parquet table in the shared checkpoint folder.
+
+    Like :func:`checkpoint`, but columnar and compressed, so later reads are
+    pruned to the columns they use, and a lost executor costs a re-read only.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_scratch(spark) -> None:
+    """Delete every intermediate table of this application.
+
+    Lazy results may still read them: call it once the results are written.
+    """
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/lotline-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], cols: Sequence[str],
               offset: int = 1, prefix: str = "next_", partitions: int | None = None) -> DataFrame:
     """Skew-safe ``lead``/``lag``: ``offset=1`` is the next row, ``-1`` the previous.
