@@ -3,17 +3,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotline.llm import minhash
+from lotline.llm import minhash, quality
 from lotline.sources.tables import table
 
 
+def _remainder(by: int) -> Column:
+    """``crc32(doc_id as text) mod by``; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+def _held_out(by: int, remainder: int) -> Column:
+    return F.coalesce(_remainder(by) == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                   _remainder(3) != 1)
+    return scored.select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fourier": op1_quality_fourier,
     "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
 }
 
