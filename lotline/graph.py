@@ -25,7 +25,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("src").agg(F.min("dst").alias("_m")).select(
         F.col("src"), F.least("src", "_m").alias("_m"))
     return (both.join(least, "src").where("dst > src")
-            .select(F.col("dst").alias("src"), F.col("_m").alias("dst")).distinct())
+            .select(F.col("dst").alias("src"), F.col("_m").alias("dst")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
