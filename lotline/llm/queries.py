@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import decontaminate, minhash, quality, secrets
+from lotline.llm import bpe, decontaminate, minhash, quality, secrets
 from lotline.sources.tables import table
 
 
@@ -77,11 +77,19 @@ def op8_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op9_bpe_trie(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier": op1_quality_fourier,
     "op2_decontaminate_prefix": op2_decontaminate_prefix,
     "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
     "op8_secrets_markov": op8_secrets_markov,
+    "op9_bpe_trie": op9_bpe_trie,
 }
 
 #: DuckDB SQL by query; the queries without an entry are tested by brute force in ``tests/llm``.
