@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, decontaminate, minhash, quality, secrets
+from lotline.llm import bpe, decontaminate, langid, minhash, quality, secrets
 from lotline.sources.tables import table
 
 
@@ -68,6 +68,11 @@ def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_langid_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), _remainder(4) != 2)
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def op8_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier": op1_quality_fourier,
     "op2_decontaminate_prefix": op2_decontaminate_prefix,
     "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
+    "op5_langid_bayes": op5_langid_bayes,
     "op8_secrets_markov": op8_secrets_markov,
     "op9_bpe_trie": op9_bpe_trie,
 }
