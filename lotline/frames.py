@@ -122,14 +122,21 @@ def scratch_path(spark, name: str) -> str:
     return f"{root}/lotline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def tasks_for(rows: int, per_task: int = 20_000, least: int = 12) -> int:
+    """How many tasks (and files) suit this many rows."""
+    return max(least, -(-rows // per_task))
+
+
+def written(df: DataFrame, name: str = "table", tasks: int | None = None) -> DataFrame:
     """Cut lineage through a Parquet table in the shared checkpoint folder.
 
     Like :func:`checkpoint`, but columnar and compressed, so later reads are
     pruned to the columns they use, and a lost executor costs a re-read only.
+    With ``tasks``, partitions are put together into that many at most, so that
+    a table far smaller than the shuffle's partitions is not as many files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

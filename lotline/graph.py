@@ -35,18 +35,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("_m", "dst")).distinct()
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", tasks: int | None = None) -> DataFrame:
     """``(id, component)`` for every node with a link to another node.
 
     ``component`` is the smallest id that is reachable.  Null ends and loops
     are ignored, repeated edges count once; an empty input gives no rows.
+    ``tasks`` bounds the files of each round's table (see ``frames.written``).
     """
     e = edges.where(F.col(src) != F.col(dst)).select(
         F.greatest(src, dst).alias("src"), F.least(src, dst).alias("dst")).distinct()
-    e = written(e, "edges")
+    e = written(e, "edges", tasks)
     before = _signature(e)
     while before[0]:
-        e = written(_small_star(_large_star(e)), "edges")
+        e = written(_small_star(_large_star(e)), "edges", tasks)
         after = _signature(e)
         if after == before:
             break
