@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, decontaminate, langid, minhash, quality, secrets
+from lotline.llm import bpe, decontaminate, langid, minhash, quality, secrets, toxicity
 from lotline.sources.tables import table
 
 
@@ -73,6 +73,12 @@ def op5_langid_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
+def op7_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                     _remainder(4) != 2)
+    return scored.select("doc_id", _held_out(4, 2), "score", "predicted")
+
+
 def op8_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate_prefix": op2_decontaminate_prefix,
     "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
     "op5_langid_bayes": op5_langid_bayes,
+    "op7_toxicity_compression": op7_toxicity_compression,
     "op8_secrets_markov": op8_secrets_markov,
     "op9_bpe_trie": op9_bpe_trie,
 }
