@@ -1,22 +1,24 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
 1. One pass over the texts gives each document its number of distinct word
-   shingles, a digest of that set, MinHash samples joined to ``bands`` keys,
-   and an odd sketch: every sample ``(i, min_i)`` flips one bit of a parity
-   bitmap, so that samples two documents share cancel in the XOR of their
-   bitmaps and its population count estimates a high similarity precisely.
+   shingles, a digest of that set, ``bands`` keys of MinHash minima, and an odd
+   sketch of its k minimum hashes: every sample flips one bit of a parity
+   bitmap.  Samples that two documents share cancel in the XOR of the bitmaps,
+   whose population count thus estimates a high similarity precisely.  The
+   samples are all hashes below a power of two that leaves ``SAMPLES`` at most;
+   a second bitmap one power lower lets neighbouring sizes be compared.
 2. Documents with equal sets become one class (its smallest id).
 3. In every bucket of classes with a band in common, each class is compared
    with one centre, not with all others.  Links found join classes to
    components.
 4. Then only classes of *different* components in one bucket are compared, so
-   a large group of copies costs a row per copy.  While many such pairs are
-   left, another round of centres comes first; the last step compares all of
-   the rest, so no candidate of a bucket is left out.
+   a large group of copies costs a row per copy.  While another round of
+   centres would leave far fewer such pairs, it comes first; the last step
+   compares all of the rest, so no candidate of a bucket is left out.
 5. A pair is compared by lengths and sketches first, then by its full sets.
 
-With 51 bands of 5 samples a pair of similarity 0.75 shares no band with
-probability 1e-6; the sketch test keeps such a pair up to six deviations.
+With 51 bands of 5 minima a pair of similarity 0.75 shares no band with
+probability 1e-6, and the sketch test keeps it up to 4.5 deviations.
 """
 from __future__ import annotations
 
@@ -29,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotline.frames import written
+from lotline.frames import tasks_for, written
 from lotline.graph import components
 from lotline.llm import textnum as tn
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 51, 5
-SKETCH_LONGS = 16
+SAMPLES, SKETCH_LONGS = 1024, 16
 #: Ids of texts to read again are broadcast up to this number, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _BITS = SKETCH_LONGS * 64
@@ -82,12 +84,12 @@ def _signer(width: int, bands: int, per_band: int):
     def sign(batches):
         for batch in batches:
             buf, off = tn.utf8(batch.column(1))
-            out: dict[str, list] = {"n": [], "d1": [], "d2": [], "bands": [], "sketch": []}
+            out: dict[str, list] = {c: [] for c in ("n", "d1", "d2", "bands", "level", "s0", "s1", "sketch")}
             for i, j in tn.blocks(off):
                 for s in shingle_sets(buf[off[i]:off[j]], off[i:j + 1] - off[i], width):
                     out["n"].append(len(s))
                     if not len(s):
-                        for k in ("d1", "d2"):
+                        for k in ("d1", "d2", "level", "s0", "s1"):
                             out[k].append(0)
                         for k in ("bands", "sketch"):
                             out[k].append(None)
@@ -99,13 +101,21 @@ def _signer(width: int, bands: int, per_band: int):
                     for r in mins.reshape(bands, per_band).T:
                         key = tn.mix(key + r)
                     out["bands"].append(key.view(np.int64))
-                    odd = np.bincount((mins >> np.uint64(40)).astype(np.int64) % _BITS, minlength=_BITS) & 1
-                    out["sketch"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    level = max(0, math.ceil(math.log2(len(s) / SAMPLES)))
+                    out["level"].append(level)
+                    bits = []
+                    for k in (0, 1):
+                        below = s if level + k == 0 else s[:np.searchsorted(s, np.uint64(1 << (64 - level - k)))]
+                        out[f"s{k}"].append(len(below))
+                        odd = np.bincount((tn.mix(below) >> np.uint64(40)).astype(np.int64) % _BITS, minlength=_BITS)
+                        bits.append(np.packbits((odd & 1).astype(np.uint8)).view(np.int64))
+                    out["sketch"].append(np.concatenate(bits))
             longs = pa.list_(pa.int64())
+            numbers = ("n", "d1", "d2", "level", "s0", "s1")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["d1"], pa.int64()),
-                 pa.array(out["d2"], pa.int64()), pa.array(out["bands"], longs), pa.array(out["sketch"], longs)],
-                names=["id", "n", "d1", "d2", "bands", "sketch"])
+                [batch.column(0), *[pa.array(out[c], pa.int64()) for c in numbers],
+                 pa.array(out["bands"], longs), pa.array(out["sketch"], longs)],
+                names=["id", *numbers, "bands", "sketch"])
     return sign
 
 
@@ -120,36 +130,36 @@ def _sets(width: int):
     return read
 
 
-def sketch_limit(similarity: float, samples: int, bits: int = _BITS) -> int:
-    """The largest XOR count of a pair of this similarity, six deviations up.
+def _alike(percent: int, deviations: float = 4.5) -> Column:
+    """Lengths and sketches of ``a`` and ``b`` allow the similarity.
 
-    Each of the ``2 d`` samples that differ flips a bit; ``d`` is binomial, and
-    the parity of a bit after ``2 d`` random flips is odd with probability
-    ``(1 - (1 - 2 / bits) ** (2 d)) / 2``.
+    At similarity J, two samples of S hashes together differ in
+    ``S (1 - J) / (1 + J)``; where the sample is not the whole set, that number
+    is binomial.  After D flips in a bitmap of N bits, the expected odd bits
+    are ``N/2 (1 - (1 - 2/N)^D)``, and their variance is that of a parity count.
     """
-    d = samples * (1 - similarity)
-    d += 6 * math.sqrt(samples * similarity * (1 - similarity))
-    odd = (1 - (1 - 2 / bits) ** (2 * d)) / 2
-    return math.ceil(bits * odd + 6 * math.sqrt(bits * odd * (1 - odd)) / 2)
+    q = (100 - percent) / (100 + percent)
+    spread = (100 - percent) / 100 * percent / 100 / (1 + percent / 100)
+    size = "(if(level_a >= level_b, s0_a, s1_a) + if(level_b >= level_a, s0_b, s1_b))"
+    flips = f"({q!r}D * {size} + if(greatest(level_a, level_b) = 0, 0D, {deviations} * sqrt({spread!r}D * {size})))"
+    one, two = f"pow({1 - 2 / _BITS!r}D, {flips})", f"pow({1 - 4 / _BITS!r}D, {flips})"
+    deviation = f"sqrt(greatest(0D, {_BITS / 4} * (1 - {two}) + {_BITS ** 2 / 4} * ({two} - {one} * {one})))"
+    odd = " + ".join(f"bit_count(if(level_a >= level_b, sketch_a[{k}], sketch_a[{k + SKETCH_LONGS}]) "
+                     f"^ if(level_b >= level_a, sketch_b[{k}], sketch_b[{k + SKETCH_LONGS}]))" for k in range(SKETCH_LONGS))
+    return F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and abs(level_a - level_b) <= 1 "
+                  f"and {odd} <= {_BITS / 2} * (1 - {one}) + {deviations} * {deviation} + 1")
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(SKETCH_LONGS)))
+_SKETCH = ("n", "level", "s0", "s1", "sketch")
 
 
-def _alike(a: str, b: str, percent: int, limit: int) -> Column:
-    """Lengths and sketches allow the similarity: ``a``, ``b`` name n and sketch columns."""
-    return (F.expr(f"100 * least(n_{a}, n_{b}) >= {percent} * greatest(n_{a}, n_{b})")
-            & (_distance(f"sketch_{a}", f"sketch_{b}") <= limit))
+def _end(reps: DataFrame, x: str, *more: Column) -> DataFrame:
+    return reps.select(F.col("class_id").alias(x), *more, *[F.col(c).alias(f"{c}_{x}") for c in _SKETCH])
 
 
-def _end(reps: DataFrame, x: str) -> DataFrame:
-    return reps.select(F.col("class_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the similarity, as a written table."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", tasks)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     kind = texts.schema["id"].dataType
     sets = written(texts.join(wanted, "id", "left_semi").mapInArrow(
@@ -158,12 +168,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
               .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
               .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
                       F.size(F.array_intersect("sa", "sb")).alias("both")))
-    return written(joined.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct(), "links")
+    return written(joined.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct(), "links", tasks)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75,
                     width: int = SHINGLE_WORDS, bands: int = BANDS, per_band: int = ROWS,
-                    pairs_per_row: float = 2.0, max_star_rounds: int = 4) -> DataFrame:
+                    pairs_per_row: float = 8.0, worth: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lowered.
@@ -173,68 +183,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked copies; an id that repeats with other text is one node with the
     links of all its texts.  A row with a null id joins no links: its component
     is null and it is kept.  An empty table gives no rows; other columns of
-    ``docs`` are ignored.
+    ``docs`` are ignored.  Another round of centres is taken while more than
+    ``pairs_per_row`` pairs a class are left and the last round brought their
+    number down to ``worth`` times what it was.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     longs = T.ArrayType(T.LongType())
     sigs = written(texts.mapInArrow(_signer(width, bands, per_band), T.StructType(
         [T.StructField("id", texts.schema["id"].dataType)]
-        + [T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")]
+        + [T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "level", "s0", "s1")]
         + [T.StructField(c, longs) for c in ("bands", "sketch")])), "signatures")
+    tasks = tasks_for(sigs.count())
     real = sigs.where("id is not null and n > 0")
-    classes = written(real.groupBy("d1", "d2").agg(F.min("id").alias("class_id")), "classes")
+    classes = written(real.groupBy("d1", "d2").agg(F.min("id").alias("class_id")), "classes", tasks)
     reps = written(real.join(classes, ["d1", "d2"]).where("id = class_id")
-                   .select("class_id", "n", "bands", "sketch"), "representatives")
+                   .select("class_id", "bands", *_SKETCH), "representatives", tasks)
     keys = reps.select(F.explode("bands").alias("key"), "class_id")
-    buckets = written(keys.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-                      .where("low < high"), "buckets")
-    rows = written(keys.join(buckets.select("key"), "key", "left_semi"), "band_rows")
-    limit = sketch_limit(percent / 100, bands * per_band)
+    buckets = written(keys.groupBy("key").agg(
+        F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count(F.lit(1)).alias("c"))
+        .where("low < high"), "buckets", tasks)
+    rows = written(keys.join(buckets.select("key"), "key", "left_semi"), "band_rows", tasks)
+    alike = _alike(percent)
     texts = texts.where("id is not null")
 
     centres = buckets.select("key", F.col("low").alias("b"))
-    labels = None
-    links = None
-    for turn in range(max_star_rounds + 1):
+    links, turn = None, 0
+    pairs_before = buckets.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0] or 0
+    while True:
         if centres is not None:
             pairs = rows.join(centres, "key").where("class_id <> b").select(F.col("class_id").alias("a"), "b").distinct()
         else:
-            left = rest.select("key", F.col("class_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("n_a"),
-                               F.col("sketch").alias("sketch_a"))
-            right = rest.select("key", F.col("class_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n_b"),
-                                F.col("sketch").alias("sketch_b"))
-            pairs = (left.join(right, (left["key"] == right["key"]) & (F.col("la") < F.col("lb"))
-                               & _alike("a", "b", percent, limit)).select("a", "b").distinct())
+            left = _end(rest, "a", "key", F.col("label").alias("la"), F.col("bands").alias("bands_a"))
+            right = _end(rest, "b", F.col("key").alias("key_b"), F.col("label").alias("lb"), F.col("bands").alias("bands_b"))
+            # of all buckets that two classes share, the first one gives the pair
+            first = F.expr("array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = array_position(bands_a, key)")
+            pairs = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") < F.col("lb")) & alike & first).select(
+                "a", "b").distinct()
         if centres is not None:
             pairs = (pairs.join(_end(reps, "a"), "a").join(_end(reps, "b"), "b")
-                     .where(_alike("a", "b", percent, limit)).select("a", "b"))
-        found = _confirmed(written(pairs, "pairs"), texts, width, percent)
+                     .where(alike).select("a", "b"))
+        found = _confirmed(written(pairs, "pairs", tasks), texts, width, percent, tasks)
         links = found if links is None else links.unionByName(found)
-        labels = written(components(links, "a", "b"), "labels")
+        labels = written(components(links, "a", "b", tasks), "labels", tasks)
         if centres is None:
             break
         tagged = written(rows.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
-            "key", "class_id", F.coalesce("component", "class_id").alias("label")), "tagged")
+            "key", "class_id", F.coalesce("component", "class_id").alias("label")), "tagged", tasks)
         mixed = written(tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                        .where("low < high").select("key"), "mixed")
-        rows = written(tagged.join(mixed, "key", "left_semi"), "band_rows")
+                        .where("low < high").select("key"), "mixed", tasks)
+        rows = written(tagged.join(mixed, "key", "left_semi"), "band_rows", tasks)
         # pairs of different components: all pairs of a bucket less those within one label
         sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
             F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         total, left_pairs = sizes.agg(F.sum("s"), F.sum(F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).first()
         if not total:
             break
-        if turn + 1 < max_star_rounds and left_pairs > pairs_per_row * reps.count():
+        turn += 1
+        if pairs_per_row * total < left_pairs < worth * pairs_before:
+            pairs_before = left_pairs
             # the centre of the next round: the class with the least hash in each bucket
             centres = written(rows.groupBy("key").agg(F.min(F.struct(
                 F.xxhash64("class_id", F.lit(turn)).alias("h"), "class_id")).alias("m"))
-                .select("key", F.col("m.class_id").alias("b")), "centres")
+                .select("key", F.col("m.class_id").alias("b")), "centres", tasks)
         else:
-            rest = written(rows.join(reps.drop("bands"), "class_id"), "rest")
+            rest = written(rows.join(reps, "class_id"), "rest", tasks)
             centres = None
         rows = rows.select("key", "class_id")
-    member = sigs.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").where(
-        "1 = 1").select("id", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
+    member = sigs.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select(
+        "id", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id"))
     return (member.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "class_id", "id")).alias("component_id"))
