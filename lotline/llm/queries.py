@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, decontaminate, langid, minhash, quality, secrets, toxicity
+from lotline.llm import bpe, decontaminate, langid, licenses, minhash, quality, secrets, toxicity, warc
 from lotline.sources.tables import table
 
 
@@ -73,6 +73,23 @@ def op5_langid_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
+def op6_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+sized AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM page),
+keeper AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM sized WHERE payload_bytes >= 1000
+           GROUP BY payload_digest, payload_bytes)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN coalesce(page_id, keeper - 1) < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN coalesce(page_id, keeper - 1) < keeper THEN keeper END AS refers_to
+FROM sized LEFT JOIN keeper USING (payload_digest, payload_bytes)
+"""
+
+
 def op7_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
                                      _remainder(4) != 2)
@@ -95,17 +112,52 @@ def op9_bpe_trie(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licences(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(coalesce({text}, ''), '{licenses.COPYRIGHT}', ' ', 'g')"
+    out = f"trim(regexp_replace(lower({out}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    out = f"regexp_replace({out}, '{licenses.ENDINGS}', '\\1iz\\2', 'g')"
+    for other, usual in licenses.SPELLINGS.items():
+        out = f"replace({out}, '{other}', '{usual}')"
+    return out
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.KNOWN)
+OP10_SQL = f"""
+WITH known AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(k) AS license FROM (VALUES {_KNOWN_SQL}) AS v(k, t)
+               WHERE {_canonical_sql('t')} <> '' GROUP BY 1),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+whole AS (SELECT r, doc_id, sha256({_canonical_sql('text')}) AS digest FROM doc),
+line AS (SELECT r, unnest(string_split_regex(text, '\r?\n')) AS part FROM doc),
+hit AS (SELECT r, license FROM line JOIN known ON sha256({_canonical_sql('part')}) = digest),
+lines AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+ids AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses FROM (
+          SELECT r, license FROM hit UNION SELECT r, license FROM whole JOIN known USING (digest)) AS u GROUP BY r)
+SELECT doc_id, digest AS canonical_sha256, license AS license_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines,
+  coalesce(licenses, '') AS licenses
+FROM whole LEFT JOIN known USING (digest) LEFT JOIN lines USING (r) LEFT JOIN ids USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier": op1_quality_fourier,
     "op2_decontaminate_prefix": op2_decontaminate_prefix,
     "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
     "op5_langid_bayes": op5_langid_bayes,
+    "op6_warc_seekable": op6_warc_seekable,
     "op7_toxicity_compression": op7_toxicity_compression,
     "op8_secrets_markov": op8_secrets_markov,
     "op9_bpe_trie": op9_bpe_trie,
+    "op10_licence_digests": op10_licence_digests,
 }
 
 #: DuckDB SQL by query; the queries without an entry are tested by brute force in ``tests/llm``.
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate_prefix": OP2_SQL,
+    "op6_warc_seekable": OP6_SQL,
+    "op10_licence_digests": OP10_SQL,
 }
