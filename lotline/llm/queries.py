@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, decontaminate, langid, licenses, minhash, quality, secrets, toxicity, warc
+from lotline.llm import bpe, decontaminate, embeddings, langid, licenses, minhash, quality, secrets, toxicity, warc
 from lotline.sources.tables import table
 
 
@@ -68,6 +68,10 @@ def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_langid_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), _remainder(4) != 2)
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
@@ -147,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier": op1_quality_fourier,
     "op2_decontaminate_prefix": op2_decontaminate_prefix,
     "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
+    "op4_embedding_collisions": op4_embedding_collisions,
     "op5_langid_bayes": op5_langid_bayes,
     "op6_warc_seekable": op6_warc_seekable,
     "op7_toxicity_compression": op7_toxicity_compression,
