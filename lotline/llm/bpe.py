@@ -289,10 +289,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def run(batches):
         bpe = _encoder(vocabulary)
         for batch in batches:
+            first, rows, total = 0, [], 0
             for k, pieces in enumerate(_known_strings(bpe, batch.column(1))):
-                ids = [int(i) for strings in pieces for x in strings for i in bpe.id_text[x].split(" ")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.list_(pa.int32()))],
-                                                 names=["id", "input_ids"])
+                text = " ".join([" ".join(map(bpe.id_text.__getitem__, strings)) for strings in pieces])
+                rows.append(np.fromstring(text, np.int32, sep=" "))
+                total += len(rows[-1])
+                if total > PIECE_CHARS or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(rows, pa.list_(pa.int32()))],
+                                                     names=["id", "input_ids"])
+                    first, rows, total = k + 1, [], 0
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, T.StructType(
