@@ -198,6 +198,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                 made = []
         if bundle is not None:
             made += bundle.close()
+        if made:
             yield batch_of(made)
 
     return written(marked.mapInArrow(write, INDEX), "index")
