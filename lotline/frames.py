@@ -96,7 +96,8 @@ def running_by_group(
     for name, (kind, _) in specs.items():
         lv, ov = F.col(f"_l_{name}"), F.col(f"_o_{name}")
         if kind in ("count", "sum"):
-            out.append((F.coalesce(ov, F.lit(0)) + lv).alias(name))
+            # a slice that has had only NULLs so far keeps the sum of the slices before it
+            out.append(F.coalesce(ov + lv, lv, ov).alias(name))
         elif kind == "max":
             out.append(F.greatest(lv, ov).alias(name))
         else:
@@ -154,21 +155,31 @@ def neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]
               offset: int = 1, prefix: str = "next_", partitions: int | None = None) -> DataFrame:
     """Skew-safe ``lead``/``lag``: ``offset=1`` is the next row, ``-1`` the previous.
 
-    Rows get a skew-safe row number, then each row meets its neighbour through
-    an equi-join on ``(group, rn)`` – the join keys are spread evenly even when
-    one group holds most rows.
+    ``lead``/``lag`` inside range-partitioned slices; only a slice's edge row
+    has its neighbour in another slice.  Those edge rows, one per group and
+    slice, are put in order by a window over slices, and the at most one per
+    slice that continues a group is broadcast: no self-join of the rows.
     """
-    numbered = row_number_by(df, group, order, "_rn", partitions)
-    other = numbered.select(
-        *[F.col(g).alias(f"_n_{g}") for g in group],
-        (F.col("_rn") - F.lit(offset)).alias("_n_rn"),
-        *[F.col(c).alias(f"{prefix}{c}") for c in cols],
-    )
-    on = F.col("_rn") == F.col("_n_rn")
+    if offset not in (1, -1):
+        raise ValueError("offset must be 1 or -1")
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group, order_cols = list(group), [_c(o) for o in order]
+    step, back = (F.lead, F.lag) if offset == 1 else (F.lag, F.lead)
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order_cols)
+    item = F.struct(*[F.col(c) for c in cols])
+    x = df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols).withColumn("_slice", F.spark_partition_id())
+    x = checkpoint(x.select("*", step(item).over(inside).alias("_near"),
+                            back(F.lit(1)).over(inside).isNull().alias("_edge")))
+    over = Window.partitionBy(*group).orderBy("_slice")
+    edges = x.where("_edge").select(*group, "_slice", item.alias("_item")).select(
+        *[F.col(g).alias(f"_k_{g}") for g in group], F.col("_slice").alias("_k_slice"),
+        step("_item").over(over).alias("_far")).where(F.col("_far").isNotNull())
+    on = F.col("_slice") == F.col("_k_slice")
     for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"_n_{g}"))
-    j = numbered.join(other, on, "left")
-    return j.select(*[F.col(c) for c in df.columns], *[F.col(f"{prefix}{c}") for c in cols])
+        on = on & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    j = x.join(F.broadcast(edges), on, "left").withColumn("_near", F.coalesce("_near", "_far"))
+    return j.select(*[F.col(c) for c in df.columns], *[F.col(f"_near.{c}").alias(f"{prefix}{c}") for c in cols])
 
 
 def chunked_lists(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], items: Column,

@@ -125,16 +125,15 @@ def strict_date(text: Column) -> Column:
     """DATE rule: ``YYYY-MM-DD`` or ``YYYY-MM-DD[T ]HH:MM:SS``, cut at 19 chars; NULL = bad."""
     s = F.trim(text)
     s = F.when(s.contains("T"), F.substring(F.regexp_replace(s, "T", " "), 1, 19)).otherwise(s)
-    return F.when(s.contains(" "), F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss"))).otherwise(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))
-    ).cast("timestamp_ntz")
+    # checked by shape and cast without a zone: no local time is skipped or shifted
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?$"), s).try_cast("timestamp_ntz")
 
 
 def strict_timestamp(text: Column) -> Column:
     """TIMESTAMP rule: ISO text (a trailing Z is UTC), else the first 19 chars; NULL = bad."""
     s = F.regexp_replace(F.regexp_replace(F.trim(text), "Z$", ""), "T", " ")
     full = s.try_cast("timestamp_ntz")
-    cut = F.try_to_timestamp(F.substring(s, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    cut = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"), F.substring(s, 1, 19)).try_cast("timestamp_ntz")
     return F.coalesce(full, cut)
 
 

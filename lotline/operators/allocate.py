@@ -24,7 +24,7 @@ import logging
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline import frames
+from lotline import frames, graph
 
 R_UNKNOWN_START = "unknown start"
 _LOG = logging.getLogger("lotline.allocate")
@@ -59,80 +59,68 @@ def free_capacity(nodes: DataFrame, used: DataFrame) -> DataFrame:
                     F.greatest(F.lit(0), F.least(F.col("CAP"), F.col("CAP") - u)).alias("FREE"))
 
 
-def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """E5: connected components by min-label propagation with pointer jumping.
+def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
+    """E5: connected components, each labelled by its smallest node id (see ``graph.components``)."""
+    found = graph.components(adj, "NODE_ID", "NBR").select(F.col("id").alias("NODE_ID"), F.col("component").alias("_c"))
+    return frames.checkpoint(nodes.join(found, "NODE_ID", "left").select(
+        "NODE_ID", F.coalesce("_c", "NODE_ID").alias("COMP")))
 
-    Each round a node takes the smallest label among itself and its
-    neighbours, then jumps twice to its label's label.  The fixed point labels
-    every component by its smallest node id.
-    """
-    lab = frames.checkpoint(nodes.select("NODE_ID", F.col("NODE_ID").alias("LABEL")))
-    e = adj.select("NODE_ID", "NBR")
-    for _ in range(max_rounds):
-        nb = e.join(lab.withColumnRenamed("NODE_ID", "NBR").withColumnRenamed("LABEL", "_nl"), "NBR")
-        hooked = lab.join(nb.groupBy("NODE_ID").agg(F.min("_nl").alias("_m")), "NODE_ID", "left").select(
-            "NODE_ID", F.least("LABEL", F.coalesce("_m", "LABEL")).alias("LABEL"))
-        jumped = frames.checkpoint(hooked)
-        for _ in range(2):
-            # each jump reads a checkpointed table, so the self-join plan stays flat
-            ref = jumped.select(F.col("NODE_ID").alias("_ln"), F.col("LABEL").alias("_ll"))
-            jumped = frames.checkpoint(jumped.join(ref, F.col("LABEL") == F.col("_ln"), "left").select(
-                "NODE_ID", F.least("LABEL", F.coalesce("_ll", "LABEL")).alias("LABEL")))
-        new = jumped
-        _log("components: round")
-        changed = new.join(lab.withColumnRenamed("LABEL", "_old"), "NODE_ID").where(
-            F.col("LABEL") != F.col("_old")).limit(1).count()
-        lab = new
-        if changed == 0:
-            return lab.withColumnRenamed("LABEL", "COMP")
-    raise RuntimeError("components did not converge")
-
-
-def bfs_ranks(starts: DataFrame, free: DataFrame, adj: DataFrame, max_levels: int = 10_000) -> DataFrame:
+
+def bfs_ranks(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
     """BFS visiting order from every start (rank 1 = the start itself).
 
-    Level-synchronous: the frontier meets the adjacency list, unseen nodes
-    keep their first discovery ``(parent rank, edge order)``, and ranks
-    continue after the nodes seen so far.  A start with a ``NEED`` column
-    stops expanding once its visited free capacity reaches the need (the
-    rest of its list can never be used).  Output: START_ID, NODE_ID, RANK,
-    LEVEL, FREE, CUM_FREE (free capacity of ranks <= RANK).
+    Level-synchronous until no frontier is left: the frontier meets the
+    adjacency list, unseen nodes keep their first discovery ``(parent rank,
+    edge order)``, and ranks continue after the nodes seen so far.  ``adj`` has
+    every edge both ways (E1), so a neighbour of level L lies in level L-1, L or
+    L+1: new nodes are told from the last two levels alone, and a level is
+    written once.  A start with a ``NEED`` column stops expanding once its
+    visited free capacity reaches the need (the rest of its list can never be
+    used).  Output: START_ID, NODE_ID, RANK, LEVEL, FREE, CUM_FREE (free
+    capacity of ranks <= RANK).
     """
     has_need = "NEED" in starts.columns
     s = starts.select("START_ID", *(["NEED"] if has_need else [])).join(
         free.select(F.col("NODE_ID").alias("START_ID")), "START_ID", "left_semi")
     fr = free.select("NODE_ID", "FREE")
-    visited = frames.checkpoint(s.select("START_ID", F.col("START_ID").alias("NODE_ID"), F.lit(1).cast("long").alias("RANK"),
-                                         F.lit(0).alias("LEVEL")))
-    frontier = visited
-    level = 0
-    while level < max_levels:
+    frontier = frames.checkpoint(s.select("START_ID", F.col("START_ID").alias("NODE_ID"), F.lit(1).cast("long").alias("RANK"),
+                                          F.lit(0).alias("LEVEL")).join(fr, "NODE_ID"))
+    # per start: its last rank and free capacity so far
+    state = frames.checkpoint(frontier.join(s, "START_ID").select(
+        "START_ID", F.lit(1).cast("long").alias("LAST"), F.col("FREE").cast("long").alias("GOT"),
+        *(["NEED"] if has_need else [])))
+    levels, before, level = [frontier], None, 0
+    while True:
         level += 1
         active = frontier
         if has_need:
-            got = visited.join(fr, "NODE_ID").groupBy("START_ID").agg(F.sum("FREE").alias("_got"))
-            done = got.join(s, "START_ID").where(F.col("_got") >= F.col("NEED")).select("START_ID")
-            active = frontier.join(done, "START_ID", "left_anti")
+            active = frontier.join(state.where(F.col("GOT") < F.col("NEED")).select("START_ID"), "START_ID", "left_semi")
         ex = active.select("START_ID", F.col("NODE_ID").alias("_p"), F.col("RANK").alias("_prank")).join(
             adj.withColumnRenamed("NODE_ID", "_p"), "_p")
+        near = frontier.select("START_ID", "NODE_ID")
+        if before is not None:
+            near = near.unionByName(before.select("START_ID", "NODE_ID"))
         ex = ex.select("START_ID", F.col("NBR").alias("NODE_ID"), "_prank", "EDGE_SEQ").join(
-            visited.select("START_ID", "NODE_ID"), ["START_ID", "NODE_ID"], "left_anti")
+            near, ["START_ID", "NODE_ID"], "left_anti")
         first = ex.groupBy("START_ID", "NODE_ID").agg(F.min(F.struct("_prank", "EDGE_SEQ")).alias("_d"))
         first = first.select("START_ID", "NODE_ID", F.col("_d._prank").alias("_prank"), F.col("_d.EDGE_SEQ").alias("_es"))
-        base = visited.groupBy("START_ID").agg(F.max("RANK").alias("_base"))
-        # one level of one start: bounded by the component size
-        numbered = first.withColumn("_lr", F.row_number().over(
-            Window.partitionBy("START_ID").orderBy("_prank", "_es", "NODE_ID")))
-        new = numbered.join(base, "START_ID").select(
-            "START_ID", "NODE_ID", (F.col("_base") + F.col("_lr")).alias("RANK"), F.lit(level).alias("LEVEL"))
-        new = frames.checkpoint(new)
+        numbered = frames.row_number_by(first, ["START_ID"], ["_prank", "_es", "NODE_ID"], "_lr")
+        new = frames.checkpoint(numbered.join(state.select("START_ID", "LAST"), "START_ID").join(fr, "NODE_ID").select(
+            "NODE_ID", "START_ID", (F.col("LAST") + F.col("_lr")).alias("RANK"), F.lit(level).alias("LEVEL"), "FREE"))
         _log(f"bfs: level {level}")
         if new.isEmpty():
             break
-        visited = frames.checkpoint(visited.unionByName(new))
-        frontier = new
-    out = visited.join(fr, "NODE_ID")
-    return frames.running_by_group(out, ["START_ID"], ["RANK"], {"CUM_FREE": ("sum", "FREE")})
+        gain = new.groupBy("START_ID").agg(F.max("RANK").alias("_last"), F.sum("FREE").alias("_got"))
+        state = frames.checkpoint(state.join(gain, "START_ID", "left").select(
+            "START_ID", F.coalesce("_last", "LAST").alias("LAST"), (F.col("GOT") + F.coalesce("_got", F.lit(0))).alias("GOT"),
+            *(["NEED"] if has_need else [])))
+        levels.append(new)
+        before, frontier = frontier, new
+    out = levels[0]
+    for part in levels[1:]:
+        out = out.unionByName(part)
+    return frames.running_by_group(out.select("START_ID", "NODE_ID", "RANK", "LEVEL", "FREE"), ["START_ID"], ["RANK"],
+                                   {"CUM_FREE": ("sum", "FREE")})
 
 
 def one_hop_candidates(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def require_key(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_reason", F.when(blank, F.lit(R_KEY_REQUIRED)))
 
 
-def dedup_ttl(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], ttl_seconds: int,
-              max_rounds: int = 64) -> DataFrame:
+def dedup_ttl(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], ttl_seconds: int) -> DataFrame:
     """Keep a row when more than ``ttl`` passed since the key's last *accepted* row.
 
     Exact and skew-safe.  ``next(i)`` is the first row of the same key later than
@@ -101,7 +100,7 @@ def dedup_ttl(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], tt
     jump = frames.checkpoint(nxt)
     on_chain = frames.checkpoint(firsts.withColumn("_on", F.lit(True)))
     frontier = on_chain
-    for _ in range(max_rounds):
+    while True:
         # nodes reached from the current set by one jump of the current length
         step = frontier.join(jump, "_id").where(F.col("_jump").isNotNull()).select(F.col("_jump").alias("_id"))
         reached = frames.checkpoint(on_chain.select("_id").union(step).distinct().withColumn("_on", F.lit(True)))

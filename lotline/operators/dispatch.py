@@ -81,7 +81,10 @@ def rank_lots(scored: DataFrame, group: Sequence[str], arrival: Sequence[str], n
 
 def best_lot(scored: DataFrame, group: Sequence[str], arrival: Sequence[str], lot: str = "LOT_ID") -> DataFrame:
     """The best lot per group; a tie keeps the earlier lot (aggregate, no sort)."""
-    key = F.struct((-F.col("SCORE")).alias("_neg"), *[F.col(a) for a in arrival], F.col(lot).alias("_lot"),
+    # lexicographic scores are arrays: negated element by element, a shorter one loses to its extension
+    kind = dict(scored.dtypes)["SCORE"]
+    high = F.concat(F.transform("SCORE", lambda x: -x), F.array(F.lit(float("inf")))) if kind.startswith("array") else -F.col("SCORE")
+    key = F.struct(high.alias("_neg"), *[F.col(a) for a in arrival], F.col(lot).alias("_lot"),
                    F.col("SCORE").alias("_score"))
     g = scored.groupBy(*group).agg(F.min(key).alias("_b"))
     return g.select(*group, F.col("_b._lot").alias(lot), F.col("_b._score").alias("SCORE"))

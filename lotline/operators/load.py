@@ -48,7 +48,7 @@ def decode_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
     reason = (F.when(b.isNull() | (F.trim(b) == ""), F.lit(R_NOT_JSON))
               .when(corrupt & F.col("_e_table").isNull(), F.lit(R_NOT_JSON))
               .when(corrupt, F.when(F.try_parse_json(b).isNull(), F.lit(R_NOT_JSON)).otherwise(F.lit(R_PAYLOAD)))
-              .when(F.col("_e_table").isNull(), F.lit(R_NO_TABLE)))
+              .when(F.coalesce(F.col("_e_table"), F.lit("")) == "", F.lit(R_NO_TABLE)))
     payload = F.coalesce(F.col("_e_payload"), F.create_map().cast("map<string,variant>"))
     return x.select(
         *[F.col(c) for c in df.columns],
@@ -67,10 +67,9 @@ def rejected(df: DataFrame) -> DataFrame:
 
 
 def pick(payload: Column, name: str) -> Column:
-    """A9 field lookup: exact key first, else the first case-insensitive match, else NULL."""
+    """A9 field lookup, ignoring case: of repeated keys the last wins, as in a loop of assignments; else NULL."""
     up = name.upper()
-    ci = F.try_element_at(F.map_values(F.map_filter(payload, lambda k, _: F.upper(k) == F.lit(up))), F.lit(1))
-    return F.when(F.map_contains_key(payload, F.lit(name)), F.try_element_at(payload, F.lit(name))).otherwise(ci)
+    return F.try_element_at(F.map_values(F.map_filter(payload, lambda k, _: F.upper(k) == F.lit(up))), F.lit(-1))
 
 
 def project_raw(df: DataFrame, target: TargetTable, payload: str = "PAYLOAD", keep: Sequence[str] = ()) -> DataFrame:

@@ -25,14 +25,20 @@ def eqp_plan(track: DataFrame, keys: Sequence[str], ts: str = "TS", kind: str =
     """one row per visit: ARRIVAL_TS, START_TS (first track-in), END_TS (last track-out).
 
     ``track`` holds events with ``kind`` in (arrive, in, out); a NULL equipment is '-'.
+    An arrival opens a visit of its keys, to which the events up to the next
+    arrival belong; at equal times an arrival comes first, then in, then out.
     """
     k = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c == "EQP_ID" else F.col(c) for c in keys]
-    g = track.select(*k, F.col(ts).alias("_ts"), F.col(kind).alias("_k"))
-    return g.groupBy(*keys).agg(
+    g = track.select(*k, F.col(ts).alias("_ts"), F.col(kind).alias("_k"),
+                     F.array_position(F.array(*[F.lit(x) for x in ("arrive", "in", "out")]), F.col(kind)).alias("_o"),
+                     (F.col(kind) == "arrive").cast("int").alias("_a"))
+    g = frames.running_by_group(g, keys, ["_ts", "_o"], {"_visit": ("sum", "_a")})
+    return g.groupBy(*keys, "_visit").agg(
         F.min(F.when(F.col("_k") == "arrive", F.col("_ts"))).alias("ARRIVAL_TS"),
         F.min(F.when(F.col("_k") == "in", F.col("_ts"))).alias("START_TS"),
         F.max(F.when(F.col("_k") == "out", F.col("_ts"))).alias("END_TS"),
-    ).select(F.lit(scenario).alias("SCENARIO_ID"), F.lit(version).alias("VERSION_NO"), "*")
+    ).select(F.lit(scenario).alias("SCENARIO_ID"), F.lit(version).alias("VERSION_NO"), *keys,
+             "ARRIVAL_TS", "START_TS", "END_TS")
 
 
 def load_stat(intervals: DataFrame, eqp: str = "EQP_ID", start: str = "TS", end: str = "END_TS",
@@ -134,7 +140,8 @@ def qtime_check(events: DataFrame, lot: str, ts: str, tie: str, is_start: Column
     e = events.where(is_start | is_end).select(
         F.col(lot).alias("LOT_ID"), F.col(ts).alias("_t"), F.col(tie).alias("_tie"),
         F.when(is_end, F.col(ts)).alias("_end_ts"), is_start.alias("_is_start"))
-    r = frames.running_by_group(e, ["LOT_ID"], [F.col("_t").desc(), F.col("_tie").desc()],
+    # at equal times starts come first in descending order: an end must be strictly later
+    r = frames.running_by_group(e, ["LOT_ID"], [F.col("_t").desc(), F.col("_is_start").desc(), F.col("_tie").desc()],
                                 {"_next_end": ("min", "_end_ts")})
     s = r.where(F.col("_is_start"))
     # the running minimum includes the row itself; a start row has no end time of its own
@@ -146,34 +153,41 @@ def qtime_check(events: DataFrame, lot: str, ts: str, tie: str, is_start: Column
 
 
 def route_cumulative(route: DataFrame) -> DataFrame:
-    """running yield (product via log-sum) and remaining cycle time (reverse running sum)."""
-    fwd = frames.running_by_group(route, ["ROUTE_ID"], ["STEP_SEQ"],
-                                  {"_log_y": ("sum", F.log(F.col("YIELD"))), "CUM_CT": ("sum", "CT_HOUR")})
+    """running yield (product via log-sum; 0 from the first zero yield on) and remaining cycle time."""
+    positive = F.col("YIELD") > 0
+    fwd = frames.running_by_group(route, ["ROUTE_ID"], ["STEP_SEQ"], {
+        "_log_y": ("sum", F.when(positive, F.log(F.col("YIELD")))),
+        "_zeros": ("sum", F.when(F.col("YIELD") == 0, 1).otherwise(0)), "CUM_CT": ("sum", "CT_HOUR")})
     both = frames.running_by_group(fwd, ["ROUTE_ID"], [F.col("STEP_SEQ").desc()],
                                    {"REMAIN_CT": ("sum", "CT_HOUR")})
-    return both.withColumn("CUM_YIELD", F.exp("_log_y")).drop("_log_y")
+    return both.withColumn("CUM_YIELD", F.when(F.col("_zeros") > 0, F.lit(0.0)).otherwise(F.exp("_log_y"))).drop(
+        "_log_y", "_zeros")
 
 
-def bom_explode(bom: DataFrame, root: int = 0, max_level: int = 64) -> DataFrame:
+def bom_explode(bom: DataFrame, root: int = 0) -> DataFrame:
     """all components under ``root`` with LEVEL and QTY_PER (product of ratios).
 
-    Level-synchronous joins of the frontier with the edge list; the loop stops
-    on an empty frontier and ``max_level`` guards against cycles.  Each level is
-    checkpointed to cut lineage.
+    Level-synchronous joins of the frontier with the edge list until the
+    frontier is empty; each level is checkpointed to cut lineage.  A path longer
+    than the number of parents runs in a cycle and raises.
     """
     edges = bom.select("PARENT", "CHILD", "RATIO")
+    most = edges.select("PARENT").distinct().count()
     frontier = frames.checkpoint(edges.where(F.col("PARENT") == root).select(
         F.col("CHILD").alias("COMPONENT"), F.lit(1).alias("LEVEL"), F.col("RATIO").alias("QTY_PER")))
     levels = [frontier]
-    for lvl in range(2, max_level + 1):
-        nxt = frontier.join(edges, frontier["COMPONENT"] == edges["PARENT"]).select(
-            F.col("CHILD").alias("COMPONENT"), F.lit(lvl).alias("LEVEL"),
-            (F.col("QTY_PER") * F.col("RATIO")).alias("QTY_PER"))
-        nxt = frames.checkpoint(nxt)
-        if nxt.isEmpty():
+    while True:
+        lvl = len(levels) + 1
+        nxt = frames.checkpoint(frontier.join(edges, frontier["COMPONENT"] == edges["PARENT"]).select(
+            "PARENT", F.col("CHILD").alias("COMPONENT"), F.lit(lvl).alias("LEVEL"),
+            (F.col("QTY_PER") * F.col("RATIO")).alias("QTY_PER")))
+        found = nxt.first()
+        if found is None:
             break
-        levels.append(nxt)
-        frontier = nxt
+        if lvl > most:
+            raise ValueError(f"cycle in the bill of materials at {found['PARENT']} -> {found['COMPONENT']}")
+        frontier = nxt.drop("PARENT")
+        levels.append(frontier)
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
@@ -181,32 +195,33 @@ def bom_explode(bom: DataFrame, root: int = 0, max_level: int = 64) -> DataFrame
 
 
 def fifo_peg(supply: DataFrame, demand: DataFrame, product: str, qty: str,
-             supply_order: Sequence[str], demand_order: Sequence[str], bucket: float = 1024.0) -> DataFrame:
+             supply_order: Sequence[str], demand_order: Sequence[str]) -> DataFrame:
     """FIFO pegging of supply to demand per product.
 
-    Both sides become intervals on the cumulative-quantity axis per product
-    (skew-safe running sums); a supply and a demand are pegged by the length
-    of their overlap.  The overlap join is an equi-join on (product, bucket) of
-    the axis, each interval listed in the buckets it touches and each pair
-    kept only in the bucket holding the overlap start: no product-wide pairs.
+    Quantities add up in decimals (six places) along each side; the ends of
+    both sides cut a product's axis into segments, and each segment belongs to
+    the first supply and the first demand that end at it or behind it.  The
+    merged cut points are one row per input row, whatever the quantities, and
+    the "first behind" is a running minimum in descending order (skew-safe).
     """
-    def intervals(df, order, tag):
-        r = frames.running_by_group(df, [product], list(order),
-                                    {f"{tag}_END": ("sum", qty), f"{tag}_SEQ": ("count", None)})
-        r = r.withColumn(f"{tag}_START", F.col(f"{tag}_END") - F.col(qty))
-        first = F.floor(F.col(f"{tag}_START") / bucket).cast("bigint")
-        last = F.floor((F.col(f"{tag}_END") - F.lit(1e-9)) / bucket).cast("bigint")
-        return r.select(F.col(product).alias("PRODUCT"), f"{tag}_SEQ", f"{tag}_START", f"{tag}_END",
-                        F.explode(F.sequence(first, F.greatest(first, last))).alias("_b"))
-
-    s = intervals(supply, supply_order, "S")
-    d = intervals(demand, demand_order, "D")
-    j = s.join(d, ["PRODUCT", "_b"])
-    lo = F.greatest("S_START", "D_START")
-    hi = F.least("S_END", "D_END")
-    j = j.where((hi > lo) & (F.floor(lo / bucket).cast("bigint") == F.col("_b")))
-    return j.select("PRODUCT", F.col("D_SEQ").alias("DEMAND_SEQ"), F.col("S_SEQ").alias("SUPPLY_SEQ"),
-                    (hi - lo).alias("PEG_QTY"))
+    amount = F.col(qty).cast("decimal(28,6)")
+
+    def numbered(df, order, tag):
+        r = frames.row_number_by(df.select(product, qty, *order), [product], list(order), "_seq")
+        r = frames.running_by_group(r.withColumn("_q", F.greatest(amount, F.lit(0).cast("decimal(28,6)"))), [product],
+                                    list(order), {"_end": ("sum", "_q")})
+        return r.where(F.col("_q") > 0).select(
+            F.col(product).alias("PRODUCT"), F.col("_end").cast("decimal(38,6)").alias("_end"),
+            *[F.when(F.lit(tag == t), F.col("_seq")).cast("bigint").alias(f"_{t}") for t in ("s", "d")])
+
+    cuts = numbered(supply, supply_order, "s").unionByName(numbered(demand, demand_order, "d"))
+    # one row per cut point, so that equal ends are one
+    cuts = cuts.groupBy("PRODUCT", "_end").agg(F.min("_s").alias("_s"), F.min("_d").alias("_d"))
+    run = frames.running_by_group(cuts, ["PRODUCT"], [F.col("_end").desc()], {"SUPPLY_SEQ": ("min", "_s"), "DEMAND_SEQ": ("min", "_d")})
+    run = frames.neighbour(run.select("PRODUCT", "_end", "SUPPLY_SEQ", "DEMAND_SEQ"), ["PRODUCT"], ["_end"], ["_end"], -1, "_from")
+    start = F.coalesce(F.col("_from_end"), F.lit(0).cast("decimal(38,6)"))
+    return run.where("SUPPLY_SEQ is not null and DEMAND_SEQ is not null").select(
+        "PRODUCT", "DEMAND_SEQ", "SUPPLY_SEQ", (F.col("_end") - start).cast("double").alias("PEG_QTY"))
 
 
 def mttf_mttr(down: DataFrame, eqp: str = "EQP_ID", start: str = "START_TS", end: str = "END_TS") -> DataFrame:

@@ -497,7 +497,21 @@ def c8(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("SUM_QTY", F.col("SUM_QTY").cast("double"))
 
 
-@register("c8_load_all_report", None)
+_ORDERS_TYPED = f"""
+odec AS ({_DEC.format(src='msg_orders')}),
+otyped AS (SELECT {ARR}, {duck.norm_table('TABLE_RAW')} AS TABLE_NAME,
+                  {duck.to_int(duck.pick('P', 'ORDER_ID'), 'BIGINT')} AS ORDER_ID FROM odec),
+okept AS (SELECT * FROM otyped QUALIFY row_number() OVER (PARTITION BY ORDER_ID ORDER BY {ARR}) = 1),
+onumbered AS (SELECT *, row_number() OVER (PARTITION BY TABLE_NAME ORDER BY {ARR}) AS ROW_NO FROM okept)"""
+
+
+@register("c8_load_all_report", with_views(f"""
+WITH {_LINES_TYPED.strip()},
+{_ORDERS_TYPED.strip()},
+every AS (SELECT TABLE_NAME, ROW_NO, BATCH_ID FROM batched
+          UNION ALL SELECT TABLE_NAME, ROW_NO, (ROW_NO - 1) // {DEFAULT_BATCH} FROM onumbered)
+SELECT TABLE_NAME, BATCH_ID, count(*) AS N_ROWS, min(ROW_NO) AS FIRST_ROW, max(ROW_NO) AS LAST_ROW
+FROM every GROUP BY ALL""", "msg_lines", "msg_orders"))
 def c8_all(spark: SparkSession, d: str) -> DataFrame:
     """Both known tables through the same decode (orders dedup on ORDER_ID)."""
     return load_report(V.messages(spark, d))

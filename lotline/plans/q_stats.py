@@ -31,10 +31,16 @@ def _track(spark: SparkSession, d: str) -> DataFrame:
 @register("f1_eqp_plan", with_views("""
 WITH t AS (
   SELECT EQP_ID, LOT_ID, PART_ID AS ROUTE_ID, STEP_SEQ,
-         START_TS - to_seconds(CAST(round(WAIT_HOUR * 3600) AS BIGINT)) AS a, START_TS AS i, END_TS AS o FROM moves)
+         START_TS - to_seconds(CAST(round(WAIT_HOUR * 3600) AS BIGINT)) AS a, START_TS AS i, END_TS AS o FROM moves),
+e AS (SELECT EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, a AS ts, 1 AS k FROM t
+      UNION ALL SELECT EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, i, 2 FROM t
+      UNION ALL SELECT EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, o, 3 FROM t),
+v AS (SELECT *, sum((k = 1)::INT) OVER (PARTITION BY EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ ORDER BY ts, k
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS visit FROM e)
 SELECT 'BASE' AS SCENARIO_ID, 1 AS VERSION_NO, coalesce(CAST(EQP_ID AS VARCHAR), '-') AS EQP_ID, LOT_ID, ROUTE_ID,
-       STEP_SEQ, min(a) AS ARRIVAL_TS, min(i) AS START_TS, max(o) AS END_TS
-FROM t GROUP BY ALL""", "moves"))
+       STEP_SEQ, min(CASE WHEN k = 1 THEN ts END) AS ARRIVAL_TS, min(CASE WHEN k = 2 THEN ts END) AS START_TS,
+       max(CASE WHEN k = 3 THEN ts END) AS END_TS
+FROM v GROUP BY EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, visit""", "moves"))
 def f1(spark: SparkSession, d: str) -> DataFrame:
     return S.eqp_plan(_track(spark, d), ["EQP_ID", "LOT_ID", "ROUTE_ID", "STEP_SEQ"])
 
@@ -221,7 +227,7 @@ def f12(spark: SparkSession, d: str) -> DataFrame:
 WITH RECURSIVE x AS (
   SELECT CHILD AS COMPONENT, 1 AS LEVEL, RATIO AS QTY_PER FROM bom WHERE PARENT = 0
   UNION ALL
-  SELECT b.CHILD, x.LEVEL + 1, x.QTY_PER * b.RATIO FROM x JOIN bom b ON b.PARENT = x.COMPONENT WHERE x.LEVEL < 64)
+  SELECT b.CHILD, x.LEVEL + 1, x.QTY_PER * b.RATIO FROM x JOIN bom b ON b.PARENT = x.COMPONENT)
 SELECT 0::BIGINT AS ROOT, COMPONENT, LEVEL, QTY_PER FROM x""", "bom"))
 def f13(spark: SparkSession, d: str) -> DataFrame:
     return S.bom_explode(V.bom(spark, d), root=0)
@@ -294,8 +300,8 @@ l AS (SELECT LOT_ID, LOT_ID % (SELECT count(*) FROM r) AS R_IDX, 1 + LOT_ID % 50
 x AS (SELECT l.LOT_ID, r.ROUTE_ID, CUR_SEQ, CUR_SEQ + 10 AS TARGET_SEQ FROM l JOIN r USING (R_IDX))
 SELECT x.*, a.CUM_CT - coalesce(b.CUM_CT, 0) AS REMAIN_TO_TARGET,
        TIMESTAMP '2001-09-01' + to_microseconds(CAST((a.CUM_CT - coalesce(b.CUM_CT, 0)) * 3600000000 AS BIGINT)) AS ETA,
-       CUR_SEQ <> TARGET_SEQ AS UPSTREAM
-FROM x JOIN cum a ON a.ROUTE_ID = x.ROUTE_ID AND a.STEP_SEQ = x.TARGET_SEQ - 1
+       CUR_SEQ <> TARGET_SEQ AS UPSTREAM, CASE WHEN a.CUM_CT IS NULL THEN 'target past route end' END AS REASON
+FROM x LEFT JOIN cum a ON a.ROUTE_ID = x.ROUTE_ID AND a.STEP_SEQ = x.TARGET_SEQ - 1
        LEFT JOIN cum b ON b.ROUTE_ID = x.ROUTE_ID AND b.STEP_SEQ = x.CUR_SEQ - 1""", "route", "lots"))
 def f15(spark: SparkSession, d: str) -> DataFrame:
     cum = frames.running_by_group(V.route(spark, d).select("ROUTE_ID", "STEP_SEQ", "CT_HOUR"), ["ROUTE_ID"],
@@ -303,12 +309,14 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     x = _lot_route(spark, d)
     a = cum.select(F.col("ROUTE_ID").alias("_a_route"), F.col("STEP_SEQ").alias("_a_seq"), F.col("CUM_CT").alias("_a"))
     b = cum.select(F.col("ROUTE_ID").alias("_b_route"), F.col("STEP_SEQ").alias("_b_seq"), F.col("CUM_CT").alias("_b"))
-    j = x.join(a, (F.col("ROUTE_ID") == F.col("_a_route")) & (F.col("_a_seq") == F.col("TARGET_SEQ") - 1))
+    # a target past the end of the route has no ETA, and a reason
+    j = x.join(a, (F.col("ROUTE_ID") == F.col("_a_route")) & (F.col("_a_seq") == F.col("TARGET_SEQ") - 1), "left")
     j = j.join(b, (F.col("ROUTE_ID") == F.col("_b_route")) & (F.col("_b_seq") == F.col("CUR_SEQ") - 1), "left")
     rem = F.col("_a") - F.coalesce(F.col("_b"), F.lit(0))
     eta = F.timestamp_add("MICROSECOND", (rem * 3_600_000_000).cast("long"), ntz(V.NOW))
     return j.select("LOT_ID", "ROUTE_ID", "CUR_SEQ", "TARGET_SEQ", rem.alias("REMAIN_TO_TARGET"), eta.alias("ETA"),
-                    (F.col("CUR_SEQ") != F.col("TARGET_SEQ")).alias("UPSTREAM"))
+                    (F.col("CUR_SEQ") != F.col("TARGET_SEQ")).alias("UPSTREAM"),
+                    F.when(F.col("_a").isNull(), F.lit("target past route end")).alias("REASON"))
 
 
 @register("f16_next_prev_step", with_views("""
@@ -399,14 +407,16 @@ PROC_HOURS_PER_UNIT = 0.1
 @register("f24_tool_workload", with_views(f"""
 WITH l AS (SELECT EQP_ID AS TOOL_ID, LOT_ID, QTY * {PROC_HOURS_PER_UNIT} AS h,
                   row_number() OVER (PARTITION BY EQP_ID ORDER BY LOT_ID) AS pos FROM lots)
-SELECT TOOL_ID, (pos - 1) // 1000 AS CHUNK_NO, count(*) AS N_ITEMS, sum(h) AS WORKLOAD_HOURS,
-       array_to_string(list(LOT_ID ORDER BY pos), ',') AS LOTS
-FROM l GROUP BY ALL""", "lots"))
+SELECT TOOL_ID, (pos - 1) // 1000 AS CHUNK_NO, count(*) AS N_ITEMS, sum(h) AS CHUNK_HOURS,
+       sum(sum(h)) OVER (PARTITION BY TOOL_ID) AS WORKLOAD_HOURS, array_to_string(list(LOT_ID ORDER BY pos), ',') AS LOTS
+FROM l GROUP BY TOOL_ID, (pos - 1) // 1000""", "lots"))
 def f24(spark: SparkSession, d: str) -> DataFrame:
     lots = V.lots(spark, d).select(F.col("EQP_ID").alias("TOOL_ID"), "LOT_ID",
                                    (F.col("QTY") * PROC_HOURS_PER_UNIT).alias("h"))
     c = frames.chunked_lists(lots, ["TOOL_ID"], ["LOT_ID"], F.struct("LOT_ID", "h"), chunk=1000)
-    return c.select("TOOL_ID", "CHUNK_NO", "N_ITEMS",
+    # the tool's total stands with each chunk of its lots
+    total = lots.groupBy("TOOL_ID").agg(F.sum("h").alias("WORKLOAD_HOURS"))
+    return c.join(total, "TOOL_ID").select("TOOL_ID", "CHUNK_NO", "N_ITEMS",
                     F.aggregate(F.transform("ITEMS", lambda s: s["h"]), F.lit(0.0), lambda a, b: a + b).alias(
-                        "WORKLOAD_HOURS"),
+                        "CHUNK_HOURS"), "WORKLOAD_HOURS",
                     F.array_join(F.transform("ITEMS", lambda s: s["LOT_ID"].cast("string")), ",").alias("LOTS"))
