@@ -112,9 +112,13 @@ def row_number_by(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage into the cluster's shared checkpoint folder (never local).
+
+    A table is written rather than an RDD: an RDD checkpoint keeps the size
+    that the optimizer guessed for its plan, and in a loop those guesses
+    multiply until planning alone takes minutes; a table has its real size.
+    """
+    return written(df, "checkpoint")
 
 
 def scratch_path(spark, name: str) -> str:

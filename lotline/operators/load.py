@@ -45,7 +45,11 @@ def decode_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
     x = df.select("*", F.inline(F.array(env)).alias(*_ENV_COLS))
     b = F.col(body)
     corrupt = F.col("_e_corrupt").isNotNull()
+    # text behind the object: seen by its end, or by an object that begins behind another, outside of strings
+    unquoted = F.regexp_replace(b, r'"(\\.|[^"\\])*"', "")
+    trailing = ~b.rlike(r"\}\s*$") | (b.rlike(r"\}\s*\{") & unquoted.rlike(r"\}\s*\{"))
     reason = (F.when(b.isNull() | (F.trim(b) == ""), F.lit(R_NOT_JSON))
+              .when(~corrupt & trailing, F.lit(R_NOT_JSON))
               .when(corrupt & F.col("_e_table").isNull(), F.lit(R_NOT_JSON))
               .when(corrupt, F.when(F.try_parse_json(b).isNull(), F.lit(R_NOT_JSON)).otherwise(F.lit(R_PAYLOAD)))
               .when(F.coalesce(F.col("_e_table"), F.lit("")) == "", F.lit(R_NO_TABLE)))

@@ -195,7 +195,7 @@ def bom_explode(bom: DataFrame, root: int = 0) -> DataFrame:
 
 
 def fifo_peg(supply: DataFrame, demand: DataFrame, product: str, qty: str,
-             supply_order: Sequence[str], demand_order: Sequence[str]) -> DataFrame:
+             supply_order: Sequence[str], demand_order: Sequence[str], bucket: float | None = None) -> DataFrame:
     """FIFO pegging of supply to demand per product.
 
     Quantities add up in decimals (six places) along each side; the ends of
@@ -203,6 +203,7 @@ def fifo_peg(supply: DataFrame, demand: DataFrame, product: str, qty: str,
     the first supply and the first demand that end at it or behind it.  The
     merged cut points are one row per input row, whatever the quantities, and
     the "first behind" is a running minimum in descending order (skew-safe).
+    ``bucket`` has no effect; earlier callers may still give it.
     """
     amount = F.col(qty).cast("decimal(28,6)")
 
