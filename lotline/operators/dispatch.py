@@ -181,12 +181,12 @@ def dispatch_log(filtered: DataFrame, group: str, reason: str = "REASON") -> Dat
 
 def with_fallback(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]], default: float,
                   name: str = "PROC_HOURS") -> DataFrame:
-    """Value from the first lookup that has one (each a small broadcast table), else the default."""
+    """Value from the first lookup that has one (the planner broadcasts a small one), else the default."""
     out = df
     vals, srcs = [], []
     for i, (tbl, key, col) in enumerate(lookups):
         t = tbl.select(F.col(tbl.columns[0]).alias(f"_k{i}"), F.col(col).alias(f"_v{i}"))
-        out = out.join(F.broadcast(t), F.col(key) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        out = out.join(t, F.col(key) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         vals.append(F.col(f"_v{i}"))
         srcs.append((F.col(f"_v{i}"), f"lookup{i}"))
     src = None

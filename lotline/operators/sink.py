@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def append_parquet(df: DataFrame, path: str, batch_size: int = 5000, writers: int | None = None) -> None:
-    """Append ``df`` as parquet; ``batch_size`` caps rows per file, ``writers`` caps parallel writers.
+def append_parquet(df: DataFrame, path: str, batch_size: int = 1_000_000, writers: int | None = None) -> None:
+    """Append ``df`` as parquet; ``batch_size`` is the most rows of one file, ``writers`` caps parallel writers.
 
     ``coalesce(writers)`` bounds concurrent writers without a shuffle, like the
     loaders' writer semaphores; the write is one job, committed atomically by

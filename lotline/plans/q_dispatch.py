@@ -284,14 +284,16 @@ def d14(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _load_requests(spark: SparkSession, d: str) -> DataFrame:
-    """view/click events request a load on the next equipment ((user_id + 1) % 150)."""
-    e = table(spark, d, "events").where(F.col("event_type").isin("view", "click"))
-    return e.select(F.col("event_id").alias("REQ_ID"), ((F.col("user_id") + 1) % 150).alias("EQP_ID"),
+    """view/click events request a load on the next of all equipments (user ids, round and round)."""
+    events = table(spark, d, "events")
+    n = events.agg((F.max("user_id") + 1).alias("_n"))  # one row
+    e = events.where(F.col("event_type").isin("view", "click")).crossJoin(F.broadcast(n))
+    return e.select(F.col("event_id").alias("REQ_ID"), ((F.col("user_id") + 1) % F.col("_n")).alias("EQP_ID"),
                     F.col("ts").alias("TS"))
 
 
 @register("d15_inhibit_filter", with_views("""
-WITH r AS (SELECT event_id AS REQ_ID, (user_id + 1) % 150 AS EQP_ID, ts AS TS FROM events
+WITH r AS (SELECT event_id AS REQ_ID, (user_id + 1) % (SELECT max(user_id) + 1 FROM events) AS EQP_ID, ts AS TS FROM events
            WHERE event_type IN ('view', 'click'))
 SELECT * FROM r WHERE NOT EXISTS (
   SELECT 1 FROM down d WHERE d.EQP_ID = r.EQP_ID AND d.START_TS <= r.TS AND r.TS < d.END_TS)""", "down"))

@@ -426,7 +426,7 @@ def c4(spark: SparkSession, d: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     out = os.path.join(base, f"lotline-append-{uuid.uuid4().hex}")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
-    append_parquet(li, out, batch_size=DEFAULT_BATCH)
+    append_parquet(li, out)
     return spark.read.parquet(out)
 
 
