@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from lotline.llm.textnum import blocks
 
 #: A worker forgets its strings, words or pairs when it knows more than this; longer ones are never kept.
-KNOWN_STRINGS, KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 120_000, 200_000, 150_000, 64
+KNOWN_STRINGS, KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 250_000, 500_000, 200_000, 64
 #: Symbols before a place that settle which tokens end there, for all but longer tokens.
 CONTEXT = 12
 PIECE_CHARS = 1 << 20
