@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from lotline.llm.textnum import blocks
 
 #: A worker forgets its strings, words or pairs when it knows more than this; longer ones are never kept.
-KNOWN_STRINGS, KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 250_000, 500_000, 200_000, 64
+KNOWN_STRINGS, KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 300_000, 600_000, 200_000, 64
 #: Symbols before a place that settle which tokens end there, for all but longer tokens.
 CONTEXT = 12
 PIECE_CHARS = 1 << 20
@@ -71,7 +71,7 @@ class WordBpe:
         self.longest = max(map(len, self.ids))
         self.id_names = {t: str(i) for t, i in self.ids.items()}
         self.stable: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
         self.forget()
 
     @classmethod
@@ -80,10 +80,10 @@ class WordBpe:
             return cls(json.load(f))
 
     def forget(self) -> None:
-        """Of every known string between spaces: number of ids, the ids and the tokens as text."""
-        self.count: dict[str, int] = {}
+        """Of every known string between spaces: the ids and the tokens as text; those without any."""
         self.id_text: dict[str, str] = {}
         self.name_text: dict[str, str] = {}
+        self.blank: set[str] = set()
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
         """The parts at one edge of a token (0 left, 1 right), each with the rank of the merge that takes it up."""
@@ -209,18 +209,19 @@ class WordBpe:
         if len(self.words) > KNOWN_WORDS:
             self.words.clear()
         for w, i in self.special.items():
-            self.words[w] = (1, str(i), w)
+            self.words[w] = (str(i), w)
         new = {w for ws in split.values() for w in ws} - self.words.keys()
         for word, tokens in self.encode_words(new):
-            self.words[word] = (len(tokens), " ".join([self.id_names[t] for t in tokens]), " ".join(tokens))
+            self.words[word] = (" ".join([self.id_names[t] for t in tokens]), " ".join(tokens))
         for x, ws in split.items():
             if len(ws) == 1:
-                self.count[x], self.id_text[x], self.name_text[x] = self.words[ws[0]]
+                self.id_text[x], self.name_text[x] = self.words[ws[0]]
             else:
                 parts = [self.words[w] for w in ws]
-                self.count[x] = sum([p[0] for p in parts])
-                self.id_text[x] = " ".join([p[1] for p in parts])
-                self.name_text[x] = " ".join([p[2] for p in parts])
+                self.id_text[x] = " ".join([p[0] for p in parts])
+                self.name_text[x] = " ".join([p[1] for p in parts])
+                if not parts:
+                    self.blank.add(x)
         for w in [w for w in new if len(w) > KNOWN_LENGTH]:
             del self.words[w]
 
@@ -229,7 +230,7 @@ class WordBpe:
         out = []
         for piece in self.pieces(text):
             strings = self.strings_of(piece)
-            self.learn(set(strings) - self.count.keys())
+            self.learn(set(strings) - self.id_text.keys())
             out += [int(i) for x in strings for i in self.id_text[x].split()]
         return out
 
@@ -259,24 +260,26 @@ def _known_strings(bpe: WordBpe, column: pa.Array) -> Iterator[Iterable[list[str
     """For each text its pieces as lists of strings whose encodings are known."""
     def one(text: str) -> Iterator[list[str]]:
         for piece in bpe.pieces(text):
-            if len(bpe.count) > KNOWN_STRINGS:
+            if len(bpe.id_text) > KNOWN_STRINGS:
                 bpe.forget()
             strings = bpe.strings_of(piece)
-            bpe.learn(set(strings) - bpe.count.keys())
-            yield [x for x in strings if bpe.count[x]]
+            bpe.learn(set(strings) - bpe.id_text.keys())
+            yield [x for x in strings if x not in bpe.blank] if bpe.blank else strings
 
     for texts in _batched(column):
         if len(texts) == 1 and len(texts[0] or "") > PIECE_CHARS:
             yield one(texts[0])
         else:
-            if len(bpe.count) > KNOWN_STRINGS:
+            if len(bpe.id_text) > KNOWN_STRINGS:
                 bpe.forget()
             lists = [bpe.strings_of(t or "") for t in texts]
-            bpe.learn(set().union(*lists) - bpe.count.keys())
+            new = set().union(*lists) - bpe.id_text.keys()
+            bpe.learn(new)
             for strings in lists:
-                yield [strings if all(map(bpe.count.__getitem__, strings)) else [x for x in strings if bpe.count[x]]]
-        for x in [x for x in bpe.count if len(x) > KNOWN_LENGTH]:
-            del bpe.count[x], bpe.id_text[x], bpe.name_text[x]
+                yield [[x for x in strings if x not in bpe.blank] if bpe.blank else strings]
+            for x in [x for x in new if len(x) > KNOWN_LENGTH]:
+                del bpe.id_text[x], bpe.name_text[x]
+                bpe.blank.discard(x)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,8 +322,9 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 ids, names = hashlib.sha256(), hashlib.sha256()
                 for strings in pieces:
                     if strings:
-                        total += sum(map(bpe.count.__getitem__, strings))
-                        ids.update(gap + " ".join(map(bpe.id_text.__getitem__, strings)).encode())
+                        part = " ".join(map(bpe.id_text.__getitem__, strings)).encode()
+                        total += part.count(b" ") + 1
+                        ids.update(gap + part)
                         names.update(gap + " ".join(map(bpe.name_text.__getitem__, strings)).encode())
                         gap = b" "
                 n.append(total)
