@@ -17,6 +17,7 @@ from lotline.functions.calendar import hours_between, seconds_between, shop_day
 
 # Load-statistic state columns and the state -> column mapping.
 LOAD_STATES = ("SETUP", "BUSY", "IDLERUN", "IDLE", "PM", "BM")
+OTHER_STATE = "OTHER"  # hours of states outside the mapping
 STATE_TO_LOAD = {"SETUP": "SETUP", "BUSY": "BUSY", "IDLE_RUN": "IDLERUN", "IDLE": "IDLE", "PM": "PM", "DOWN": "BM"}
 
 
@@ -51,15 +52,16 @@ def load_stat(intervals: DataFrame, eqp: str = "EQP_ID", start: str = "TS", end:
     """
     mapping = F.create_map(*[F.lit(x) for kv in STATE_TO_LOAD.items() for x in kv])
     x = intervals.select(F.col(eqp).alias("EQP_ID"), F.col(start).alias("_s"), F.col(end).alias("_e"),
-                         F.element_at(mapping, F.col(state)).alias("_state"))
+                         F.coalesce(F.try_element_at(mapping, F.col(state)), F.lit(OTHER_STATE)).alias("_state"))
     first = shop_day(F.col("_s"), day_offset_hours)
     last = shop_day(F.col("_e"), day_offset_hours)
     d = x.select("*", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).alias("DAY"))
     day_end = F.timestamp_add("DAY", F.lit(1), F.col("DAY"))
     ov = seconds_between(F.greatest(F.col("_s"), F.col("DAY")), F.least(F.col("_e"), day_end))
     d = d.select("EQP_ID", "DAY", "_state", (ov / 3600.0).alias("_h")).where(F.col("_h") > 0)
-    p = d.groupBy("EQP_ID", "DAY").pivot("_state", list(LOAD_STATES)).agg(F.sum("_h"))
-    return p.select("EQP_ID", "DAY", *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in LOAD_STATES])
+    states = [*LOAD_STATES, OTHER_STATE]
+    p = d.groupBy("EQP_ID", "DAY").pivot("_state", states).agg(F.sum("_h"))
+    return p.select("EQP_ID", "DAY", *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in states])
 
 
 def step_move(moves: DataFrame, day_col: Column) -> DataFrame:
@@ -247,6 +249,15 @@ def lot_merge(lots: DataFrame, key: str, lot: str = "LOT_ID", qty: str = "QTY")
                                  F.sum(qty).alias("TOTAL_QTY"))
 
 
+def lot_children(lots: DataFrame, key: str, lot: str = "LOT_ID", chunk: int = 1000) -> DataFrame:
+    """the child lots merged into each parent, in rows of at most ``chunk`` lots."""
+    parent = lots.groupBy(key).agg(F.min(lot).alias("PARENT_LOT"))
+    kids = lots.join(parent, key).where(F.col(lot) != F.col("PARENT_LOT"))
+    c = frames.chunked_lists(kids, [key, "PARENT_LOT"], [lot], F.col(lot), chunk)
+    return c.select(key, "PARENT_LOT", "CHUNK_NO", "N_ITEMS", F.array_join(F.transform(
+        "ITEMS", lambda x: x.cast("string")), ",").alias("CHILDS"))
+
+
 def call_profile(calls: DataFrame, methods: DataFrame, method: str = "METHOD", ms: str = "MS") -> DataFrame:
     """per method calls, total ms and mean ms (0 when there were no calls)."""
     agg = calls.groupBy(method).agg(F.count(F.lit(1)).alias("CALLS"), F.sum(ms).alias("TOTAL_MS"))

@@ -68,7 +68,7 @@ _F3_SQL = """
 WITH s AS (
   SELECT EQP_ID, TS AS s, END_TS AS e,
          CASE STATE WHEN 'SETUP' THEN 'SETUP' WHEN 'BUSY' THEN 'BUSY' WHEN 'IDLE_RUN' THEN 'IDLERUN'
-                    WHEN 'IDLE' THEN 'IDLE' WHEN 'PM' THEN 'PM' WHEN 'DOWN' THEN 'BM' END AS st
+                    WHEN 'IDLE' THEN 'IDLE' WHEN 'PM' THEN 'PM' WHEN 'DOWN' THEN 'BM' ELSE 'OTHER' END AS st
   FROM state_log),
 d AS (SELECT *, unnest(generate_series(date_trunc('day', s), date_trunc('day', e), INTERVAL 1 DAY)) AS DAY FROM s),
 o AS (SELECT EQP_ID, DAY, st,
@@ -76,7 +76,8 @@ o AS (SELECT EQP_ID, DAY, st,
 SELECT EQP_ID, DAY,
        coalesce(sum(h) FILTER (WHERE st = 'SETUP'), 0) AS SETUP, coalesce(sum(h) FILTER (WHERE st = 'BUSY'), 0) AS BUSY,
        coalesce(sum(h) FILTER (WHERE st = 'IDLERUN'), 0) AS IDLERUN, coalesce(sum(h) FILTER (WHERE st = 'IDLE'), 0) AS IDLE,
-       coalesce(sum(h) FILTER (WHERE st = 'PM'), 0) AS PM, coalesce(sum(h) FILTER (WHERE st = 'BM'), 0) AS BM
+       coalesce(sum(h) FILTER (WHERE st = 'PM'), 0) AS PM, coalesce(sum(h) FILTER (WHERE st = 'BM'), 0) AS BM,
+       coalesce(sum(h) FILTER (WHERE st = 'OTHER'), 0) AS OTHER
 FROM o WHERE h > 0 GROUP BY ALL"""
 
 
@@ -369,6 +370,16 @@ def f20(spark: SparkSession, d: str) -> DataFrame:
     return S.product_mix(m, "DAY", "PART_ID", "QTY")
 
 
+@register("f21_lot_children", with_views("""
+WITH p AS (SELECT GROUP_ID, LOT_ID, min(LOT_ID) OVER (PARTITION BY GROUP_ID) AS PARENT_LOT FROM lots),
+c AS (SELECT *, row_number() OVER (PARTITION BY GROUP_ID ORDER BY LOT_ID) AS pos FROM p WHERE LOT_ID <> PARENT_LOT)
+SELECT GROUP_ID, PARENT_LOT, (pos - 1) // 1000 AS CHUNK_NO, count(*) AS N_ITEMS,
+       array_to_string(list(LOT_ID ORDER BY pos), ',') AS CHILDS
+FROM c GROUP BY GROUP_ID, PARENT_LOT, (pos - 1) // 1000""", "lots"))
+def f21_children(spark: SparkSession, d: str) -> DataFrame:
+    return S.lot_children(V.lots(spark, d).select("GROUP_ID", "LOT_ID"), "GROUP_ID")
+
+
 @register("f21_lot_merge", with_views("""
 SELECT GROUP_ID, min(LOT_ID) AS PARENT_LOT, count(*) AS N_LOTS, sum(QTY) AS TOTAL_QTY FROM lots GROUP BY ALL""",
                                       "lots"))

@@ -22,6 +22,15 @@ def test_restart_is_exactly_once(spark, tmp_dir):
     assert r.count() == 250 and r.select("event_id").distinct().count() == 250
 
 
+def test_a_new_checkpoint_adds_to_an_old_folder(spark, tmp_dir):
+    src, out = (os.path.join(tmp_dir, x) for x in ("src", "out"))
+    rows = spark.range(0, 10).select(F.col("id").alias("event_id"))
+    rows.write.parquet(src)
+    for ck in ("ck1", "ck2"):
+        LS.run_load(LS.file_source(spark, src, rows.schema, 1), out, os.path.join(tmp_dir, ck))
+    assert spark.read.parquet(out).count() == 20
+
+
 def test_replayed_batch_is_idempotent(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     fn = LS.commit_batches(out)
