@@ -33,10 +33,10 @@ from pyspark.sql import types as T
 
 from lotline.llm.textnum import blocks
 
-#: A worker forgets its strings, words or pairs when it knows more than this; longer ones are never kept.
-KNOWN_STRINGS, KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 300_000, 600_000, 200_000, 64
+#: A worker forgets its strings or pairs when it knows more than this; longer strings are never kept.
+KNOWN_STRINGS, KNOWN_PAIRS, KNOWN_LENGTH = 150_000, 120_000, 64
 #: Symbols before a place that settle which tokens end there, for all but longer tokens.
-CONTEXT = 12
+CONTEXT = 6
 PIECE_CHARS = 1 << 20
 
 
@@ -64,6 +64,7 @@ class WordBpe:
         self.symbols = {b: c for b, c in byte_symbols().items() if chr(b) != c}
         # suffixes of tokens, true if they are tokens themselves
         self.tails = {t[k:]: False for t in self.ids for k in range(len(t))} | dict.fromkeys(self.ids, True)
+        self.stops = regex.compile(r"(?<=[^\W_])[.,](?=\s|$)")
         self.separators = regex.compile("[ \t\n\r\x0b\x0c]+")
         self.halves = {a + b: (a, b) for a, b in pairs}
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
@@ -71,7 +72,6 @@ class WordBpe:
         self.longest = max(map(len, self.ids))
         self.id_names = {t: str(i) for t, i in self.ids.items()}
         self.stable: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[str, str]] = {}
         self.forget()
 
     @classmethod
@@ -80,10 +80,17 @@ class WordBpe:
             return cls(json.load(f))
 
     def forget(self) -> None:
-        """Of every known string between spaces: the ids and the tokens as text; those without any."""
-        self.id_text: dict[str, str] = {}
-        self.name_text: dict[str, str] = {}
+        """Of every known string between spaces: the ids and the tokens as text; those without any; long ones."""
+        self.id_text: dict[str, str] = {t: str(i) for t, i in self.special.items()}
+        self.name_text: dict[str, str] = {t: t for t in self.special}
         self.blank: set[str] = set()
+        self.long: list[str] = []
+
+    def forget_long(self) -> None:
+        for x in self.long:
+            del self.id_text[x], self.name_text[x]
+            self.blank.discard(x)
+        self.long = []
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
         """The parts at one edge of a token (0 left, 1 right), each with the rank of the merge that takes it up."""
@@ -182,16 +189,22 @@ class WordBpe:
             i = j
 
     def strings_of(self, piece: str) -> list[str]:
-        """What stands between white space; no word, special token or composed letter crosses it."""
+        """What stands between white space; no word, special token or composed letter crosses it.
+
+        Without special tokens, which are told from the text as it is, a piece is
+        normalised as a whole, and a full stop or comma that ends a word becomes a
+        string of its own (as it is a word of its own): fewer strings differ.
+        """
+        if "<|" not in piece:
+            if not piece.isascii():
+                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+            piece = self.stops.sub(r" \g<0>", piece.lower())
         if any(c in piece for c in "\x1c\x1d\x1e\x1f"):  # str.split takes these for spaces, too
             return [x for x in self.separators.split(piece) if x]
         return piece.split()
 
     def words_of(self, string: str) -> list[str]:
         """Normalised words of a string; special tokens stay whole."""
-        body = string[:-1] if string[-1] in ".,;:!?" else string
-        if body.isalpha() and body.isascii():
-            return [body.lower()] if body is string else [body.lower(), string[-1]]
         out = []
         for k, part in enumerate(self.cut.split(string) if "<|" in string else [string]):
             if k % 2:
@@ -205,25 +218,27 @@ class WordBpe:
 
     def learn(self, strings: Iterable[str]) -> None:
         """Remember the encodings of strings; their new words go through the trie together."""
-        split = {x: self.words_of(x) for x in strings}
-        if len(self.words) > KNOWN_WORDS:
-            self.words.clear()
-        for w, i in self.special.items():
-            self.words[w] = (str(i), w)
-        new = {w for ws in split.values() for w in ws} - self.words.keys()
-        for word, tokens in self.encode_words(new):
-            self.words[word] = (" ".join([self.id_names[t] for t in tokens]), " ".join(tokens))
-        for x, ws in split.items():
-            if len(ws) == 1:
-                self.id_text[x], self.name_text[x] = self.words[ws[0]]
+        words, split = set(), {}
+        for x in strings:
+            if x.isalpha() and x.isascii() and x.islower():
+                words.add(x)
             else:
-                parts = [self.words[w] for w in ws]
-                self.id_text[x] = " ".join([p[0] for p in parts])
-                self.name_text[x] = " ".join([p[1] for p in parts])
-                if not parts:
+                split[x] = self.words_of(x)
+        words.update(*split.values())
+        ids, names = self.id_text, self.name_text
+        for word, tokens in self.encode_words(words - ids.keys()):
+            ids[word] = " ".join([self.id_names[t] for t in tokens])
+            names[word] = " ".join(tokens)
+            if len(word) > KNOWN_LENGTH:
+                self.long.append(word)
+        for x, ws in split.items():
+            if x not in ids:  # else a word itself
+                ids[x] = " ".join([ids[w] for w in ws])
+                names[x] = " ".join([names[w] for w in ws])
+                if not ws:
                     self.blank.add(x)
-        for w in [w for w in new if len(w) > KNOWN_LENGTH]:
-            del self.words[w]
+                if len(x) > KNOWN_LENGTH:
+                    self.long.append(x)
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text."""
@@ -232,6 +247,7 @@ class WordBpe:
             strings = self.strings_of(piece)
             self.learn(set(strings) - self.id_text.keys())
             out += [int(i) for x in strings for i in self.id_text[x].split()]
+            self.forget_long()
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -239,15 +255,6 @@ class WordBpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
-def _encoder(path: str) -> WordBpe:
-    if path not in _loaded:
-        _loaded[path] = WordBpe.load(path)
-    return _loaded[path]
-
-
 def _batched(column: pa.Array) -> Iterator[list[str | None]]:
     """The texts in lists of bounded size; a longer text comes alone."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -258,28 +265,24 @@ def _batched(column: pa.Array) -> Iterator[list[str | None]]:
 
 def _known_strings(bpe: WordBpe, column: pa.Array) -> Iterator[Iterable[list[str]]]:
     """For each text its pieces as lists of strings whose encodings are known."""
+    def known(lists: list[list[str]]) -> Iterator[list[str]]:
+        if len(bpe.id_text) > KNOWN_STRINGS:
+            bpe.forget()
+        bpe.learn(set().union(*lists) - bpe.id_text.keys())
+        for strings in lists:
+            yield [x for x in strings if x not in bpe.blank] if bpe.blank else strings
+        bpe.forget_long()
+
     def one(text: str) -> Iterator[list[str]]:
         for piece in bpe.pieces(text):
-            if len(bpe.id_text) > KNOWN_STRINGS:
-                bpe.forget()
-            strings = bpe.strings_of(piece)
-            bpe.learn(set(strings) - bpe.id_text.keys())
-            yield [x for x in strings if x not in bpe.blank] if bpe.blank else strings
+            yield from known([bpe.strings_of(piece)])
 
     for texts in _batched(column):
         if len(texts) == 1 and len(texts[0] or "") > PIECE_CHARS:
             yield one(texts[0])
         else:
-            if len(bpe.id_text) > KNOWN_STRINGS:
-                bpe.forget()
-            lists = [bpe.strings_of(t or "") for t in texts]
-            new = set().union(*lists) - bpe.id_text.keys()
-            bpe.learn(new)
-            for strings in lists:
-                yield [[x for x in strings if x not in bpe.blank] if bpe.blank else strings]
-            for x in [x for x in new if len(x) > KNOWN_LENGTH]:
-                del bpe.id_text[x], bpe.name_text[x]
-                bpe.blank.discard(x)
+            for strings in known([bpe.strings_of(t or "") for t in texts]):
+                yield [strings]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +293,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     rows.  ``vocabulary`` is the path of the file on every executor.
     """
     def run(batches):
-        bpe = _encoder(vocabulary)
+        # made for this task alone: its worker goes on to other stages, which need the memory
+        bpe = WordBpe.load(vocabulary)
         for batch in batches:
             first, rows, total = 0, [], 0
             for k, pieces in enumerate(_known_strings(bpe, batch.column(1))):
@@ -314,7 +318,8 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     text.  Cases as in :func:`encode_documents`.
     """
     def run(batches):
-        bpe = _encoder(vocabulary)
+        # made for this task alone: its worker goes on to other stages, which need the memory
+        bpe = WordBpe.load(vocabulary)
         for batch in batches:
             n, first, second = [], [], []
             for pieces in _known_strings(bpe, batch.column(1)):
