@@ -236,7 +236,9 @@ def read_bundles(spark: SparkSession, bundles: DataFrame) -> DataFrame:
                                          number(fields.get("Refers-To-Page-ID")), payload if kind == "response" else None))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return bundles.select("bundle").distinct().mapInArrow(
+    # a bundle a task: names are so short that adaptive execution would put all of them into one
+    names = written(bundles.select("bundle").distinct(), "bundles")
+    return names.repartition(max(1, names.count())).mapInArrow(
         read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
