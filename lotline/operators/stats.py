@@ -210,9 +210,8 @@ def fifo_peg(supply: DataFrame, demand: DataFrame, product: str, qty: str,
     amount = F.col(qty).cast("decimal(28,6)")
 
     def numbered(df, order, tag):
-        r = frames.row_number_by(df.select(product, qty, *order), [product], list(order), "_seq")
-        r = frames.running_by_group(r.withColumn("_q", F.greatest(amount, F.lit(0).cast("decimal(28,6)"))), [product],
-                                    list(order), {"_end": ("sum", "_q")})
+        r = df.select(product, *order, F.greatest(amount, F.lit(0).cast("decimal(28,6)")).alias("_q"))
+        r = frames.running_by_group(r, [product], list(order), {"_seq": ("count", None), "_end": ("sum", "_q")})
         return r.where(F.col("_q") > 0).select(
             F.col(product).alias("PRODUCT"), F.col("_end").cast("decimal(38,6)").alias("_end"),
             *[F.when(F.lit(tag == t), F.col("_seq")).cast("bigint").alias(f"_{t}") for t in ("s", "d")])
