@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 #: The bytes 0x20 and 0x09-0x0D separate words.
 SPACE = np.zeros(256, bool)
