@@ -1,6 +1,6 @@
 """Licence scan by canonical digests, in SQL functions only.
 
-A text becomes canonical by dropping copyright lines, lower-casing, taking
+A text becomes canonical by dropping copyright notice lines, lower-casing, taking
 punctuation and white space as one space, and writing equivalent spellings one
 way.  The SHA-256 digests of whole documents and of their whole lines are
 joined to the digests of known licence texts and notices by hash.
@@ -13,7 +13,34 @@ from pyspark.sql import functions as F
 #: Known digests are broadcast up to this number, else joined by a shuffle.
 BROADCAST_TEXTS = 100_000
 
-COPYRIGHT = "(?im)^[^\\p{L}\\p{N}\\n]*(copyright\\b|\\(c\\)|©)[^\\n]*$"
+#: Words behind "copyright" that speak of the right itself: licence prose, not a notice line, wherever it is wrapped.
+TERMS = ("and", "holder", "holders", "interest", "interests", "law", "laws", "licence", "licences", "license", "licenses",
+         "notice", "notices", "or", "owner", "owners", "statement", "statements", "treaty")
+
+
+def _name_except(words: tuple[str, ...]) -> str:
+    """A pattern of words with a capital first letter other than ``words``, in the syntax of both Java and RE2 (no lookahead)."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ways = []
+    for start in sorted({w[:k] for w in words for k in range(len(w) + 1)}):
+        after = {w[len(start)] for w in words if w.startswith(start) and len(w) > len(start)}
+        other = "".join(c for c in letters if c not in after)
+        lead = "".join(f"[{c.upper()}{c}]" if k else c.upper() for k, c in enumerate(start))
+        if not start:
+            ways.append(f"[{other.upper()}\\x{{C0}}-\\x{{10FFFF}}]")
+        else:
+            ways.append(f"{lead}[{other}{other.upper()}\\x{{C0}}-\\x{{10FFFF}}]")
+            if start not in words:
+                ways.append(f"{lead}([^\\p{{L}}\\n]|$)")
+    return f"({'|'.join(ways)})"
+
+
+_YEAR = "[<{\\[]*([0-9]{4}|(?i:y{2,4}|years?))\\b"
+#: A notice line: the word and (c), ©, a year or a holder; or one of the signs and a year, the word or a short name.
+COPYRIGHT = ("(?m)^[^\\p{L}\\p{N}\\n]*("
+             f"(?i:copyright)[ \\t:,-]*(\\((?i:c)\\)|©|{_YEAR})|(?i:copyright)[ \\t:-]+(?i:by[ \\t]|the[ \\t]+authors\\b)"
+             f"|(?i:copyright)[ \\t:-]+((?i:the)[ \\t]+)?{_name_except(TERMS)}"
+             f"|©|\\((?i:c)\\)[ \\t]*((?i:copyright)|©|{_YEAR}|([A-Z][^ \\t\\n]*[ \\t\\r]*){{1,6}}$))[^\\n]*$")
 #: Equivalent spellings: endings by pattern, then words by plain replacement.
 ENDINGS = "([a-z]{2})is(e|ed|es|er|ers|ing|ation|ations)\\b"
 SPELLINGS = {"licenc": "licens", "favour": "favor", "labour": "labor", "judgement": "judgment",
@@ -21,24 +48,29 @@ SPELLINGS = {"licenc": "licens", "favour": "favor", "labour": "labor", "judgemen
              "artefact": "artifact", "offence": "offense", "wilful": "willful", "fulfil ": "fulfill ",
              "sub licens": "sublicens", "non commercial": "noncommercial", "per cent": "percent", "https": "http"}
 
-#: SPDX identifiers with a licence text or usual notice.
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
-Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
-COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
-OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
-IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
-ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
-THIS SOFTWARE."""
+#: SPDX identifiers with a licence text (a line a paragraph) or usual notice.
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and '
+    'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+    'without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell '
+    'copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the'
+    ' following conditions:\n'
+    'The above copyright notice and this permission notice shall be included in all copies or substantial '
+    'portions of the Software.\n'
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+    'LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN '
+    'NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, '
+    'WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE '
+    'SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.')
+_ISC = (
+    'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is '
+    'hereby granted, provided that the above copyright notice and this permission notice appear in all '
+    'copies.\n'
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+    'INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE '
+    'FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM '
+    'LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, '
+    'ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.')
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),

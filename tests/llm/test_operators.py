@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import tempfile
+import textwrap
 
 import numpy as np
 import pytest
@@ -322,6 +323,20 @@ def test_licences(spark):
     assert all(r.license_id is None and not r.n_lines for r in none.collect())
 
 
+def test_licences_in_any_wrapping(spark):
+    mit = " ".join(licenses._MIT.split())
+    usual = [mit[:mit.index("THE SOFTWARE IS")].strip(), mit[mit.index("THE SOFTWARE IS"):]]
+    rows = [(0, mit)] + [(w, "Copyright (c) 2020 Some One\n\n" + "\n\n".join(textwrap.fill(p, w) for p in usual)) for w in range(30, 130)]
+    assert any(line.startswith("COPYRIGHT HOLDERS") for _, t in rows for line in t.split("\n"))
+    assert {r.doc_id: r.license_id for r in licenses.scan_licences(_docs(spark, rows)).collect()} == {w: "MIT" for w, _ in rows}
+    notices = ["Copyright (c) 2020 Some One", "# Copyright 2020, some", "\u00a9 Other", "(C) 2021 Other", "(c) Other Inc.", "Copyright Some One",
+               "COPYRIGHT HOLT LTD", "Copyright [yyyy] [name of copyright owner]", "copyright by others", "Copyright The X Authors"]
+    prose = ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice, this list", "Copyright License to reproduce", "(c) You must retain, in the form of",
+             "copyright, patent", "copyrighted work", "Copyright Owner", "copyright treaty of 1996"]
+    lines = spark.createDataFrame([(x,) for x in notices + prose], "t string").select("t", licenses.canonical(F.concat(F.lit("a\n"), "t", F.lit("\r\nb"))).alias("c"))
+    assert {r.t for r in lines.collect() if r.c == "a b"} == set(notices)
+
+
 SF = "/root/testdata/sf0.001"
 
 
