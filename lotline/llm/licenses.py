@@ -7,6 +7,10 @@ joined to the digests of known licence texts and notices by hash.
 """
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,29 +75,86 @@ _ISC = (
     'FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM '
     'LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, '
     'ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.')
-KNOWN = (
-    ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
-    ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("ISC", "SPDX-License-Identifier: ISC"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
-)
+_LONG = {path.name.removesuffix(".txt"): path.read_text(encoding="utf-8")
+         for path in sorted((files("lotline.llm") / "licence_texts").iterdir(), key=lambda path: path.name) if path.name.endswith(".txt")}
+#: Titles that stand above a text.
+_TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+           "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License"), "Zlib": ("zlib License", "The zlib License"),
+           "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+           "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"), "Unlicense": ("The Unlicense",)}
+#: Notices are a lead, with or without "the" or "the terms of the", and a name.
+_LEADS = ("Licensed", "Released", "Distributed", "Published", "Available", "This work is licensed", "This software is licensed",
+          "This project is licensed", "This program is licensed", "This file is licensed", "This document is licensed")
+_NAMES = {
+    "MIT": ("MIT License", "MIT"), "ISC": ("ISC License", "ISC"), "Zlib": ("zlib License",), "Unlicense": ("Unlicense",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "0BSD": ("Zero-Clause BSD License", "0BSD"), "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License"),
+    **{f"{kind}{number}.0-{which}": tuple(f"{name}{end}" for name in (
+        *(f"GNU {word}General Public License{sep}{number}" for sep in (", version ", " v", " ")), f"GNU {kind[:-1]} version {number}",
+        f"GNU {kind[:-1]} v{number}", f"{kind[:-1]}v{number}") for end in ends)
+       for kind, word, number in (("GPL-", "", 2), ("GPL-", "", 3), ("LGPL-", "Lesser ", 3), ("AGPL-", "Affero ", 3))
+       for which, ends in (("only", ("", ".0", " only")), ("or-later", (" or later", ".0 or later", " or any later version", " or (at your option) any later version")))},
+    **{f"CC-{short}-4.0": (f"CC {short} 4.0", f"Creative Commons {name} 4.0 International License", f"Creative Commons {name} 4.0 License")
+       for short, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                           ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                           ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+}
+
+
+def _between(text: str, start: str, end: str) -> str:
+    return text[text.index(start):text.index(end, text.index(start)) + len(end)]
+
+
+def _texts() -> Iterator[tuple[str, str]]:
+    """Whole texts as they are published, in their usual variants, and the headers of files under the long ones."""
+    whole = [("MIT", _MIT), ("ISC", _ISC), *_LONG.items()]
+    for name, text in list(whole):
+        if name.startswith("BSD-"):  # items numbered or not; "holder" and "owner" are both usual
+            for items in (text, re.sub(r"(?m)^[123]\. ", "", text)):
+                whole += [(name, re.sub("COPYRIGHT\\s+(HOLDER|OWNER)\\s+OR", f"COPYRIGHT {who} OR", items)) for who in ("HOLDER", "OWNER")]
+        if "END OF TERMS AND CONDITIONS" in text:  # without the advice behind the terms
+            terms = text[:text.index("END OF TERMS AND CONDITIONS")]
+            whole += [(name, terms), (name, terms + "END OF TERMS AND CONDITIONS")]
+    for name, text in whole:
+        yield name, text
+        if re.search(r"(?im)^\W*copyright (\(c\)|\[)", text):  # on one line, where the notices inside do not begin lines
+            yield name, " ".join(text.split())
+        for title in _TITLES.get(name, ()):
+            yield name, f"{title}\n{text}"
+            yield name, f"{title}\nAll rights reserved.\n{text}"
+        if name in _TITLES:
+            yield name, f"All rights reserved.\n{text}"
+    yield "Apache-2.0", _between(_LONG["Apache-2.0"], "Licensed under the Apache", "limitations under the License.")
+    mozilla = _between(_LONG["MPL-2.0"], "This Source Code Form is subject to the terms of the Mozilla", "mozilla.org/MPL/2.0/.")
+    yield from (("MPL-2.0", mozilla), ("MPL-2.0", mozilla.replace("http:", "https:")))
+    either = _between(_LONG["GPL-3.0-only"], "This program is free software: you", "<https://www.gnu.org/licenses/>.")
+    for kind, word, number in (("GPL-", "", 2), ("GPL-", "", 3), ("LGPL-", "Lesser ", 3), ("AGPL-", "Affero ", 3)):
+        later = either.replace("GNU General", f"GNU {word}General").replace("version 3", f"version {number}")
+        yield f"{kind}{number}.0-or-later", later
+        yield f"{kind}{number}.0-only", re.sub(r"either (version \d of the License), or\s+\(at your option\) any later version", r"\1", later)
+
+
+def _known() -> Iterator[tuple[str, str]]:
+    yield from _texts()
+    for name in sorted({*_NAMES, *_LONG}):
+        yield name, f"SPDX-License-Identifier: {name}"
+    for name, called in _NAMES.items():
+        for what in dict.fromkeys(called):
+            for lead in _LEADS:
+                yield from ((name, f"{lead} under {article}{what}.") for article in ("", "the ", "the terms of the "))
+                if what.startswith("Creative"):
+                    yield name, f"{lead} under a {what}."
+
+
+KNOWN = tuple(dict.fromkeys(_known()))
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    """``(license_id, text)`` of the texts above."""
+    """``(license_id, text)``: whole texts, file headers, notices and tags of the licences above."""
     return spark.createDataFrame(list(KNOWN), "license_id string, text string")
 
 

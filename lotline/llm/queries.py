@@ -116,8 +116,8 @@ def op9_bpe_trie(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary)
 
 
-def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licences(table(spark, sf_dir, "documents"))
+def op10_licence_digests(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    found = licenses.scan_licences(table(spark, sf_dir, "documents"), known)
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
 

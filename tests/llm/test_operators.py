@@ -337,6 +337,29 @@ def test_licences_in_any_wrapping(spark):
     assert {r.t for r in lines.collect() if r.c == "a b"} == set(notices)
 
 
+def test_whole_licence_texts_and_notices(spark):
+    long = {n: licenses._LONG[n] for n in ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only",
+                                           "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "Zlib")}
+    cases = [(n, f"Copyright (c) 2020 Some One\n\n{t}") for n, t in long.items()] + [(n, " ".join(t.split())) for n, t in long.items()]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + re.sub(r"(?m)^\d\.", "*", long["BSD-3-Clause"])),
+              ("Apache-2.0", long["Apache-2.0"].split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS"),
+              ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                          "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+              ("MIT", "Distributed under the terms of the MIT licence"), ("GPL-3.0-only", "This software is licensed under the GNU GPL v3."),
+              ("GPL-2.0-or-later", "Released under the GNU General Public License, version 2 or later"),
+              ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+              (None, long["BSD-2-Clause"][:-40]), (None, "This work is not licensed under the MIT License.")]
+    got = licenses.scan_licences(_docs(spark, [(k, t) for k, (_, t) in enumerate(cases)])).collect()
+    assert {r.doc_id: r.license_id for r in got} == {k: n for k, (n, _) in enumerate(cases)}
+    by_digest = {}
+    for n, t in spark.createDataFrame(list(licenses.KNOWN), "n string, t string").select("n", licenses.canonical(F.col("t"))).collect():
+        by_digest.setdefault(t, set()).add(n)
+    assert "" not in by_digest and all(len(n) == 1 for n in by_digest.values())
+    own = spark.createDataFrame([("Own", cases[0][1])], "license_id string, text string")
+    found = queries.op10_licence_digests(spark, SF, own)
+    assert found.columns == ["doc_id", "canonical_sha256", "license_id", "n_lines", "licenses"] and not found.where("licenses <> ''").count()
+
+
 SF = "/root/testdata/sf0.001"
 
 
