@@ -29,14 +29,19 @@ def _key() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
+def _node() -> Column:
+    """Like ``_key``, but a null text is not an empty one."""
+    return F.xxhash64("doc_id", "text", F.col("text").isNull())
+
+
 def _bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, keys: DataFrame, key: Column | None = None) -> DataFrame:
     """``docs`` less the rows whose key is in ``keys``."""
     keys = written(keys.select(F.col(_KEY).alias("__key")).distinct(), "rejected")
-    return docs.join(_bounded(keys, BROADCAST_KEYS), _key() == F.col("__key"), "left_anti")
+    return docs.join(_bounded(keys, BROADCAST_KEYS), (_key() if key is None else key) == F.col("__key"), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,18 +55,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, and one row of each repeated id and text."""
-    found = written(minhash.near_duplicates(docs.select("doc_id", "text")), "components")
-    lost = written(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "rejected")
-    kept = docs.join(_bounded(lost, BROADCAST_KEYS), F.col("doc_id") == F.col("__id"), "left_anti")
-    again = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(
-        F.col("doc_id").alias("__id")), "repeated")
+    """Keeps one row of each group of near duplicates, and one of all rows that are equal in id and text.
+
+    Every id with a text is a node of its own, so texts that share an id, or
+    have none, are judged each by itself.  A group keeps its smallest id; a row
+    without an id only if none has one.  Of rows equal in id and text that
+    differ in other columns, the least by these columns stays.
+    """
+    nodes = written(docs.groupBy(_node().alias(_KEY)).agg(
+        F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "nodes")
+    found = minhash.near_duplicates(docs.select(_node().alias(_KEY), "text"), id_col=_KEY).groupBy(_KEY).agg(
+        F.first("component_id").alias("component"))
+    members = written(nodes.join(found, _KEY), "components")
+    first = members.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", _KEY)).alias("m")).select(F.col(f"m.{_KEY}").alias(_KEY))
+    stays = written(members.select(_KEY, "n").join(first.withColumn("stays", F.lit(True)), _KEY, "left"), "decided")
+    kept = _without(docs, stays.where("stays is null"), _node())
+    again = written(stays.where("stays and n > 1").select(F.col(_KEY).alias("__key")), "repeated")
     if again.isEmpty():
         return kept
     repeated = _bounded(again, BROADCAST_KEYS)
-    same = F.col("doc_id") == F.col("__id")
-    return kept.join(repeated, same, "left_anti").unionByName(
-        kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    same = _node() == F.col("__key")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    one = kept.join(repeated, same, "left_semi").groupBy(_node().alias(_KEY)).agg(
+        F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return kept.join(repeated, same, "left_anti").unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,23 @@ def test_stages(spark, sf_dir):
 def test_run_gives_the_last_stage(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "input_ids", "n_tokens"] and got.count() > 50
+
+
+def test_near_duplicate_stage_judges_rows(spark):
+    """Repeated ids with other texts, and rows without ids, are rows of their own."""
+    rnd = random.Random(12)
+    text = lambda: " ".join("".join(rnd.sample("aeioutnrsl", 6)) for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(1, a), (7, b), (7, c), (7, a + " more"), (8, d), (8, d), (8, e), (None, f), (None, f + " more"), (None, f),
+            (None, b), (None, g), (9, ""), (9, None), (10, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    of_f = [x for x in kept if x[1] and x[1].startswith(f)]
+    assert len(of_f) == 1 and of_f[0][0] is None
+    key = lambda x: (x[0] or 0, x[1] is None, x[1] or "")
+    want = [(1, a), (7, b), (7, c), (8, d), (8, e), (None, g), (9, ""), (9, None), (10, "")]
+    assert sorted((x for x in kept if x not in of_f), key=key) == sorted(want, key=key)
+    assert {r.source for r in got.collect() if r.text == d} == {"s4"}
