@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, decontaminate, embeddings, langid, licenses, minhash, quality, secrets, toxicity, warc
+from lotline.llm import (bpe, decontaminate, embeddings, langid, licenses, minhash, quality, secrets, tokenids,
+                         toxicity, warc)
 from lotline.sources.tables import table
 
 
@@ -147,6 +148,14 @@ FROM whole LEFT JOIN known USING (digest) LEFT JOIN lines USING (r) LEFT JOIN id
 """
 
 
+def op11_token_ids_pfor(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    found = tokenids.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier": op1_quality_fourier,
     "op2_decontaminate_prefix": op2_decontaminate_prefix,
@@ -158,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets_markov": op8_secrets_markov,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_licence_digests": op10_licence_digests,
+    "op11_token_ids_pfor": op11_token_ids_pfor,
 }
 
 #: DuckDB SQL by query; the queries without an entry are tested by brute force in ``tests/llm``.
