@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import (bpe, decontaminate, embeddings, langid, licenses, minhash, quality, secrets, tokenids,
+from lotline.llm import (bpe, conversations, decontaminate, embeddings, langid, licenses, minhash, quality, secrets, tokenids,
                          toxicity, warc)
 from lotline.sources.tables import table
 
@@ -156,6 +156,17 @@ def op11_token_ids_pfor(spark: SparkSession, sf_dir: str, vocabulary: str | None
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_conversation_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.report(conversations.repair_conversations(conversations.damage(rows)))
+    every = rows.select(F.col("conv_id").alias("_id")).distinct()
+    found = every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(F.col("_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier": op1_quality_fourier,
     "op2_decontaminate_prefix": op2_decontaminate_prefix,
@@ -168,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_trie": op9_bpe_trie,
     "op10_licence_digests": op10_licence_digests,
     "op11_token_ids_pfor": op11_token_ids_pfor,
+    "op13_conversation_agenda": op13_conversation_agenda,
 }
 
 #: DuckDB SQL by query; the queries without an entry are tested by brute force in ``tests/llm``.
