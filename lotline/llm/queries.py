@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import (bpe, conversations, decontaminate, embeddings, langid, licenses, minhash, quality, secrets, tokenids,
+from lotline.llm import (bpe, conversations, decontaminate, embeddings, langid, licenses, minhash, negatives, quality, secrets, tokenids,
                          toxicity, warc)
 from lotline.sources.tables import table
 
@@ -156,6 +156,35 @@ def op11_token_ids_pfor(spark: SparkSession, sf_dir: str, vocabulary: str | None
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH part AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+item AS (SELECT vec_id, label, unnest(q) AS v, generate_subscripts(q, 1) AS d FROM part),
+score AS (
+  SELECT a.vec_id AS anchor, a.label AS label, b.vec_id AS other, b.label AS other_label, CAST(sum(a.v * b.v) AS BIGINT) AS s
+  FROM item AS a JOIN item AS b ON a.d = b.d WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+positive AS (
+  SELECT anchor, label, other AS positive, s AS ps FROM score WHERE other_label = label
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s DESC, other) <= 5)
+SELECT anchor AS anchor_id, positive AS positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor, positive ORDER BY s DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, ps AS positive_score, s AS negative_score
+FROM positive JOIN score USING (anchor)
+WHERE other_label <> positive.label AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps
+QUALIFY row_number() OVER (PARTITION BY anchor, positive ORDER BY s DESC, other) <= 3
+"""
+
+
 def op13_conversation_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     found = conversations.report(conversations.repair_conversations(conversations.damage(rows)))
@@ -179,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_trie": op9_bpe_trie,
     "op10_licence_digests": op10_licence_digests,
     "op11_token_ids_pfor": op11_token_ids_pfor,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_agenda": op13_conversation_agenda,
 }
 
@@ -187,4 +217,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate_prefix": OP2_SQL,
     "op6_warc_seekable": OP6_SQL,
     "op10_licence_digests": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
