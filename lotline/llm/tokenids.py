@@ -24,10 +24,12 @@ them: no token of the vocabulary files in question crosses ASCII white space.
 """
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ _HEAD, _TRAILER = struct.Struct("<IIIB"), struct.Struct("<QQQQ8s")
 GROUP, TEXT_BYTES = 256, 1 << 22
 #: A worker forgets its strings when it knows more ids or characters than this.
 KNOWN_IDS = 6_000_000
+#: Strings of characters that keep their form under composition, and those of them that end in a word and a stop.
+PLAIN, TAIL = r"^[!-~À-ÖØ-öø-ÿ]*$", r"[0-9a-zß-öø-ÿ][.,]$"
 MANIFEST = "slice int, file string, n_docs long, n_ids long"
 _BIT = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
@@ -220,6 +224,7 @@ class StringEncoder:
     _loaded: dict[str, StringEncoder] = {}
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core to itself
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
@@ -244,7 +249,7 @@ class StringEncoder:
         code = len(self.known)
         rows = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         size = np.fromiter(map(len, rows), np.int64, len(rows))
-        ids = np.fromiter((i for r in rows for i in r), np.uint32, int(size.sum()))
+        ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(size.sum()))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         while code + len(rows) > len(self.first):
@@ -257,11 +262,14 @@ class StringEncoder:
         self.known.update(zip(strings, range(code, code + len(rows))))
 
     def codes(self, strings: pa.Array) -> np.ndarray:
-        distinct = strings.to_pylist()
-        new = [x for x in dict.fromkeys(distinct) if x not in self.known]
+        """The code of each string; each distinct one is looked up once."""
+        found = strings.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        new = [x for x in distinct if x not in self.known]
         for i in range(0, len(new), 4096):
             self.learn(new[i:i + 4096])
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        codes = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return codes[found.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The lengths of the texts, and their ids one after another, each text with the end id."""
@@ -270,14 +278,12 @@ class StringEncoder:
         words = pc.ascii_split_whitespace(texts)
         ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
         found = words.flatten().dictionary_encode()
-        if isinstance(found, pa.ChunkedArray):
-            found = found.combine_chunks()
         strings, index = found.dictionary, found.indices.to_numpy(zero_copy_only=False)
-        # the library lowers letters itself; of plain strings the cases and a last full stop or comma are taken apart
-        # here, so fewer strings differ (special tokens are told by case, and composed letters after it)
-        plain = pc.and_(pc.string_is_ascii(strings), pc.invert(pc.match_substring(strings, "<|")))
-        strings = pc.if_else(plain, pc.ascii_lower(strings), strings)
-        tail = pc.and_(plain, pc.match_substring_regex(strings, r"[0-9a-z][.,]$"))
+        # the library lowers letters itself; of plain strings the case is settled and a last full stop or comma taken
+        # off here, so fewer strings differ (special tokens are told by case, and other letters are composed first)
+        plain = pc.and_(pc.match_substring_regex(strings, PLAIN), pc.invert(pc.match_substring(strings, "<|")))
+        strings = pc.if_else(plain, pc.utf8_lower(strings), strings)
+        tail = pc.and_(plain, pc.match_substring_regex(strings, TAIL))
         stem = self.codes(pc.if_else(tail, pc.utf8_slice_codeunits(strings, 0, -1), strings))
         rest = self.codes(pc.if_else(tail, pc.utf8_slice_codeunits(strings, -1), ""))
         sequence = np.empty(2 * len(index) + len(ends), np.int64)
@@ -296,7 +302,7 @@ class StringEncoder:
 
 
 def write_ids(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *,
-              end_id: int = 1, share: float = 0.9, docs_per_file: int = 20_000) -> DataFrame:
+              end_id: int = 1, share: float = 0.98, docs_per_file: int = 20_000) -> DataFrame:
     """Encode the documents and write their ids to files in ``folder``; returns the manifest, a written table.
 
     Files follow one another by ``slice``, documents within them by id, null ids
