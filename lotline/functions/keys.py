@@ -29,11 +29,6 @@ def canonical_key(cols: Sequence[tuple[Column, bool]]) -> Column:
     return F.concat_ws(KEY_SEPARATOR, *[key_part(c, s) for c, s in cols])
 
 
-def canonical_key_parts(cols: Sequence[tuple[Column, bool]]) -> Column:
-    """Array form of the key: used for grouping so that a ``|`` inside a value cannot collide."""
-    return F.array(*[key_part(c, s) for c, s in cols])
-
-
 def norm_owner(table: Column) -> Column:
     t = strip_ws(F.coalesce(table, F.lit("")))
     return F.upper(F.when(t.contains("."), F.substring_index(t, ".", 1)).otherwise(F.lit(DEFAULT_OWNER)))

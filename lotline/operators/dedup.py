@@ -1,7 +1,7 @@
 """Deduplication (inventory B1-B6).
 
 First arrival wins everywhere, by an explicit arrival column list.  Every
-first-wins rule is an aggregate ``min(struct(arrival, row))`` per key: Spark
+first-wins rule is an aggregate ``min_by(row, arrival)`` per key: Spark
 combines it map-side, so a hot key is reduced to one row per task before the
 shuffle instead of being sorted in one task as a window would.
 """
@@ -13,27 +13,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotline import frames
-from lotline.functions.keys import canonical_key, canonical_key_parts
+from lotline.functions.keys import canonical_key, key_part
 
 R_KEY_REQUIRED = "key required"
 
 
-def with_key(df: DataFrame, cols: Sequence[str], name: str = "DEDUP_KEY") -> DataFrame:
-    """B1: canonical key text, plus the parts array used for grouping."""
+def key_parts(df: DataFrame, cols: Sequence[str]) -> list[tuple[Column, bool]]:
+    """The key columns, each with whether it is text."""
     types = dict(df.dtypes)
-    parts = [(F.col(c), types[c] == "string") for c in cols]
-    return df.withColumn(name, canonical_key(parts)).withColumn(f"_{name}_parts", canonical_key_parts(parts))
+    return [(F.col(c), types[c] == "string") for c in cols]
+
+
+def with_key(df: DataFrame, cols: Sequence[str], name: str = "DEDUP_KEY") -> DataFrame:
+    """B1: canonical key text, plus its parts ``_<name>_0``, ... for grouping (a ``|`` in a value cannot collide)."""
+    parts = key_parts(df, cols)
+    return df.select("*", canonical_key(parts).alias(name), *[key_part(c, s).alias(f"_{name}_{i}") for i, (c, s) in enumerate(parts)])
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], arrival: Sequence[str]) -> DataFrame:
-    """Keep the first-arriving row of every key (a map-side-combined aggregate)."""
-    rest = [c for c in df.columns if c not in key and c not in arrival]
-    packed = F.struct(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(arrival)],
-                      *[F.col(c) for c in rest])
-    agg = df.groupBy(*key).agg(F.min(packed).alias("_first"))
-    out = [F.col(c) for c in key] + [F.col(f"_first._a{i}").alias(c) for i, c in enumerate(arrival)] \
-        + [F.col(f"_first.{c}").alias(c) for c in rest]
-    return agg.select(*out).select(*df.columns)
+    """Keep the first-arriving row of every key (a map-side-combined aggregate).
+
+    Only the arrival columns are compared, so the other columns may be of any
+    type (maps and variants included); they must tell all rows of a key apart.
+    """
+    rest = [c for c in df.columns if c not in key]
+    agg = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_first"))
+    return agg.select(*key, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def dedup_lifetime(df: DataFrame, key_cols: Sequence[str], arrival: Sequence[str],
@@ -41,8 +46,8 @@ def dedup_lifetime(df: DataFrame, key_cols: Sequence[str], arrival: Sequence[str
     """One row per key for the lifetime of the table (no key columns -> no dedup)."""
     if not key_cols:
         return df.withColumn(key_name, F.lit(None).cast("string"))
-    k = with_key(df, key_cols, key_name)
-    return first_per_key(k, [*group, f"_{key_name}_parts"], arrival).drop(f"_{key_name}_parts")
+    parts = [f"_{key_name}_{i}" for i in range(len(key_cols))]
+    return first_per_key(with_key(df, key_cols, key_name), [*group, *parts], arrival).drop(*parts)
 
 
 def dedup_batch(df: DataFrame, key_cols: Sequence[str], arrival: Sequence[str], batch: str = "BATCH_ID",
@@ -54,9 +59,9 @@ def dedup_batch(df: DataFrame, key_cols: Sequence[str], arrival: Sequence[str],
 def dedup_message_key(df: DataFrame, key: str, arrival: Sequence[str]) -> DataFrame:
     """Rows with a NULL or empty key always pass; the others keep their first arrival."""
     blank = F.col(key).isNull() | (F.col(key) == "")
-    passed = df.where(blank)
-    keyed = first_per_key(df.where(~blank), [key], arrival)
-    return passed.unionByName(keyed)
+    # a row without a key is a group of its own, told apart by its arrival: the input is read once
+    own = df.withColumn("_own", F.when(blank, F.struct(*arrival)))
+    return first_per_key(own, [key, "_own"], arrival).drop("_own")
 
 
 def require_key(df: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lotline import frames
 from lotline.functions import coerce as C
-from lotline.functions.keys import norm_table
+from lotline.functions.keys import norm_table, strip_ws
 from lotline.sources.catalog import TargetTable
 
 # Fixed reason texts for rows that leave the main flow.
@@ -27,11 +27,23 @@ ENVELOPE_SCHEMA = "Table string, Key string, Payload map<string,variant>, Ts str
 _ENV_COLS = ("_e_table", "_e_key", "_e_payload", "_e_ts", "_e_corrupt")
 
 
+def _one_value(b: Column) -> Column:
+    """Whether the text is one JSON value and nothing behind it (the parsers stop behind the first value).
+
+    A bracket that closes nothing would end a surrounding array or object early,
+    so text with a square one behind the value must stand inside an object, too.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), b, F.lit("]"))) == 1
+    inside = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), b, F.lit("}")))) == 1
+    return F.coalesce(alone & (~b.contains("]") | inside), F.lit(False))
+
+
 def decode_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
     """A2: JSON envelope -> TABLE_RAW, TABLE_NAME, MSG_KEY, PAYLOAD (map<string,variant>), MSG_TS, _reason.
 
-    A missing Table or a Payload that is not an object gives a reason (the row
-    leaves the main flow); a missing or null Payload is an empty object.
+    A body that is not one JSON object from end to end, a missing or blank Table
+    or a Payload that is not an object gives a reason (the row leaves the main
+    flow); a missing or null Payload is an empty object.
 
     The body is parsed exactly once per row on the common path: ``from_json``
     reads the payload straight into ``map<string,variant>`` (JSON numbers and
@@ -41,18 +53,14 @@ def decode_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
     reference.  Only rows the parser flags as corrupt are looked at again, to
     tell broken JSON from a payload that is not an object.
     """
-    env = F.from_json(F.col(body), ENVELOPE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
-    x = df.select("*", F.inline(F.array(env)).alias(*_ENV_COLS))
     b = F.col(body)
+    env = F.from_json(b, ENVELOPE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+    x = df.select("*", F.inline(F.array(env)).alias(*_ENV_COLS))
     corrupt = F.col("_e_corrupt").isNotNull()
-    # text behind the object: seen by its end, or by an object that begins behind another, outside of strings
-    unquoted = F.regexp_replace(b, r'"(\\.|[^"\\])*"', "")
-    trailing = ~b.rlike(r"\}\s*$") | (b.rlike(r"\}\s*\{") & unquoted.rlike(r"\}\s*\{"))
-    reason = (F.when(b.isNull() | (F.trim(b) == ""), F.lit(R_NOT_JSON))
-              .when(~corrupt & trailing, F.lit(R_NOT_JSON))
-              .when(corrupt & F.col("_e_table").isNull(), F.lit(R_NOT_JSON))
-              .when(corrupt, F.when(F.try_parse_json(b).isNull(), F.lit(R_NOT_JSON)).otherwise(F.lit(R_PAYLOAD)))
-              .when(F.coalesce(F.col("_e_table"), F.lit("")) == "", F.lit(R_NO_TABLE)))
+    reason = (F.when(~_one_value(b), F.lit(R_NOT_JSON))
+              .when(corrupt & (F.try_parse_json(b).isNull() | ~b.rlike(r"^\s*\{")), F.lit(R_NOT_JSON))
+              .when(F.coalesce(strip_ws(F.col("_e_table")), F.lit("")) == "", F.lit(R_NO_TABLE))
+              .when(corrupt, F.lit(R_PAYLOAD)))
     payload = F.coalesce(F.col("_e_payload"), F.create_map().cast("map<string,variant>"))
     return x.select(
         *[F.col(c) for c in df.columns],

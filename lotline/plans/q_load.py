@@ -356,7 +356,7 @@ UNION ALL
 SELECT arr_k1, MSG_KEY FROM dec WHERE MSG_KEY <> ''
 QUALIFY row_number() OVER (PARTITION BY MSG_KEY ORDER BY {ARR}) = 1""", "msg_orders"))
 def b5(spark: SparkSession, d: str) -> DataFrame:
-    dec = load.good(load.decode_envelopes(V.msg_orders(spark, d))).select(*V.ARRIVAL_MSG, "MSG_KEY")
+    dec = load.good(load.decode_envelopes(V.msg_orders(spark, d))).select(*V.ARRIVAL_MSG, "MSG_KEY", "PAYLOAD")
     kept = dedup.dedup_message_key(dec, "MSG_KEY", V.ARRIVAL_MSG)
     return kept.select(F.col("arr_k1").alias("ORDER_KEY"), "MSG_KEY")
 
@@ -443,22 +443,26 @@ def dirty_orders(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("body", body)
 
 
-@register("c6_dead_letters", with_views("""
-WITH m AS (
-  SELECT arr_k1,
+#: The same in DuckDB: every order message with its reason, null for good ones.
+DIRTY_SQL = """
+dirty AS (
+  SELECT * REPLACE (
          CASE arr_k1 % 7 WHEN 3 THEN '{"Table":"APP.ORDERS","Key":"' || arr_k1 || '"'
               WHEN 4 THEN '[1,2]'
               WHEN 5 THEN '{"Key":"' || arr_k1 || '","Payload":{"ORDER_ID":' || arr_k1 || '}}'
               WHEN 6 THEN '{"Table":"APP.ORDERS","Key":"' || arr_k1 || '","Payload":"oops"}'
-              ELSE body END AS body
+              ELSE body END AS body)
   FROM msg_orders),
-r AS (
-  SELECT arr_k1 AS ORDER_KEY, body AS RAW,
-         CASE WHEN NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'not a json object'
-              WHEN json_extract_string(body, '$.Table') IS NULL THEN 'missing table'
-              WHEN json_type(body, '$.Payload') NOT IN ('OBJECT', 'NULL') THEN 'payload not an object' END AS REASON
-  FROM m)
-SELECT * FROM r WHERE REASON IS NOT NULL""", "msg_orders"))
+judged AS (
+  SELECT *, CASE WHEN NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'not a json object'
+                 WHEN json_extract_string(body, '$.Table') IS NULL THEN 'missing table'
+                 WHEN json_type(body, '$.Payload') NOT IN ('OBJECT', 'NULL') THEN 'payload not an object' END AS REASON
+  FROM dirty)"""
+
+
+@register("c6_dead_letters", with_views(f"""
+WITH {DIRTY_SQL.strip()}
+SELECT arr_k1 AS ORDER_KEY, body AS RAW, REASON FROM judged WHERE REASON IS NOT NULL""", "msg_orders"))
 def c6(spark: SparkSession, d: str) -> DataFrame:
     dec = load.decode_envelopes(dirty_orders(spark, d))
     return load.rejected(dec).select(F.col("arr_k1").alias("ORDER_KEY"), F.col("body").alias("RAW"),

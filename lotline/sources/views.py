@@ -62,6 +62,17 @@ def msg_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def msg_types(spark: SparkSession, d: str) -> DataFrame:
+    """part -> envelopes for a table without a key (App.Type_Demo), all message keys null."""
+    p = table(spark, d, "part")
+    payload = F.struct(F.col("p_size").alias("N9"), F.col("p_partkey").alias("n10"), F.col("p_retailprice").alias("NN"),
+                       F.col("p_retailprice").alias("F"), F.col("p_name").alias("c"))
+    body = F.to_json(F.struct(F.lit(" App.Type_Demo").alias("Table"), payload.alias("Payload")))
+    return p.select(add_hours(ntz(dt.datetime(1995, 1, 1)), F.col("p_partkey") % 50000).alias("arr_ts"), F.lit(3).alias("arr_src"),
+                    F.col("p_partkey").cast("bigint").alias("arr_k1"),
+                    *[F.lit(0).cast("bigint").alias(f"arr_k{i}") for i in (2, 3, 4)], body.alias("body"))
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
     return msg_orders(spark, d).unionByName(msg_lines(spark, d))
 
