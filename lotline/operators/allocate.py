@@ -4,18 +4,21 @@ Requests arrive one by one and each takes one slot at the first node of its
 ranked candidate list that still has room.  With one common priority (the
 request number) that sequential outcome is the unique stable matching, so it
 is computed with deferred acceptance (Gale & Shapley 1962) in rounds of
-joins: unassigned requests propose to their next candidate, every node keeps
-its ``free`` smallest request numbers, the rest move on.  Two exact prunings
-keep the rounds small:
-
-* a request whose candidates cover its whole connected component (BFS
-  form) is served iff it is among the first ``C`` requests of the component
-  (``C`` = free slots of the component), and then only needs the prefix of
-  its list whose cumulative free capacity reaches its position;
+joins: unplaced requests propose to their next candidate, every node keeps
+its ``free`` smallest request numbers, the rest move on.  Three exact prunings
+keep rounds, lists and pools small:
+
+* requests of one start have one list, so the k-th of them begins at the rank
+  of the list's k-th slot; a start with most of all requests offers a node no
+  more of them at first than it has room, and drops those beyond its list;
 * a node that is full with holders all smaller than ``r`` can never take
-  ``r``, so ``r`` skips it at once.
+  ``r``, so ``r`` skips it at once;
+* a request whose list covers its whole connected component (BFS form) is
+  served iff it is among the first ``C`` requests of the component (``C`` =
+  free slots of the component); its list is expanded as far as it is needed.
 
-Only loop counters reach the driver; each round is checkpointed.
+A round reads one block of candidates per unplaced request.  Only loop counters
+reach the driver; each round is checkpointed.
 """
 from __future__ import annotations
 
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from lotline import frames, graph
 
 R_UNKNOWN_START = "unknown start"
+#: Candidates that an unplaced request looks at in a round; parts of the lists that are kept apart.
+BLOCK, LISTS = 16, 8
 _LOG = logging.getLogger("lotline.allocate")
 
 
@@ -66,144 +71,187 @@ def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
         "NODE_ID", F.coalesce("_c", "NODE_ID").alias("COMP")))
 
 
-def bfs_ranks(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
-    """BFS visiting order from every start (rank 1 = the start itself).
-
-    Level-synchronous until no frontier is left: the frontier meets the
-    adjacency list, unseen nodes keep their first discovery ``(parent rank,
-    edge order)``, and ranks continue after the nodes seen so far.  ``adj`` has
-    every edge both ways (E1), so a neighbour of level L lies in level L-1, L or
-    L+1: new nodes are told from the last two levels alone, and a level is
-    written once.  A start with a ``NEED`` column stops expanding once its
-    visited free capacity reaches the need (the rest of its list can never be
-    used).  Output: START_ID, NODE_ID, RANK, LEVEL, FREE, CUM_FREE (free
-    capacity of ranks <= RANK).
+class Frontier:
+    """BFS from many starts at once, a level at a time and only for the starts that ask.
+
+    ``adj`` has every edge both ways (E1), so a neighbour of a node of level L
+    lies in level L-1, L or L+1: new nodes are told from the last two levels of
+    a start alone.  Unseen nodes keep their first discovery ``(parent rank, edge
+    order)``, and ranks continue after the nodes seen so far.  ``levels`` are the
+    written parts of the visiting order: START_ID, NODE_ID, RANK (1 = the start),
+    LEVEL, FREE, CUM_FREE (free capacity of ranks <= RANK).
     """
-    has_need = "NEED" in starts.columns
-    s = starts.select("START_ID", *(["NEED"] if has_need else [])).join(
-        free.select(F.col("NODE_ID").alias("START_ID")), "START_ID", "left_semi")
-    fr = free.select("NODE_ID", "FREE")
-    frontier = frames.checkpoint(s.select("START_ID", F.col("START_ID").alias("NODE_ID"), F.lit(1).cast("long").alias("RANK"),
-                                          F.lit(0).alias("LEVEL")).join(fr, "NODE_ID"))
-    # per start: its last rank and free capacity so far
-    state = frames.checkpoint(frontier.join(s, "START_ID").select(
-        "START_ID", F.lit(1).cast("long").alias("LAST"), F.col("FREE").cast("long").alias("GOT"),
-        *(["NEED"] if has_need else [])))
-    levels, before, level = [frontier], None, 0
-    while True:
-        level += 1
-        active = frontier
-        if has_need:
-            active = frontier.join(state.where(F.col("GOT") < F.col("NEED")).select("START_ID"), "START_ID", "left_semi")
-        ex = active.select("START_ID", F.col("NODE_ID").alias("_p"), F.col("RANK").alias("_prank")).join(
-            adj.withColumnRenamed("NODE_ID", "_p"), "_p")
-        near = frontier.select("START_ID", "NODE_ID")
-        if before is not None:
-            near = near.unionByName(before.select("START_ID", "NODE_ID"))
-        ex = ex.select("START_ID", F.col("NBR").alias("NODE_ID"), "_prank", "EDGE_SEQ").join(
-            near, ["START_ID", "NODE_ID"], "left_anti")
-        first = ex.groupBy("START_ID", "NODE_ID").agg(F.min(F.struct("_prank", "EDGE_SEQ")).alias("_d"))
-        first = first.select("START_ID", "NODE_ID", F.col("_d._prank").alias("_prank"), F.col("_d.EDGE_SEQ").alias("_es"))
-        numbered = frames.row_number_by(first, ["START_ID"], ["_prank", "_es", "NODE_ID"], "_lr")
-        new = frames.checkpoint(numbered.join(state.select("START_ID", "LAST"), "START_ID").join(fr, "NODE_ID").select(
-            "NODE_ID", "START_ID", (F.col("LAST") + F.col("_lr")).alias("RANK"), F.lit(level).alias("LEVEL"), "FREE"))
-        _log(f"bfs: level {level}")
+
+    def __init__(self, starts: DataFrame, free: DataFrame, adj: DataFrame):
+        self.adj, self.free = adj.withColumnRenamed("NODE_ID", "_p"), free.select("NODE_ID", "FREE")
+        first = starts.select("START_ID", F.col("START_ID").alias("NODE_ID")).join(self.free, "NODE_ID")
+        first = first.select("START_ID", "NODE_ID", F.lit(1).cast("long").alias("RANK"), F.lit(0).alias("LEVEL"), "FREE",
+                             F.col("FREE").cast("long").alias("CUM_FREE"))
+        self.last = frames.checkpoint(first)
+        self.before = self.last.limit(0)
+        # per start: its last level and rank, and its free capacity so far
+        self.state = self.last.select("START_ID", "LEVEL", F.col("RANK").alias("LAST"), F.col("CUM_FREE").alias("GOT"))
+        self.levels = [self.last]
+
+    def expand(self, active: DataFrame | None = None) -> DataFrame | None:
+        """The next level of the ``active`` starts (START_ID; default all); None if no start has one."""
+        asked = self.last if active is None else self.last.join(active, "START_ID", "left_semi")
+        found = asked.select("START_ID", F.col("NODE_ID").alias("_p"), F.col("RANK").alias("_prank")).join(self.adj, "_p")
+        near = self.last.select("START_ID", "NODE_ID").unionByName(self.before.select("START_ID", "NODE_ID"))
+        found = found.select("START_ID", F.col("NBR").alias("NODE_ID"), "_prank", "EDGE_SEQ").join(near, ["START_ID", "NODE_ID"], "left_anti")
+        found = found.groupBy("START_ID", "NODE_ID").agg(F.min(F.struct("_prank", "EDGE_SEQ")).alias("_d"))
+        found = found.select("START_ID", "NODE_ID", "_d._prank", "_d.EDGE_SEQ").join(self.free, "NODE_ID")
+        found = frames.running_by_group(found, ["START_ID"], ["_prank", "EDGE_SEQ", "NODE_ID"],
+                                        {"_n": ("count", None), "_f": ("sum", "FREE")}).join(self.state, "START_ID")
+        new = frames.checkpoint(found.select(
+            "START_ID", "NODE_ID", (F.col("LAST") + F.col("_n")).alias("RANK"), (F.col("LEVEL") + 1).alias("LEVEL"), "FREE",
+            (F.col("GOT") + F.col("_f")).alias("CUM_FREE")))
+        if active is None:
+            self.before, self.last = self.last, new
+        else:  # the others keep their last two levels
+            rest = lambda df: df.join(active, "START_ID", "left_anti")
+            self.before, self.last = (frames.checkpoint(asked.unionByName(rest(self.before))),
+                                      frames.checkpoint(new.unionByName(rest(self.last))))
         if new.isEmpty():
-            break
-        gain = new.groupBy("START_ID").agg(F.max("RANK").alias("_last"), F.sum("FREE").alias("_got"))
-        state = frames.checkpoint(state.join(gain, "START_ID", "left").select(
-            "START_ID", F.coalesce("_last", "LAST").alias("LAST"), (F.col("GOT") + F.coalesce("_got", F.lit(0))).alias("GOT"),
-            *(["NEED"] if has_need else [])))
-        levels.append(new)
-        before, frontier = frontier, new
-    out = levels[0]
-    for part in levels[1:]:
+            return None
+        gain = new.groupBy("START_ID").agg(F.max("LEVEL").alias("_v"), F.max("RANK").alias("_l"), F.max("CUM_FREE").alias("_g"))
+        self.state = frames.checkpoint(self.state.join(gain, "START_ID", "left").select(
+            "START_ID", F.coalesce("_v", "LEVEL").alias("LEVEL"), F.coalesce("_l", "LAST").alias("LAST"), F.coalesce("_g", "GOT").alias("GOT")))
+        self.levels.append(new)
+        return new
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
-    return frames.running_by_group(out.select("START_ID", "NODE_ID", "RANK", "LEVEL", "FREE"), ["START_ID"], ["RANK"],
-                                   {"CUM_FREE": ("sum", "FREE")})
+    return out
+
+
+def bfs_ranks(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
+    """BFS visiting order from every known start, whole (see :class:`Frontier`)."""
+    front = Frontier(starts, free, adj)
+    while front.expand() is not None:
+        _log(f"bfs: level {len(front.levels)}")
+    return _union(front.levels)
 
 
 def one_hop_candidates(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
-    """E3 lists: the start itself (rank 1), then its direct neighbours in edge order."""
-    s = starts.select("START_ID").join(free.select(F.col("NODE_ID").alias("START_ID")), "START_ID", "left_semi")
-    own = s.select("START_ID", F.col("START_ID").alias("NODE_ID"), F.lit(-1).cast("long").alias("_o"))
-    nb = s.join(adj.withColumnRenamed("NODE_ID", "START_ID"), "START_ID").select(
+    """E3 lists: the start itself, then its direct neighbours in edge order; RANK, FREE and CUM_FREE as in E4."""
+    fr = free.select("NODE_ID", "FREE")
+    own = starts.select("START_ID", F.col("START_ID").alias("NODE_ID"), F.lit(-1).cast("long").alias("_o"))
+    nb = starts.select("START_ID").join(adj.withColumnRenamed("NODE_ID", "START_ID"), "START_ID").select(
         "START_ID", F.col("NBR").alias("NODE_ID"), F.col("EDGE_SEQ").cast("long").alias("_o"))
-    c = own.unionByName(nb)
-    return frames.row_number_by(c, ["START_ID"], ["_o", "NODE_ID"], "RANK").drop("_o")
+    known = fr.select(F.col("NODE_ID").alias("START_ID"))
+    c = own.unionByName(nb).join(known, "START_ID", "left_semi").join(fr, "NODE_ID")
+    return frames.running_by_group(c, ["START_ID"], ["_o", "NODE_ID"], {"RANK": ("count", None), "CUM_FREE": ("sum", "FREE")}).drop("_o")
 
 
-def deferred_acceptance(cand: DataFrame, free: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Stable matching of requests to node slots with a common priority (smaller REQ_NO first).
+def _placed(asked: DataFrame, cand: DataFrame, free: DataFrame, grow=None) -> DataFrame:
+    """Every request in the place of a sequential run (REQ_NO, NODE_ID); those that end without one are missing.
 
-    ``cand``: REQ_NO, NODE_ID, RANK (1 = most preferred).  Returns REQ_NO,
-    NODE_ID for every request that got a slot.
+    ``asked``: REQ_NO, START_ID, PTR.  Each round, an unplaced request looks at
+    one block of its start's list from PTR on and proposes to the first node
+    that may take it; a node keeps its ``FREE`` smallest requests.  A request at
+    the end of the known list calls for ``grow(starts)``, the next candidates of
+    these starts or None.
     """
     fr = free.select("NODE_ID", "FREE").where(F.col("FREE") > 0)
-    c = frames.checkpoint(cand.join(fr.select("NODE_ID"), "NODE_ID", "left_semi").select("REQ_NO", "NODE_ID", "RANK"))
-    state = frames.checkpoint(c.select("REQ_NO").distinct().select(
-        "REQ_NO", F.lit(0).cast("long").alias("LAST_RANK"), F.lit(None).cast(c.schema["NODE_ID"].dataType).alias("HELD"),
-        F.lit(False).alias("DONE")))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    usable = lambda c: c.where(F.col("FREE") > 0).select("START_ID", "RANK", "NODE_ID", "FREE", block("RANK").alias("_b"))
+    lists = [frames.checkpoint(usable(cand))]
+    ends = cand.groupBy("START_ID").agg(F.max("RANK").alias("_end"))
+    kind = free.schema["NODE_ID"].dataType
+    state = frames.checkpoint(asked.select("REQ_NO", "START_ID", "PTR", F.lit(None).cast(kind).alias("HELD"), F.lit(False).alias("DONE")))
     rounds = 0
-    for _ in range(max_rounds):
-        held = state.where(F.col("HELD").isNotNull())
-        node_state = held.groupBy(F.col("HELD").alias("NODE_ID")).agg(
-            F.count(F.lit(1)).alias("_n"), F.max("REQ_NO").alias("_maxh")).join(fr, "NODE_ID")
-        un = state.where(F.col("HELD").isNull() & ~F.col("DONE")).select("REQ_NO", "LAST_RANK")
-        opts = un.join(c, "REQ_NO").where(F.col("RANK") > F.col("LAST_RANK")).join(node_state, "NODE_ID", "left")
-        blocked = (F.col("_n") >= F.col("FREE")) & (F.col("_maxh") < F.col("REQ_NO"))
-        opts = opts.where(~F.coalesce(blocked, F.lit(False)))
-        prop = opts.groupBy("REQ_NO").agg(F.min(F.struct("RANK", "NODE_ID")).alias("_p")).select(
-            "REQ_NO", F.col("_p.NODE_ID").alias("NODE_ID"), F.col("_p.RANK").alias("RANK"))
-        prop = frames.checkpoint(prop)
+    while True:
         rounds += 1
-        if prop.isEmpty():
+        held = state.where(F.col("HELD").isNotNull())
+        full = held.groupBy(F.col("HELD").alias("NODE_ID")).agg(F.count(F.lit(1)).alias("_n"), F.max("REQ_NO").alias("_worst"))
+        free_now = state.where(F.col("HELD").isNull() & ~F.col("DONE"))
+        seen = free_now.select("REQ_NO", "START_ID", "PTR", block("PTR").alias("_b")).join(_union(lists), ["START_ID", "_b"], "left")
+        seen = seen.join(full, "NODE_ID", "left")
+        shut = F.coalesce((F.col("_n") >= F.col("FREE")) & (F.col("_worst") < F.col("REQ_NO")), F.lit(False))
+        fits = (F.col("RANK") >= F.col("PTR")) & ~shut
+        # one row per unplaced request: its proposal, or the next block
+        look = frames.checkpoint(seen.groupBy("REQ_NO", "START_ID").agg(
+            F.min(F.when(fits, F.struct("RANK", "NODE_ID"))).alias("_p"), ((F.max("_b") + 1) * BLOCK).alias("_next")).join(
+            ends, "START_ID", "left").select("REQ_NO", "START_ID", F.col("_p.RANK").alias("RANK"), F.col("_p.NODE_ID").alias("NODE_ID"),
+                                             "_next", "_end"))
+        if look.isEmpty():
             break
-        pool = held.select("REQ_NO", F.col("HELD").alias("NODE_ID"), F.col("LAST_RANK").alias("RANK")).unionByName(prop)
-        # per node the pool is its holders plus this round's proposers: at most the
-        # served requests of its component, i.e. bounded by the component's free slots
-        ranked = pool.withColumn("_pos", F.row_number().over(Window.partitionBy("NODE_ID").orderBy("REQ_NO"))).join(
-            fr, "NODE_ID")
-        kept = ranked.select("REQ_NO", F.col("RANK").alias("LAST_RANK"),
-                             F.when(F.col("_pos") <= F.col("FREE"), F.col("NODE_ID")).alias("HELD"))
-        # unassigned requests without a proposal this round have no usable candidate left
-        idle = un.join(prop.select("REQ_NO"), "REQ_NO", "left_anti").select(
-            "REQ_NO", "LAST_RANK", F.lit(None).cast(c.schema["NODE_ID"].dataType).alias("HELD"),
-            F.lit(True).alias("DONE"))
-        rest = state.where(F.col("DONE")).unionByName(idle)
-        state = frames.checkpoint(kept.withColumn("DONE", F.lit(False)).unionByName(rest))
-    else:
-        raise RuntimeError("allocation did not converge")
-    _log(f"deferred acceptance: {rounds} rounds")
+        _log(f"allocation: round {rounds}")
+        prop = look.where(F.col("NODE_ID").isNotNull())
+        pool = held.select("REQ_NO", "START_ID", F.col("HELD").alias("NODE_ID"), F.col("PTR").alias("RANK")).unionByName(
+            prop.select("REQ_NO", "START_ID", "NODE_ID", "RANK")).join(fr, "NODE_ID")
+        # a start offers a node no more requests than it has room, so a pool is bounded by the room around the node
+        ranked = pool.withColumn("_pos", F.row_number().over(Window.partitionBy("NODE_ID").orderBy("REQ_NO")))
+        stays = F.col("_pos") <= F.col("FREE")
+        kept = ranked.select("REQ_NO", "START_ID", F.when(stays, F.col("RANK")).otherwise(F.col("RANK") + 1).alias("PTR"),
+                             F.when(stays, F.col("NODE_ID")).alias("HELD"), F.lit(False).alias("DONE"))
+        idle = look.where(F.col("NODE_ID").isNull())
+        hungry = frames.checkpoint(idle.where(F.col("_next") > F.col("_end")).select("START_ID").distinct())
+        more = None
+        if grow is not None and not hungry.isEmpty():
+            more = grow(hungry)
+        over = F.col("_next") > F.col("_end")
+        if more is None:
+            moved = idle.select("REQ_NO", "START_ID", F.col("_next").alias("PTR"), F.lit(None).cast(kind).alias("HELD"), over.alias("DONE"))
+        else:  # behind the known end at most, where the list goes on; starts that have no more end here
+            going = more.select("START_ID").distinct().withColumn("_going", F.lit(True))
+            moved = idle.join(going, "START_ID", "left").select(
+                "REQ_NO", "START_ID", F.least("_next", F.col("_end") + 1).alias("PTR"), F.lit(None).cast(kind).alias("HELD"),
+                (over & F.col("_going").isNull()).alias("DONE"))
+            lists.append(frames.checkpoint(usable(more)))
+            if len(lists) > LISTS:
+                lists = [frames.checkpoint(_union(lists))]
+            ends = frames.checkpoint(ends.unionByName(more.groupBy("START_ID").agg(F.max("RANK").alias("_end"))).groupBy("START_ID").agg(
+                F.max("_end").alias("_end")))
+        state = frames.checkpoint(kept.unionByName(moved).unionByName(state.where("DONE")))
     return state.where(F.col("HELD").isNotNull()).select("REQ_NO", F.col("HELD").alias("NODE_ID"))
 
 
+def _first_places(numbered: DataFrame, cand: DataFrame, need: DataFrame) -> DataFrame:
+    """Where each request begins: the k-th of its start at the rank that holds the start's k-th free slot.
+
+    The slots before go to earlier requests of the same start at the latest,
+    for these have the same list.  Requests beyond the last slot are missing.
+    """
+    slots = cand.where(F.col("FREE") > 0).join(need, "START_ID").where(F.col("CUM_FREE") - F.col("FREE") < F.col("NEED")).select(
+        "START_ID", F.explode(F.sequence(F.col("CUM_FREE") - F.col("FREE") + 1, F.least("CUM_FREE", "NEED"))).alias("_k"),
+        F.col("RANK").alias("PTR"))
+    return numbered.join(slots, ["START_ID", "_k"]).select("REQ_NO", "START_ID", "PTR")
+
+
 def allocate_bfs(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
     """Each request (REQ_NO, START_ID) in order takes a slot at its first BFS-ranked node with room.
 
     Unknown starts and requests beyond their component's free capacity get NULL.
+    A start's list is expanded until it has room for its own requests, and
+    further, level by level, only while one of them is without a place.
     """
-    nodes = free.select("NODE_ID")
-    comp = components(nodes, adj)
+    comp = components(free.select("NODE_ID"), adj)
     cap = free.join(comp, "NODE_ID").groupBy("COMP").agg(F.sum("FREE").alias("_C"))
     r = requests.join(comp.withColumnRenamed("NODE_ID", "START_ID"), "START_ID")
-    # materialised once: every BFS level and the candidate join read it
-    r = frames.checkpoint(frames.row_number_by(r, ["COMP"], ["REQ_NO"], "_pos").join(cap, "COMP"))
-    served = frames.checkpoint(r.where(F.col("_pos") <= F.col("_C")))
-    need = frames.checkpoint(served.groupBy("START_ID").agg(F.max("_pos").alias("NEED")))
-    ranks = bfs_ranks(need, free, adj)
-    cand = served.select("REQ_NO", "START_ID", "_pos").join(ranks, "START_ID").where(
-        F.col("CUM_FREE") - F.col("FREE") < F.col("_pos")).select("REQ_NO", "NODE_ID", "RANK")
-    got = deferred_acceptance(cand, free)
+    r = frames.row_number_by(r, ["COMP"], ["REQ_NO"], "_pos").join(cap, "COMP").where(F.col("_pos") <= F.col("_C"))
+    served = frames.checkpoint(frames.row_number_by(r.select("REQ_NO", "START_ID"), ["START_ID"], ["REQ_NO"], "_k"))
+    need = frames.checkpoint(served.groupBy("START_ID").agg(F.max("_k").alias("NEED")))
+    front = Frontier(need, free, adj)
+    while True:
+        short = frames.checkpoint(front.state.join(need, "START_ID").where(F.col("GOT") < F.col("NEED")).select("START_ID"))
+        if short.isEmpty() or front.expand(short) is None:
+            break
+    cand = _union(front.levels)
+    got = _placed(_first_places(served, cand, need), cand, free, front.expand)
     return requests.select("REQ_NO", "START_ID").join(got, "REQ_NO", "left")
 
 
 def allocate_one_hop(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
     """Own node first, else the first direct neighbour with room, else none; unknown start is an error."""
-    starts = requests.select("START_ID").distinct()
-    cand = one_hop_candidates(starts, free, adj)
-    rc = requests.select("REQ_NO", "START_ID").join(cand, "START_ID").select("REQ_NO", "NODE_ID", "RANK")
-    got = deferred_acceptance(rc, free)
+    numbered = frames.checkpoint(frames.row_number_by(requests.select("REQ_NO", "START_ID"), ["START_ID"], ["REQ_NO"], "_k"))
+    need = numbered.groupBy("START_ID").agg(F.max("_k").alias("NEED"))
+    cand = frames.checkpoint(one_hop_candidates(need, free, adj))
+    got = _placed(_first_places(numbered, cand, need), cand, free)
     known = free.select(F.col("NODE_ID").alias("START_ID"), F.lit(True).alias("_known"))
     out = requests.select("REQ_NO", "START_ID").join(got, "REQ_NO", "left").join(known, "START_ID", "left")
     return out.select("REQ_NO", "START_ID", "NODE_ID",
