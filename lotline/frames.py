@@ -46,10 +46,11 @@ def running_by_group(
     """Add inclusive running aggregates per ``group`` in ``order``.
 
     ``specs`` maps an output column to ``(kind, column)`` with kind one of
-    count (a 1-based row number; column ignored), sum, max, min.
+    count (a 1-based row number; column ignored), sum, max, min; ``sum_before``,
+    ``max_before`` and ``min_before`` leave the row itself out.
     """
     for kind, _ in specs.values():
-        if kind not in _KINDS:
+        if kind.removesuffix("_before") not in _KINDS:
             raise ValueError(f"unknown running kind {kind!r}")
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -61,6 +62,7 @@ def running_by_group(
     w = Window.partitionBy(*group, "_slice").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     local = []
     totals = []
     for name, (kind, col) in specs.items():
@@ -68,8 +70,8 @@ def running_by_group(
             local.append(F.row_number().over(w).alias(f"_l_{name}"))
             totals.append(F.count(F.lit(1)).alias(f"_t_{name}"))
         else:
-            fn = getattr(F, kind)
-            local.append(fn(_c(col)).over(w).alias(f"_l_{name}"))
+            fn = getattr(F, kind.removesuffix("_before"))
+            local.append(fn(_c(col)).over(before if kind.endswith("_before") else w).alias(f"_l_{name}"))
             totals.append(fn(_c(col)).alias(f"_t_{name}"))
     # Both the totals and the final rows must see the *same* slices; two
     # independently planned range exchanges may sample different bounds, so
@@ -79,6 +81,7 @@ def running_by_group(
     wc = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for name, (kind, _) in specs.items():
+        kind = kind.removesuffix("_before")
         fn = F.sum if kind in ("count", "sum") else getattr(F, kind)
         carry_cols.append(fn(f"_t_{name}").over(wc).alias(f"_o_{name}"))
     carry = tot.select(
@@ -95,6 +98,7 @@ def running_by_group(
     out = [F.col(c) for c in df.columns]
     for name, (kind, _) in specs.items():
         lv, ov = F.col(f"_l_{name}"), F.col(f"_o_{name}")
+        kind = kind.removesuffix("_before")
         if kind in ("count", "sum"):
             # a slice that has had only NULLs so far keeps the sum of the slices before it
             out.append(F.coalesce(ov + lv, lv, ov).alias(name))
@@ -186,6 +190,30 @@ def neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]
     return j.select(*[F.col(c) for c in df.columns], *[F.col(f"_near.{c}").alias(f"{prefix}{c}") for c in cols])
 
 
+def beside(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], cols: Sequence[str],
+           ahead: str = "next_", behind: str = "prev_", partitions: int | None = None) -> DataFrame:
+    """``lead`` and ``lag`` of the columns in one pass over the slices (see :func:`neighbour`)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group, order_cols = list(group), [_c(o) for o in order]
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order_cols)
+    item = F.struct(*[F.col(c) for c in cols])
+    x = df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols).withColumn("_slice", F.spark_partition_id())
+    x = checkpoint(x.select("*", F.lead(item).over(inside).alias("_ahead"), F.lag(item).over(inside).alias("_behind")))
+    ends = x.where("_ahead is null or _behind is null").groupBy(*group, "_slice").agg(
+        F.max(F.when(F.col("_behind").isNull(), item)).alias("_first"), F.max(F.when(F.col("_ahead").isNull(), item)).alias("_last"))
+    over = Window.partitionBy(*group).orderBy("_slice")
+    far = ends.select(*[F.col(g).alias(f"_k_{g}") for g in group], F.col("_slice").alias("_k_slice"),
+                      F.lead("_first").over(over).alias("_far_ahead"), F.lag("_last").over(over).alias("_far_behind"))
+    far = far.where("_far_ahead is not null or _far_behind is not null")  # two groups of a slice at most
+    on = F.col("_slice") == F.col("_k_slice")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    j = x.join(F.broadcast(far), on, "left").select(
+        *[F.col(c) for c in df.columns], F.coalesce("_ahead", "_far_ahead").alias("_ahead"), F.coalesce("_behind", "_far_behind").alias("_behind"))
+    return j.select(*[F.col(c) for c in df.columns], *[F.col(f"_ahead.{c}").alias(f"{ahead}{c}") for c in cols],
+                    *[F.col(f"_behind.{c}").alias(f"{behind}{c}") for c in cols])
+
+
 def chunked_lists(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], items: Column,
                   chunk: int = 1000, partitions: int | None = None) -> DataFrame:
     """Ordered item lists per group, cut into rows of at most ``chunk`` items.

@@ -152,10 +152,13 @@ def windowed_count(events: DataFrame, keys: Sequence[str], ts_sec: str, tie: str
 
 
 def admission(lots: DataFrame, group: Sequence[str], arrival: Sequence[str], load: Column, limit: Column) -> DataFrame:
-    """Running load per group in arrival order; admitted while it stays within the limit."""
+    """Running load per group in arrival order; admitted while it stays within the limit.
+
+    A lot whose load is unknown adds nothing and is not admitted; without a limit all known loads are.
+    """
     x = lots.withColumn("_load", load)
     r = frames.running_by_group(x, list(group), list(arrival), {"CUM_LOAD": ("sum", "_load")})
-    return r.withColumn("ADMITTED", F.coalesce(F.col("CUM_LOAD") <= limit, F.lit(True))).drop("_load")
+    return r.withColumn("ADMITTED", F.col("_load").isNotNull() & F.coalesce(F.col("CUM_LOAD") <= limit, F.lit(True))).drop("_load")
 
 
 def form_batches(lots: DataFrame, key: Sequence[str], arrival: Sequence[str], wafers: str,

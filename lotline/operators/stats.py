@@ -26,20 +26,36 @@ def eqp_plan(track: DataFrame, keys: Sequence[str], ts: str = "TS", kind: str =
     """one row per visit: ARRIVAL_TS, START_TS (first track-in), END_TS (last track-out).
 
     ``track`` holds events with ``kind`` in (arrive, in, out); a NULL equipment is '-'.
-    An arrival opens a visit of its keys, to which the events up to the next
-    arrival belong; at equal times an arrival comes first, then in, then out.
+    An arrival opens a visit of its keys; the events up to the next arrival
+    belong to it.  At one instant, an out closes the visit that is open before an
+    arrival opens the next; without an open visit, the arrival comes first, so a
+    visit may begin and end at one instant.  Whether a visit is open follows from
+    the last instant with more arrivals than outs (open) or fewer (closed); as
+    many of both leave it as it was.  An in at the instant of an arrival belongs
+    to the new visit.
     """
     k = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c == "EQP_ID" else F.col(c) for c in keys]
-    g = track.select(*k, F.col(ts).alias("_ts"), F.col(kind).alias("_k"),
-                     F.array_position(F.array(*[F.lit(x) for x in ("arrive", "in", "out")]), F.col(kind)).alias("_o"),
-                     (F.col(kind) == "arrive").cast("int").alias("_a"))
-    g = frames.running_by_group(g, keys, ["_ts", "_o"], {"_visit": ("sum", "_a")})
-    return g.groupBy(*keys, "_visit").agg(
-        F.min(F.when(F.col("_k") == "arrive", F.col("_ts"))).alias("ARRIVAL_TS"),
-        F.min(F.when(F.col("_k") == "in", F.col("_ts"))).alias("START_TS"),
-        F.max(F.when(F.col("_k") == "out", F.col("_ts"))).alias("END_TS"),
-    ).select(F.lit(scenario).alias("SCENARIO_ID"), F.lit(version).alias("VERSION_NO"), *keys,
-             "ARRIVAL_TS", "START_TS", "END_TS")
+    count = lambda x: F.count_if(F.col("_k") == x)
+    at = track.select(*k, F.col(ts).alias("_ts"), F.col(kind).alias("_k")).groupBy(*keys, "_ts").agg(
+        count("arrive").alias("_a"), count("in").alias("_i"), count("out").alias("_o"))
+    turn = F.signum(F.col("_a") - F.col("_o"))
+    at = frames.running_by_group(at, keys, ["_ts"], {
+        "_visit": ("sum", "_a"), "_last": ("max_before", F.when(turn != 0, F.struct("_ts", turn.alias("_turn"))))})
+    both = F.coalesce(F.col("_last._turn") > 0, F.lit(False)) & (F.col("_a") > 0) & (F.col("_o") > 0)
+    when = lambda c: F.when(c, F.col("_ts"))
+    none = F.lit(None).cast(track.schema[ts].dataType)
+    part = lambda visit, a, i, o: F.struct(visit.alias("_visit"), a.alias("_arrive"), i.alias("_in"), o.alias("_out"))
+    visit = F.col("_visit")
+    # arrivals of one instant beside the last open visits of their own
+    earlier = F.when(F.col("_a") > 1, F.transform(F.sequence(visit - F.col("_a") + 1, visit - 1), lambda v: part(v, F.col("_ts"), none, none)))
+    parts = F.concat(
+        F.array(part(visit, when(F.col("_a") > 0), when(F.col("_i") > 0), when(F.col("_o") - both.cast("int") > 0))),
+        F.when(both, F.array(part(visit - F.col("_a"), none, none, F.col("_ts")))).otherwise(F.array()),
+        F.coalesce(earlier, F.array()))
+    found = at.select(*keys, F.inline(parts))
+    return found.groupBy(*keys, "_visit").agg(
+        F.min("_arrive").alias("ARRIVAL_TS"), F.min("_in").alias("START_TS"), F.max("_out").alias("END_TS")).select(
+        F.lit(scenario).alias("SCENARIO_ID"), F.lit(version).alias("VERSION_NO"), *keys, "ARRIVAL_TS", "START_TS", "END_TS")
 
 
 def load_stat(intervals: DataFrame, eqp: str = "EQP_ID", start: str = "TS", end: str = "END_TS",
@@ -78,35 +94,35 @@ def weighted_tat(s: Column, q: Column) -> Column:
     return F.when(q > 0, F.try_divide(s, q)).otherwise(s)
 
 
-def cycle_time(moves: DataFrame, keys: Sequence[str] = ("PART_ID", "STEP_SEQ", "EQP_ID")) -> DataFrame:
-    """weighted TATs (total, wait, run) per key and the simple mean wait per lot."""
+def cycle_time(moves: DataFrame, keys: Sequence[str] = ("PART_ID", "STEP_SEQ", "EQP_ID"), extra: Sequence[Column] = ()) -> DataFrame:
+    """weighted TATs (total, wait, run) per key, the simple mean wait per lot, and further aggregates."""
     tat = F.col("RUN_HOUR") + F.col("WAIT_HOUR")
+    more = [F.struct(*extra).alias("_more")] if extra else []
     g = moves.groupBy(*keys).agg(
         F.sum("QTY").alias("MOVE_QTY"), F.sum(tat * F.col("QTY")).alias("TOTAL_TAT_W"),
         F.sum(F.col("WAIT_HOUR") * F.col("QTY")).alias("WAIT_TAT_W"),
         F.sum(F.col("RUN_HOUR") * F.col("QTY")).alias("RUN_TAT_W"),
-        F.sum("WAIT_HOUR").alias("WAIT_SUM"), F.count(F.lit(1)).alias("LOT_COUNT"))
+        F.sum("WAIT_HOUR").alias("WAIT_SUM"), F.count(F.lit(1)).alias("LOT_COUNT"), *more)
     q = F.col("MOVE_QTY")
     return g.select(*keys, "MOVE_QTY", "LOT_COUNT",
                     weighted_tat(F.col("TOTAL_TAT_W"), q).alias("TOTAL_TAT"),
                     weighted_tat(F.col("WAIT_TAT_W"), q).alias("WAIT_TAT"),
                     weighted_tat(F.col("RUN_TAT_W"), q).alias("RUN_TAT"),
-                    F.try_divide(F.col("WAIT_SUM"), F.col("LOT_COUNT")).alias("SIMPLE_WAIT"))
+                    F.try_divide(F.col("WAIT_SUM"), F.col("LOT_COUNT")).alias("SIMPLE_WAIT"), *(["_more.*"] if more else []))
 
 
 def cycle_time_periodic(moves: DataFrame, day_col: Column) -> DataFrame:
-    """F5 per day with loss counts and minutes.
+    """F5 per day with loss counts and minutes, in one aggregate.
 
     Losses (our definition on the move rows): rework = HOT, scrap = QTY < 5,
-    chuck = RUN_HOUR = 0, reticle = SETUP = 'O'.
+    chuck = RUN_HOUR = 0, reticle = SETUP = 'O'.  The minutes of rework and scrap
+    are those of their runs; chuck and reticle losses are waits.
     """
-    m = moves.withColumn("DAY", day_col)
-    base = cycle_time(m, ("DAY", "PART_ID", "STEP_SEQ"))
-    loss = m.groupBy("DAY", "PART_ID", "STEP_SEQ").agg(
-        F.count_if(F.col("HOT")).alias("REWORK_CNT"), F.count_if(F.col("QTY") < 5).alias("SCRAP_CNT"),
-        F.count_if(F.col("RUN_HOUR") == 0).alias("CHUCK_CNT"), F.count_if(F.col("SETUP") == "O").alias("RETICLE_CNT"),
-        F.sum(F.when(F.col("HOT"), F.col("RUN_HOUR") * 60).otherwise(0.0)).alias("REWORK_MIN"))
-    return base.join(loss, ["DAY", "PART_ID", "STEP_SEQ"])
+    losses = {"REWORK": (F.col("HOT"), "RUN_HOUR"), "SCRAP": (F.col("QTY") < 5, "RUN_HOUR"),
+              "CHUCK": (F.col("RUN_HOUR") == 0, "WAIT_HOUR"), "RETICLE": (F.col("SETUP") == "O", "WAIT_HOUR")}
+    extra = [F.count_if(lost).alias(f"{name}_CNT") for name, (lost, _) in losses.items()]
+    extra += [F.sum(F.when(lost, F.col(hours) * 60).otherwise(0.0)).alias(f"{name}_MIN") for name, (lost, hours) in losses.items()]
+    return cycle_time(moves.withColumn("DAY", day_col), ("DAY", "PART_ID", "STEP_SEQ"), extra)
 
 
 def wip_over_time(moves: DataFrame, step: str, start: str, end: str, tie: Sequence[str]) -> DataFrame:
@@ -122,12 +138,10 @@ def wip_over_time(moves: DataFrame, step: str, start: str, end: str, tie: Sequen
 def standby_gaps(moves: DataFrame, eqp: str, start: str, end: str, tie: Sequence[str]) -> DataFrame:
     """idle gaps between runs of an equipment after merging overlapping runs."""
     order = [start, *tie]
-    r = frames.running_by_group(moves.select(eqp, start, end, *tie), [eqp], order, {"_run_end": ("max", end)})
-    prev = frames.neighbour(r, [eqp], order, ["_run_end"], offset=-1, prefix="prev")
-    gaps = prev.where(F.col(start) > F.col("prev_run_end"))
-    return gaps.select(F.col(eqp).alias("EQP_ID"), F.col("prev_run_end").alias("GAP_START"),
-                       F.col(start).alias("GAP_END"),
-                       hours_between(F.col("prev_run_end"), F.col(start)).alias("GAP_HOURS"))
+    r = frames.running_by_group(moves.select(eqp, start, end, *tie), [eqp], order, {"_free": ("max_before", end)})
+    return r.where(F.col(start) > F.col("_free")).select(
+        F.col(eqp).alias("EQP_ID"), F.col("_free").alias("GAP_START"), F.col(start).alias("GAP_END"),
+        hours_between(F.col("_free"), F.col(start)).alias("GAP_HOURS"))
 
 
 def qtime_check(events: DataFrame, lot: str, ts: str, tie: str, is_start: Column, is_end: Column,
@@ -155,15 +169,16 @@ def qtime_check(events: DataFrame, lot: str, ts: str, tie: str, is_start: Column
 
 
 def route_cumulative(route: DataFrame) -> DataFrame:
-    """running yield (product via log-sum; 0 from the first zero yield on) and remaining cycle time."""
-    positive = F.col("YIELD") > 0
+    """running yield (product via log-sum of amounts and a count of signs; 0 from the first zero on) and remaining cycle time."""
+    y = F.col("YIELD")
     fwd = frames.running_by_group(route, ["ROUTE_ID"], ["STEP_SEQ"], {
-        "_log_y": ("sum", F.when(positive, F.log(F.col("YIELD")))),
-        "_zeros": ("sum", F.when(F.col("YIELD") == 0, 1).otherwise(0)), "CUM_CT": ("sum", "CT_HOUR")})
+        "_log_y": ("sum", F.when(y != 0, F.log(F.abs(y)))), "_minus": ("sum", F.when(y < 0, 1).otherwise(0)),
+        "_zeros": ("sum", F.when(y == 0, 1).otherwise(0)), "CUM_CT": ("sum", "CT_HOUR")})
     both = frames.running_by_group(fwd, ["ROUTE_ID"], [F.col("STEP_SEQ").desc()],
                                    {"REMAIN_CT": ("sum", "CT_HOUR")})
-    return both.withColumn("CUM_YIELD", F.when(F.col("_zeros") > 0, F.lit(0.0)).otherwise(F.exp("_log_y"))).drop(
-        "_log_y", "_zeros")
+    sign = F.when(F.col("_minus") % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return both.withColumn("CUM_YIELD", F.when(F.col("_zeros") > 0, F.lit(0.0)).otherwise(sign * F.exp("_log_y"))).drop(
+        "_log_y", "_zeros", "_minus")
 
 
 def bom_explode(bom: DataFrame, root: int = 0) -> DataFrame:
@@ -197,33 +212,47 @@ def bom_explode(bom: DataFrame, root: int = 0) -> DataFrame:
 
 
 def fifo_peg(supply: DataFrame, demand: DataFrame, product: str, qty: str,
-             supply_order: Sequence[str], demand_order: Sequence[str], bucket: float | None = None) -> DataFrame:
+             supply_order: Sequence[str], demand_order: Sequence[str], bucket: float | None = None,
+             exact: bool = False) -> DataFrame:
     """FIFO pegging of supply to demand per product.
 
     Quantities add up in decimals (six places) along each side; the ends of
     both sides cut a product's axis into segments, and each segment belongs to
-    the first supply and the first demand that end at it or behind it.  The
-    merged cut points are one row per input row, whatever the quantities, and
-    the "first behind" is a running minimum in descending order (skew-safe).
+    the first supply and the first demand that end at it or behind it, and
+    begins where the later of both begins.  The merged cut points are one row
+    per input row, whatever the quantities; one pass numbers and adds up both
+    sides, and one finds the "first behind" as a running minimum in descending
+    order (both skew-safe).  PEG_QTY is a double, or with ``exact`` the decimal,
+    which adds up without rounding.  A quantity that is null or
+    below zero raises; rows of quantity zero take a number and no peg.
     ``bucket`` has no effect; earlier callers may still give it.
     """
-    amount = F.col(qty).cast("decimal(28,6)")
-
-    def numbered(df, order, tag):
-        r = df.select(product, *order, F.greatest(amount, F.lit(0).cast("decimal(28,6)")).alias("_q"))
-        r = frames.running_by_group(r, [product], list(order), {"_seq": ("count", None), "_end": ("sum", "_q")})
-        return r.where(F.col("_q") > 0).select(
-            F.col(product).alias("PRODUCT"), F.col("_end").cast("decimal(38,6)").alias("_end"),
-            *[F.when(F.lit(tag == t), F.col("_seq")).cast("bigint").alias(f"_{t}") for t in ("s", "d")])
-
-    cuts = numbered(supply, supply_order, "s").unionByName(numbered(demand, demand_order, "d"))
+    kind = "decimal(28,6)"
+    names = [f"_o{i}" for i in range(max(len(supply_order), len(demand_order)))]
+
+    def side(df, order, tag):
+        types = dict(df.dtypes)
+        amount = F.col(qty).cast(kind)
+        fault = F.concat(F.lit(f"{qty} must not be null or below zero, but is "), F.coalesce(F.col(qty).cast("string"), F.lit("null")))
+        checked = F.when(F.coalesce(amount >= 0, F.lit(False)), amount).otherwise(F.raise_error(fault).cast(kind))
+        return df.select(F.col(product).alias("PRODUCT"), F.lit(tag).alias("_side"), checked.alias("_q"),
+                         *[(F.col(order[i]) if i < len(order) else F.lit(None)).alias(n) for i, n in enumerate(names)]), [types[c] for c in order]
+
+    (s, s_types), (d, d_types) = side(supply, supply_order, "s"), side(demand, demand_order, "d")
+    if s_types != d_types:
+        raise ValueError("both sides need order columns of the same types")
+    both = frames.running_by_group(s.unionByName(d), ["PRODUCT", "_side"], names, {"_seq": ("count", None), "_end": ("sum", "_q")})
+    end = F.col("_end").cast("decimal(38,6)")
+    item = F.struct(F.col("_seq").cast("bigint").alias("seq"), (end - F.col("_q")).cast("decimal(38,6)").alias("start"))
     # one row per cut point, so that equal ends are one
-    cuts = cuts.groupBy("PRODUCT", "_end").agg(F.min("_s").alias("_s"), F.min("_d").alias("_d"))
-    run = frames.running_by_group(cuts, ["PRODUCT"], [F.col("_end").desc()], {"SUPPLY_SEQ": ("min", "_s"), "DEMAND_SEQ": ("min", "_d")})
-    run = frames.neighbour(run.select("PRODUCT", "_end", "SUPPLY_SEQ", "DEMAND_SEQ"), ["PRODUCT"], ["_end"], ["_end"], -1, "_from")
-    start = F.coalesce(F.col("_from_end"), F.lit(0).cast("decimal(38,6)"))
-    return run.where("SUPPLY_SEQ is not null and DEMAND_SEQ is not null").select(
-        "PRODUCT", "DEMAND_SEQ", "SUPPLY_SEQ", (F.col("_end") - start).cast("double").alias("PEG_QTY"))
+    cuts = both.where("_q > 0").groupBy("PRODUCT", end.alias("_end")).agg(
+        F.min(F.when(F.col("_side") == "s", item)).alias("_s"), F.min(F.when(F.col("_side") == "d", item)).alias("_d"))
+    run = frames.running_by_group(cuts, ["PRODUCT"], [F.col("_end").desc()], {"_supply": ("min", "_s"), "_demand": ("min", "_d")})
+    # the last end before this one, of either side, is the start of one of both
+    pegs = run.where("_supply is not null and _demand is not null").select(
+        "PRODUCT", F.col("_demand.seq").alias("DEMAND_SEQ"), F.col("_supply.seq").alias("SUPPLY_SEQ"),
+        (F.col("_end") - F.greatest("_supply.start", "_demand.start")).cast("decimal(38,6)").alias("PEG_QTY"))
+    return pegs if exact else pegs.withColumn("PEG_QTY", F.col("PEG_QTY").cast("double"))
 
 
 def mttf_mttr(down: DataFrame, eqp: str = "EQP_ID", start: str = "START_TS", end: str = "END_TS") -> DataFrame:

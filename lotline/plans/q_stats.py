@@ -20,7 +20,8 @@ ISO_MS = "'%Y-%m-%dT%H:%M:%S'"
 def _track(spark: SparkSession, d: str) -> DataFrame:
     """moves -> track events: arrive (START - WAIT), in (START), out (END)."""
     m = V.moves(spark, d)
-    keys = [F.col("EQP_ID"), F.col("LOT_ID"), F.col("PART_ID").alias("ROUTE_ID"), F.col("STEP_SEQ")]
+    keys = [F.col("EQP_ID"), F.col("LOT_ID"), F.col("PART_ID").alias("ROUTE_ID"), F.col("STEP_SEQ"),
+            F.concat(F.lit("STEP"), F.col("STEP_SEQ").cast("string")).alias("STEP_ID")]
     arrive = F.timestamp_add("SECOND", F.round(F.col("WAIT_HOUR") * 3600).cast("int") * -1, F.col("START_TS"))
     a = m.select(*keys, arrive.alias("TS"), F.lit("arrive").alias("KIND"))
     i = m.select(*keys, F.col("START_TS").alias("TS"), F.lit("in").alias("KIND"))
@@ -29,20 +30,11 @@ def _track(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("f1_eqp_plan", with_views("""
-WITH t AS (
-  SELECT EQP_ID, LOT_ID, PART_ID AS ROUTE_ID, STEP_SEQ,
-         START_TS - to_seconds(CAST(round(WAIT_HOUR * 3600) AS BIGINT)) AS a, START_TS AS i, END_TS AS o FROM moves),
-e AS (SELECT EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, a AS ts, 1 AS k FROM t
-      UNION ALL SELECT EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, i, 2 FROM t
-      UNION ALL SELECT EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, o, 3 FROM t),
-v AS (SELECT *, sum((k = 1)::INT) OVER (PARTITION BY EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ ORDER BY ts, k
-                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS visit FROM e)
-SELECT 'BASE' AS SCENARIO_ID, 1 AS VERSION_NO, coalesce(CAST(EQP_ID AS VARCHAR), '-') AS EQP_ID, LOT_ID, ROUTE_ID,
-       STEP_SEQ, min(CASE WHEN k = 1 THEN ts END) AS ARRIVAL_TS, min(CASE WHEN k = 2 THEN ts END) AS START_TS,
-       max(CASE WHEN k = 3 THEN ts END) AS END_TS
-FROM v GROUP BY EQP_ID, LOT_ID, ROUTE_ID, STEP_SEQ, visit""", "moves"))
+SELECT 'BASE' AS SCENARIO_ID, 1 AS VERSION_NO, coalesce(CAST(EQP_ID AS VARCHAR), '-') AS EQP_ID, LOT_ID, PART_ID AS ROUTE_ID, STEP_SEQ,
+       'STEP' || STEP_SEQ AS STEP_ID, START_TS - to_seconds(CAST(round(WAIT_HOUR * 3600) AS BIGINT)) AS ARRIVAL_TS, START_TS, END_TS
+FROM moves""", "moves"))
 def f1(spark: SparkSession, d: str) -> DataFrame:
-    return S.eqp_plan(_track(spark, d), ["EQP_ID", "LOT_ID", "ROUTE_ID", "STEP_SEQ"])
+    return S.eqp_plan(_track(spark, d), ["EQP_ID", "LOT_ID", "ROUTE_ID", "STEP_SEQ", "STEP_ID"])
 
 
 @register("f2_load_history", with_views(f"""
@@ -121,13 +113,17 @@ g AS (
          sum((RUN_HOUR + WAIT_HOUR) * QTY) AS tw, sum(WAIT_HOUR * QTY) AS ww, sum(RUN_HOUR * QTY) AS rw,
          sum(WAIT_HOUR) AS wsum, count(*) FILTER (WHERE HOT) AS REWORK_CNT, count(*) FILTER (WHERE QTY < 5) AS SCRAP_CNT,
          count(*) FILTER (WHERE RUN_HOUR = 0) AS CHUCK_CNT, count(*) FILTER (WHERE SETUP = 'O') AS RETICLE_CNT,
-         sum(CASE WHEN HOT THEN RUN_HOUR * 60 ELSE 0.0 END) AS REWORK_MIN
+         sum(CASE WHEN HOT THEN RUN_HOUR * 60 ELSE 0.0 END) AS REWORK_MIN,
+         sum(CASE WHEN QTY < 5 THEN RUN_HOUR * 60 ELSE 0.0 END) AS SCRAP_MIN,
+         sum(CASE WHEN RUN_HOUR = 0 THEN WAIT_HOUR * 60 ELSE 0.0 END) AS CHUCK_MIN,
+         sum(CASE WHEN SETUP = 'O' THEN WAIT_HOUR * 60 ELSE 0.0 END) AS RETICLE_MIN
   FROM m GROUP BY ALL)
 SELECT DAY, PART_ID, STEP_SEQ, MOVE_QTY, LOT_COUNT,
        CASE WHEN MOVE_QTY > 0 THEN tw / MOVE_QTY ELSE tw END AS TOTAL_TAT,
        CASE WHEN MOVE_QTY > 0 THEN ww / MOVE_QTY ELSE ww END AS WAIT_TAT,
        CASE WHEN MOVE_QTY > 0 THEN rw / MOVE_QTY ELSE rw END AS RUN_TAT,
-       wsum / LOT_COUNT AS SIMPLE_WAIT, REWORK_CNT, SCRAP_CNT, CHUCK_CNT, RETICLE_CNT, REWORK_MIN
+       wsum / LOT_COUNT AS SIMPLE_WAIT, REWORK_CNT, SCRAP_CNT, CHUCK_CNT, RETICLE_CNT,
+       REWORK_MIN, SCRAP_MIN, CHUCK_MIN, RETICLE_MIN
 FROM g""", "moves"))
 def f6(spark: SparkSession, d: str) -> DataFrame:
     return S.cycle_time_periodic(V.moves(spark, d), shop_day(F.col("END_TS")))
@@ -272,13 +268,13 @@ SELECT d.PRODUCT, d.DEMAND_SEQ, d.QTY AS DEMAND_QTY, coalesce(sum(p.PEG_QTY), 0)
 FROM d LEFT JOIN p USING (PRODUCT, DEMAND_SEQ) GROUP BY d.PRODUCT, d.DEMAND_SEQ, d.QTY""")
 def f14_remaining(spark: SparkSession, d: str) -> DataFrame:
     supply, demand, order = _peg_sides(spark, d)
-    peg = S.fifo_peg(supply, demand, "PRODUCT", "QTY", order, order)
+    peg = S.fifo_peg(supply, demand, "PRODUCT", "QTY", order, order, exact=True)
     dem = frames.row_number_by(demand.select("PRODUCT", "QTY", *order), ["PRODUCT"], order, "DEMAND_SEQ")
     per = peg.groupBy("PRODUCT", "DEMAND_SEQ").agg(F.sum("PEG_QTY").alias("_p"))
     j = dem.join(per, ["PRODUCT", "DEMAND_SEQ"], "left")
-    pegged = F.coalesce(F.col("_p"), F.lit(0.0))
-    return j.select("PRODUCT", "DEMAND_SEQ", F.col("QTY").alias("DEMAND_QTY"), pegged.alias("PEGGED_QTY"),
-                    (F.col("QTY") - pegged).alias("REMAINING_QTY"))
+    asked, pegged = F.col("QTY").cast("decimal(28,6)"), F.coalesce(F.col("_p"), F.lit(0).cast("decimal(38,6)"))
+    return j.select("PRODUCT", "DEMAND_SEQ", F.col("QTY").alias("DEMAND_QTY"), pegged.cast("double").alias("PEGGED_QTY"),
+                    (asked - pegged).cast("double").alias("REMAINING_QTY"))
 
 
 def _lot_route(spark: SparkSession, d: str) -> DataFrame:
@@ -325,9 +321,7 @@ SELECT ROUTE_ID, STEP_SEQ, STEP_ID, lead(STEP_ID) OVER w AS NEXT_STEP_ID, lag(ST
 FROM route WINDOW w AS (PARTITION BY ROUTE_ID ORDER BY STEP_SEQ)""", "route"))
 def f16(spark: SparkSession, d: str) -> DataFrame:
     r = V.route(spark, d).select("ROUTE_ID", "STEP_SEQ", "STEP_ID")
-    n = frames.neighbour(r, ["ROUTE_ID"], ["STEP_SEQ"], ["STEP_ID"], 1, "NEXT_")
-    p = frames.neighbour(n, ["ROUTE_ID"], ["STEP_SEQ"], ["STEP_ID"], -1, "PREV_")
-    return p
+    return frames.beside(r, ["ROUTE_ID"], ["STEP_SEQ"], ["STEP_ID"], "NEXT_", "PREV_")
 
 
 @register("f17_down_by_type", with_views("""

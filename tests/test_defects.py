@@ -1,6 +1,7 @@
 """Cases that once gave a wrong answer: nulls, ties, revisits, zero yields, fractions, cycles, long paths."""
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -144,3 +145,58 @@ def test_dates_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert [d for d, _ in got] == ["2024-03-10 02:30:00", "2024-03-10 02:30:00", "None", "None"]
     assert [t for _, t in got[:2]] == ["2024-03-10 02:30:00"] * 2
+
+
+def _visits(spark, *events):
+    rows = [("e", 7, T0 + dt.timedelta(hours=h), k) for h, k in events]
+    df = spark.createDataFrame(rows, "EQP_ID string, LOT_ID long, TS timestamp_ntz, KIND string")
+    hour = lambda t: None if t is None else (t - T0).total_seconds() / 3600
+    found = stats.eqp_plan(df, ["EQP_ID", "LOT_ID"]).collect()
+    return sorted(((hour(r.ARRIVAL_TS), hour(r.START_TS), hour(r.END_TS)) for r in found), key=str)
+
+
+def test_back_to_back_and_zero_length_visits(spark):
+    one, two = [(1, "arrive"), (2, "in"), (5, "out")], [(5, "arrive"), (6, "in"), (7, "out")]
+    assert _visits(spark, *one, *two) == [(1, 2, 5), (5, 6, 7)]
+    nothing = [(9, "arrive"), (9, "in"), (9, "out")]
+    assert _visits(spark, *one, *two, *nothing) == [(1, 2, 5), (5, 6, 7), (9, 9, 9)]
+    # a zero-length visit at the instant at which the one before ends, then another
+    assert _visits(spark, *one, (5, "arrive"), (5, "in"), (5, "out"), (8, "arrive")) == [(1, 2, 5), (5, 5, 5), (8, None, None)]
+    # a lost out: the next arrival opens a visit, and an out without one belongs to none
+    assert _visits(spark, (1, "arrive"), (3, "arrive"), (4, "out")) == [(1, None, None), (3, None, 4)]
+    assert _visits(spark, (1, "out"), (2, "arrive")) == [(2, None, None), (None, None, 1)]
+
+
+def test_signs_of_yields(spark):
+    df = spark.createDataFrame([("r", i, y, 1.0) for i, y in enumerate([0.9, 0.5, -0.2, -1.0, None])], "ROUTE_ID string, STEP_SEQ int, YIELD double, CT_HOUR double")
+    got = [round(r.CUM_YIELD, 9) for r in stats.route_cumulative(df).orderBy("STEP_SEQ").collect()]
+    assert got == [0.9, 0.45, -0.09, 0.09, 0.09]
+
+
+def test_pegs_add_up_exactly_and_bad_quantities_raise(spark):
+    side = lambda *q: spark.createDataFrame([("p", x, i) for i, x in enumerate(q)], "p string, q double, o int")
+    pegs = stats.fifo_peg(side(0.1, 0.0, 0.1, 0.1), side(0.3), "p", "q", ["o"], ["o"], exact=True)
+    assert pegs.agg(F.sum("PEG_QTY")).first()[0] == Decimal("0.3")
+    assert sorted(r.SUPPLY_SEQ for r in pegs.collect()) == [1, 3, 4]
+    for bad in (-1.0, None):
+        with pytest.raises(Exception, match="must not be null or below zero"):
+            stats.fifo_peg(side(1.0, bad), side(1.0), "p", "q", ["o"], ["o"]).collect()
+
+
+def test_unknown_loads_are_not_admitted(spark):
+    df = spark.createDataFrame([("g", 1, None), ("g", 2, 3.0), ("g", 3, None), ("g", 4, 3.0), ("g", 5, 1.0)], "g string, o int, l double")
+    got = {r.o: r.ADMITTED for r in dispatch.admission(df, ["g"], ["o"], F.col("l"), F.lit(6.0)).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_values_before_and_beside_a_row_over_slices(spark):
+    rows = [(g, i, (i * 37) % 101) for g, n in (("a", 60), ("b", 1), ("c", 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    got = {(r.g, r.i): r for r in frames.beside(frames.running_by_group(
+        df, ["g"], ["i"], {"m": ("max_before", "v"), "s": ("sum_before", "v")}, 7), ["g"], ["i"], ["v"], partitions=7).collect()}
+    for g, i, _ in rows:
+        before = [v for h, j, v in rows if h == g and j < i]
+        mine = {j: v for h, j, v in rows if h == g}
+        r = got[g, i]
+        assert (r.m, r.s) == (max(before, default=None), sum(before) if before else None)
+        assert (r.next_v, r.prev_v) == (mine.get(i + 1), mine.get(i - 1))
