@@ -40,9 +40,10 @@ def factor_values(lots: DataFrame, eqp_preset: DataFrame, factors: DataFrame,
                   step: str = "STEP_ID", eqp: str = "EQP_ID", lot: str = "LOT_ID") -> DataFrame:
     """One row per (lot, factor) with its value under the factor's scope.
 
-    LOTTYPE and FIXED are evaluated per lot (FIXED is a per-lot constant by
-    construction); STEPTYPE takes the value of the first-arriving lot of the
-    (equipment, step), found with a map-side combined ``min(struct)``.
+    LOTTYPE is evaluated per row.  FIXED takes the value of the lot's first row
+    and reuses it for its later ones; STEPTYPE takes that of the first-arriving
+    lot of the (equipment, step).  Both are found with a map-side combined
+    aggregate.
     """
     cfg = eqp_preset.join(factors, "PRESET")          # a few config rows
     x = lots.join(F.broadcast(cfg), eqp)
@@ -50,11 +51,14 @@ def factor_values(lots: DataFrame, eqp_preset: DataFrame, factors: DataFrame,
     for name, expr in registry.items():
         value = F.when(F.col("FACTOR") == name, expr) if value is None else value.when(F.col("FACTOR") == name, expr)
     x = x.withColumn("_v", value.cast("double"))
-    first = x.where(F.col("TYPE") == STEPTYPE).groupBy(eqp, step, "FACTOR").agg(
-        F.min(F.struct(*[F.col(a) for a in arrival], F.col(lot).alias("_lot"), F.col("_v"))).alias("_first"))
-    first = first.select(eqp, step, "FACTOR", F.col("_first._v").alias("_step_v"))
-    y = x.join(first, [eqp, step, "FACTOR"], "left")
-    v = F.when(F.col("TYPE") == STEPTYPE, F.col("_step_v")).otherwise(F.col("_v"))
+    order = F.struct(*[F.col(a) for a in arrival], F.col(lot).alias("_lot"))
+
+    def first(scope: str, key: list[str], name: str) -> DataFrame:
+        return x.where(F.col("TYPE") == scope).groupBy(*key, "FACTOR").agg(F.min_by(F.struct("_v"), order).alias(name))
+
+    y = x.join(first(STEPTYPE, [eqp, step], "_step"), [eqp, step, "FACTOR"], "left").join(
+        first(FIXED, [lot], "_fixed"), [lot, "FACTOR"], "left")
+    v = F.when(F.col("TYPE") == STEPTYPE, F.col("_step._v")).when(F.col("TYPE") == FIXED, F.col("_fixed._v")).otherwise(F.col("_v"))
     return y.select(lot, eqp, step, *[c for c in arrival if c not in (lot, eqp, step)], "PRESET", "FACTOR", "TYPE",
                     "WEIGHT", "ORD", v.alias("VALUE"))
 

@@ -52,6 +52,15 @@ SELECT l_partkey AS PART_ID, l_linenumber AS STEP_SEQ, l_suppkey AS EQP_ID, l_or
        l_shipdate AS arr_ts, l_partkey AS arr_k1, l_suppkey AS arr_k2, l_orderkey AS arr_k3,
        l_linenumber::BIGINT AS arr_k4
 FROM lineitem""", ()),
+    "factor_lots": ("""
+SELECT *, (51 - STEP_SEQ) * 2.0 AS REMAIN_HOURS, 24.0 * (30 + LOT_ID % 60) AS Q_LIMIT_HOURS FROM (
+  SELECT LOT_ID, EQP_ID, STEP_ID, GROUP_ID, ARRIVAL, ARRIVAL - to_days(CAST(LOT_ID % 100 AS INTEGER)) AS CREATED, DUE, QTY,
+         LOT_ID % 7 AS PART_ID, 'L' || LOT_ID % 4 AS LAYER_ID, 'R' || LOT_ID % 5 AS RECIPE_ID, (LOT_ID // 7) % 3 AS STACK_ID,
+         1 + LOT_ID % 50 AS STEP_SEQ, 50 AS N_STEPS FROM lots)""", ("lots",)),
+    "last_runs": ("""
+SELECT EQP_ID, PART_ID % 7 AS LAST_PART, 'R' || PART_ID % 5 AS LAST_RECIPE, LOT_ID % 3 AS LAST_STACK FROM moves
+QUALIFY row_number() OVER (PARTITION BY EQP_ID ORDER BY START_TS DESC, arr_ts DESC, arr_k1 DESC, arr_k2 DESC, arr_k3 DESC, arr_k4 DESC) = 1""",
+                  ("moves",)),
     "down": ("""
 SELECT EQP_ID, TS AS START_TS, END_TS, STATE, EVENT_ID FROM state_log WHERE STATE IN ('PM', 'DOWN')""",
              ("state_log",)),

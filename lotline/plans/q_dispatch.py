@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lotline import frames
 from lotline.functions.calendar import hours_between, ntz
 from lotline.operators import dispatch as D
+from lotline.operators import factors as X
 from lotline.plans import duck
 from lotline.plans.oracle_views import with_views
 from lotline.plans.registry import register
@@ -241,6 +242,84 @@ def d11(spark: SparkSession, d: str) -> DataFrame:
                        (-F.when(F.col("HOT"), 30.0).otherwise(0.0)).alias("SWITCH_TIME"))
 
 
+# ---------------------------------------------------------------- all factor names over batches and lookups
+
+FACTOR_NOW = dt.datetime(1998, 6, 1)     # inside the arrivals, so that values vary
+BATCH_OF = 4
+PART_PREF = [(0, 0.9), (3, 0.5), (5, 0.2)]
+LAYER_PREF = [("L1", 0.7), ("L2", 0.3)]
+
+
+def factor_context(spark: SparkSession, d: str) -> X.Context:
+    even = table(spark, d, "supplier").where(F.col("s_suppkey") % 4 == 0)
+    tools = table(spark, d, "supplier").select(F.col("s_suppkey").alias("EQP_ID"))
+    recipes = spark.range(5).select(F.concat(F.lit("R"), F.col("id").cast("string")).alias("r"))
+    # switch minutes per tool between recipes: five by five per tool
+    pairs = recipes.select(F.explode(F.array(*[F.lit(f"R{i}") for i in range(5)])).alias("f"), "r").where("f <> r")
+    switches = tools.select("EQP_ID", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("i")).join(
+        F.broadcast(pairs.withColumn("i", F.substring("f", 2, 1).cast("int"))), "i").select(
+        "EQP_ID", F.col("f").alias("FROM_RECIPE"), F.col("r").alias("TO_RECIPE"),
+        (10.0 + F.col("EQP_ID") % 3 + 5 * F.abs(F.col("i") - F.substring("r", 2, 1).cast("int"))).alias("MINUTES"))
+    prefs = {"PART": spark.createDataFrame(PART_PREF, "PART_ID long, PREF double"),
+             "LAYER": spark.createDataFrame(LAYER_PREF, "LAYER_ID string, PREF double"),
+             "RESOURCE": even.select(F.col("s_suppkey").alias("EQP_ID"), F.lit(1.0).alias("PREF")),
+             "LOT_PRIORITY": spark.createDataFrame(PRIORITY_PREF, "STEP_ID string, PREF double")}
+    return X.Context(ntz(FACTOR_NOW), V.last_runs(spark, d), prefs, switches, max_lot=BATCH_OF)
+
+
+_T = f"TIMESTAMP '{FACTOR_NOW}'"
+_FACTOR_SQL = f"""
+WITH f AS (
+  SELECT l.*, r.* EXCLUDE (EQP_ID),
+    least(greatest(epoch({_T} - CREATED) / 3600.0 / 8760.0, 0.0), 1.0) AS LOT_AGE,
+    least(greatest(epoch({_T} - ARRIVAL) / 3600.0 / 8760.0, 0.0), 1.0) AS STEP_WAIT,
+    epoch(DUE - {_T}) / 3600.0 / REMAIN_HOURS AS CRITICAL_RATIO,
+    (Q_LIMIT_HOURS - epoch({_T} - ARRIVAL) / 3600.0) / Q_LIMIT_HOURS AS QTIME,
+    CAST(RECIPE_ID IS NOT DISTINCT FROM LAST_RECIPE AS INTEGER) AS SAME_RECIPE,
+    CAST(PART_ID IS NOT DISTINCT FROM LAST_PART AS INTEGER) AS STABLE,
+    CAST(RECIPE_ID IS NOT DISTINCT FROM LAST_RECIPE AND PART_ID IS DISTINCT FROM LAST_PART AS INTEGER) AS DIFF_STABLE,
+    CAST(STACK_ID IS NOT DISTINCT FROM LAST_STACK AS INTEGER) AS PHOTO_STACK,
+    CASE PART_ID WHEN 0 THEN 0.9 WHEN 3 THEN 0.5 WHEN 5 THEN 0.2 ELSE 0.0 END AS PART_PREFERENCE,
+    CASE LAYER_ID WHEN 'L1' THEN 0.7 WHEN 'L2' THEN 0.3 ELSE 0.0 END AS LAYER_PREFERENCE,
+    CASE WHEN EQP_ID % 4 = 0 AND EQP_ID IN (SELECT s_suppkey FROM supplier) THEN 1.0 ELSE 0.0 END AS RESOURCE_PREFERENCE,
+    CASE STEP_ID WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.75 WHEN '3-MEDIUM' THEN 0.5 WHEN '4-NOT SPECIFIED' THEN 0.25 ELSE 0.0 END
+      AS LOT_PRIORITY,
+    QTY / 25.0 AS WAFER_COUNT, STEP_SEQ / 50.0 AS LOT_PROGRESS,
+    CAST(ARRIVAL <= {_T} AS INTEGER) AS ATSTEP, -greatest(epoch(ARRIVAL - {_T}) / 60.0, 0.0) AS STEP_ETA,
+    CASE WHEN LAST_RECIPE IS NULL OR RECIPE_ID = LAST_RECIPE OR EQP_ID NOT IN (SELECT s_suppkey FROM supplier) THEN 0.0
+         ELSE -(10.0 + EQP_ID % 3 + 5 * abs(CAST(substr(RECIPE_ID, 2) AS INTEGER) - CAST(substr(LAST_RECIPE, 2) AS INTEGER))) END AS SWITCH_TIME,
+    count(*) OVER (PARTITION BY EQP_ID, GROUP_ID) AS gn,
+    (row_number() OVER (PARTITION BY EQP_ID, STEP_ID ORDER BY ARRIVAL, LOT_ID) - 1) // {BATCH_OF} AS b
+  FROM factor_lots l LEFT JOIN last_runs r USING (EQP_ID)),
+x AS (
+  SELECT *, gn / max(gn) OVER (PARTITION BY EQP_ID) AS LOT_GROUP, max(STEP_WAIT) OVER w AS BS_STEP_WAIT, min(QTIME) OVER w AS BS_QTIME,
+    min(STABLE) OVER w AS BS_STABLE, min(DIFF_STABLE) OVER w AS BS_DIFF_STABLE, max(PART_PREFERENCE) OVER w AS BS_PART_PREFERENCE,
+    sum(QTY) OVER w / 100.0 AS BS_WAFER_COUNT, min(ATSTEP) OVER w AS BS_ATSTEP, min(STEP_ETA) OVER w AS MAX_STEP_ETA
+  FROM f WINDOW w AS (PARTITION BY EQP_ID, STEP_ID, b))
+SELECT LOT_ID, """
+
+FACTOR_GROUPS = {
+    "d6_elapsed_factors": ["LOT_AGE", "STEP_WAIT", "BS_STEP_WAIT"],
+    "d7_time_left_factors": ["CRITICAL_RATIO", "QTIME", "BS_QTIME"],
+    "d8_last_run_factors": ["SAME_RECIPE", "STABLE", "DIFF_STABLE", "BS_STABLE", "BS_DIFF_STABLE", "PHOTO_STACK"],
+    "d9_preference_factors": ["PART_PREFERENCE", "BS_PART_PREFERENCE", "LAYER_PREFERENCE", "RESOURCE_PREFERENCE", "LOT_PRIORITY"],
+    "d10_size_factors": ["WAFER_COUNT", "BS_WAFER_COUNT", "LOT_PROGRESS", "LOT_GROUP"],
+    "d11_arrival_factors": ["ATSTEP", "BS_ATSTEP", "STEP_ETA", "MAX_STEP_ETA", "SWITCH_TIME"],
+}
+
+
+def _register_factors(query: str, names: list[str]) -> None:
+    columns = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in names)
+
+    @register(query, with_views(_FACTOR_SQL + columns + " FROM x", "factor_lots", "last_runs"))
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        return X.evaluate(V.factor_lots(spark, d), names, factor_context(spark, d)).select("LOT_ID", *names)
+
+
+for _query, _names in FACTOR_GROUPS.items():
+    _register_factors(_query, _names)
+
+
 def d12_rules():
     now_minus_year = ntz(dt.datetime(2000, 9, 1))
     return [("HOLD", F.col("QTY") > 20), ("OVERDUE", F.col("DUE") < now_minus_year),

@@ -114,6 +114,25 @@ def lots(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def factor_lots(spark: SparkSession, d: str) -> DataFrame:
+    """lots with the columns that the weight factors read."""
+    k = F.col("LOT_ID")
+    seq = 1 + k % 50
+    return lots(spark, d).select(
+        "LOT_ID", "EQP_ID", "STEP_ID", "GROUP_ID", "ARRIVAL", F.timestamp_add("DAY", -(k % 100).cast("int"), F.col("ARRIVAL")).alias("CREATED"),
+        "DUE", "QTY", (k % 7).alias("PART_ID"), F.concat(F.lit("L"), (k % 4).cast("string")).alias("LAYER_ID"),
+        F.concat(F.lit("R"), (k % 5).cast("string")).alias("RECIPE_ID"), (F.floor(k / 7) % 3).alias("STACK_ID"), seq.alias("STEP_SEQ"),
+        F.lit(50).alias("N_STEPS"), ((51 - seq) * 2.0).alias("REMAIN_HOURS"), (24.0 * (30 + k % 60)).alias("Q_LIMIT_HOURS"))
+
+
+def last_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Per equipment the part, recipe and stack of its last move."""
+    row = F.struct((F.col("PART_ID") % 7).alias("p"), F.concat(F.lit("R"), (F.col("PART_ID") % 5).cast("string")).alias("r"),
+                   (F.col("LOT_ID") % 3).alias("s"))
+    last = moves(spark, d).groupBy("EQP_ID").agg(F.max_by(row, F.struct(*ARRIVAL_MOVES)).alias("_l"))
+    return last.select("EQP_ID", F.col("_l.p").alias("LAST_PART"), F.col("_l.r").alias("LAST_RECIPE"), F.col("_l.s").alias("LAST_STACK"))
+
+
 def moves(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     start = add_hours(F.col("l_shipdate"), F.col("l_linenumber"))
