@@ -81,11 +81,15 @@ def _signer(width: int, bands: int, per_band: int):
     salts = tn.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     band_salt = tn.mix(np.arange(1, bands + 1, dtype=np.uint64))
 
+    longs = pa.list_(pa.int64())
+    numbers = ("n", "d1", "d2", "level", "s0", "s1")
+
+    @tn.tidy
     def sign(batches):
         for batch in batches:
             buf, off = tn.utf8(batch.column(1))
-            out: dict[str, list] = {c: [] for c in ("n", "d1", "d2", "bands", "level", "s0", "s1", "sketch")}
             for i, j in tn.blocks(off):
+                out: dict[str, list] = {c: [] for c in ("n", "d1", "d2", "bands", "level", "s0", "s1", "sketch")}
                 for s in shingle_sets(buf[off[i]:off[j]], off[i:j + 1] - off[i], width):
                     out["n"].append(len(s))
                     if not len(s):
@@ -110,16 +114,15 @@ def _signer(width: int, bands: int, per_band: int):
                         odd = np.bincount((tn.mix(below) >> np.uint64(40)).astype(np.int64) % _BITS, minlength=_BITS)
                         bits.append(np.packbits((odd & 1).astype(np.uint8)).view(np.int64))
                     out["sketch"].append(np.concatenate(bits))
-            longs = pa.list_(pa.int64())
-            numbers = ("n", "d1", "d2", "level", "s0", "s1")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(out[c], pa.int64()) for c in numbers],
-                 pa.array(out["bands"], longs), pa.array(out["sketch"], longs)],
-                names=["id", *numbers, "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), *[pa.array(out[c], pa.int64()) for c in numbers],
+                     pa.array(out["bands"], longs), pa.array(out["sketch"], longs)],
+                    names=["id", *numbers, "bands", "sketch"])
     return sign
 
 
 def _sets(width: int):
+    @tn.tidy
     def read(batches):
         for batch in batches:
             buf, off = tn.utf8(batch.column(1))

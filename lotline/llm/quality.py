@@ -87,6 +87,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, x)``: the statistics of every whole text; null counts as empty."""
+    @tn.tidy
     def run(batches):
         for batch in batches:
             buf, off = tn.utf8(batch.column(1))
@@ -211,6 +212,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, n_features: int = 256, ridge: fl
 
 def apply(stats: DataFrame, model: Model) -> DataFrame:
     """``(id, score)`` of every row of ``stats``."""
+    @tn.tidy
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))],

@@ -5,7 +5,8 @@ of its own), so a task needs memory for one Arrow batch and one block.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,23 @@ _CODES = np.random.default_rng(20250101).integers(1, 1 << 63, 256, dtype=np.uint
 _powers: list[np.ndarray] = []
 
 
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` over a task's batches, after which its memory goes back to the system.
+
+    A worker stays for later tasks and stages; what the allocators would keep for
+    it, other workers of the executor need.
+    """
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), element by element."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
