@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 # SURVEY 6 headline set: load path, best lot, state hours, FIFO pegging, plus
 # the dedup and running-value workhorses.  The multi-start allocation (E6) is
-# not in the set yet: its graph loops do not finish at sf0.1 (see README).
+# not in the set: its rounds take minutes at sf0.1 (see README).
 HEADLINE = {
     "load_path": "c8_load_lines_report",
     "dedup_lifetime": "b3_dedup_lifetime",
