@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotline.llm.textnum import blocks
+from lotline.llm.textnum import blocks, release, tidy
 
 #: A worker forgets its strings or pairs when it knows more than this; longer strings are never kept.
 KNOWN_STRINGS, KNOWN_PAIRS, KNOWN_LENGTH = 150_000, 120_000, 64
@@ -50,7 +50,9 @@ def byte_symbols() -> dict[int, str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file; keeps what it learnt of words."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, with_names: bool = True, known_pairs: int = KNOWN_PAIRS):
+        """``with_names`` keeps the tokens of known strings as text, too; ``known_pairs`` bounds what is kept of pairs."""
+        self.with_names, self.known_pairs = with_names, known_pairs
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
@@ -75,9 +77,11 @@ class WordBpe:
         self.forget()
 
     @classmethod
-    def load(cls, path: str) -> WordBpe:
+    def load(cls, path: str, **options) -> WordBpe:
         with open(path, encoding="utf-8") as f:
-            return cls(json.load(f))
+            bpe = cls(json.load(f), **options)
+        release()  # what the parsed file took
+        return bpe
 
     def forget(self) -> None:
         """Of every known string between spaces: the ids and the tokens as text; those without any; long ones."""
@@ -88,7 +92,8 @@ class WordBpe:
 
     def forget_long(self) -> None:
         for x in self.long:
-            del self.id_text[x], self.name_text[x]
+            del self.id_text[x]
+            self.name_text.pop(x, None)
             self.blank.discard(x)
         self.long = []
 
@@ -108,7 +113,7 @@ class WordBpe:
     def _fits(self, before: str, token: str) -> bool:
         known = self.stable.get((before, token))
         if known is None:
-            if len(self.stable) > KNOWN_PAIRS:
+            if len(self.stable) > self.known_pairs:
                 self.stable.clear()
                 self.edges.clear()
             known, left = True, self._edge(token, 0)
@@ -138,7 +143,7 @@ class WordBpe:
         near = s[stop - CONTEXT if stop > CONTEXT else 0:stop]
         lengths = self.endings.get(near)
         if lengths is None:
-            if len(self.endings) > KNOWN_PAIRS:
+            if len(self.endings) > self.known_pairs:
                 self.endings.clear()
             lengths = self.endings[near] = self._lengths(near) if near not in self.tails else ()
         if not lengths:  # a token may be longer than the context
@@ -228,13 +233,15 @@ class WordBpe:
         ids, names = self.id_text, self.name_text
         for word, tokens in self.encode_words(words - ids.keys()):
             ids[word] = " ".join([self.id_names[t] for t in tokens])
-            names[word] = " ".join(tokens)
+            if self.with_names:
+                names[word] = " ".join(tokens)
             if len(word) > KNOWN_LENGTH:
                 self.long.append(word)
         for x, ws in split.items():
             if x not in ids:  # else a word itself
                 ids[x] = " ".join([ids[w] for w in ws])
-                names[x] = " ".join([names[w] for w in ws])
+                if self.with_names:
+                    names[x] = " ".join([names[w] for w in ws])
                 if not ws:
                     self.blank.add(x)
                 if len(x) > KNOWN_LENGTH:
@@ -263,10 +270,10 @@ def _batched(column: pa.Array) -> Iterator[list[str | None]]:
         yield column.slice(i, j - i).to_pylist()
 
 
-def _known_strings(bpe: WordBpe, column: pa.Array) -> Iterator[Iterable[list[str]]]:
-    """For each text its pieces as lists of strings whose encodings are known."""
+def _known_strings(bpe: WordBpe, column: pa.Array, most: int = KNOWN_STRINGS) -> Iterator[Iterable[list[str]]]:
+    """For each text its pieces as lists of strings whose encodings are known; beyond ``most`` they are forgotten."""
     def known(lists: list[list[str]]) -> Iterator[list[str]]:
-        if len(bpe.id_text) > KNOWN_STRINGS:
+        if len(bpe.id_text) > most:
             bpe.forget()
         bpe.learn(set().union(*lists) - bpe.id_text.keys())
         for strings in lists:
@@ -285,19 +292,21 @@ def _known_strings(bpe: WordBpe, column: pa.Array) -> Iterator[Iterable[list[str
                 yield [strings]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *,
+                     known_strings: int = 50_000, known_pairs: int = 40_000) -> DataFrame:
     """One row per row of ``docs``: id, input_ids (array of int).
 
     Null texts are empty and have no ids; repeated rows and null ids are
     encoded like any other; other columns are ignored; an empty table gives no
     rows.  ``vocabulary`` is the path of the file on every executor.
     """
+    @tidy
     def run(batches):
         # made for this task alone: its worker goes on to other stages, which need the memory
-        bpe = WordBpe.load(vocabulary)
+        bpe = WordBpe.load(vocabulary, with_names=False, known_pairs=known_pairs)
         for batch in batches:
             first, rows, total = 0, [], 0
-            for k, pieces in enumerate(_known_strings(bpe, batch.column(1))):
+            for k, pieces in enumerate(_known_strings(bpe, batch.column(1), known_strings)):
                 text = " ".join([" ".join(map(bpe.id_text.__getitem__, strings)) for strings in pieces])
                 rows.append(np.fromstring(text, np.int32, sep=" "))
                 total += len(rows[-1])

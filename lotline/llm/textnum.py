@@ -26,6 +26,14 @@ _CODES = np.random.default_rng(20250101).integers(1, 1 << 63, 256, dtype=np.uint
 _powers: list[np.ndarray] = []
 
 
+def release() -> None:
+    """Give the memory that the allocators keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
     """``run`` over a task's batches, after which its memory goes back to the system.
 
@@ -36,10 +44,7 @@ def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim is not None:
-                trim(0)
+            release()
     return task
 
 
