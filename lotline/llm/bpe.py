@@ -18,7 +18,6 @@ and byte-level symbols, such as the public file ``word_bpe_49k.json``.
 """
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -33,10 +32,10 @@ from pyspark.sql import types as T
 
 from lotline.llm.textnum import blocks, release, tidy
 
-#: A worker forgets its strings or pairs when it knows more than this; longer strings are never kept.
-KNOWN_STRINGS, KNOWN_PAIRS, KNOWN_LENGTH = 150_000, 120_000, 64
-#: Symbols before a place that settle which tokens end there, for all but longer tokens.
-CONTEXT = 6
+#: A worker forgets its strings, pairs or steps when it knows more than this; longer strings are never kept.
+KNOWN_STRINGS, KNOWN_PAIRS, KNOWN_LENGTH = 400_000, 200_000, 64
+#: Stands for the end of a word among the symbols; no byte has it as its stand-in.
+END = "\n"
 PIECE_CHARS = 1 << 20
 
 
@@ -50,30 +49,34 @@ def byte_symbols() -> dict[int, str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file; keeps what it learnt of words."""
 
-    def __init__(self, spec: dict, with_names: bool = True, known_pairs: int = KNOWN_PAIRS):
-        """``with_names`` keeps the tokens of known strings as text, too; ``known_pairs`` bounds what is kept of pairs."""
-        self.with_names, self.known_pairs = with_names, known_pairs
+    def __init__(self, spec: dict, known_pairs: int = KNOWN_PAIRS):
+        """``known_pairs`` bounds what is kept of pairs, and of steps of the automaton."""
+        self.known_pairs = known_pairs
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {p: k for k, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        size = 1 + max([*self.ids.values(), *self.special.values()])
+        self.names: list[str | None] = [None] * size
+        for token, i in [*self.ids.items(), *self.special.items()]:
+            self.names[i] = token
+        self.whole = None not in self.names
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.symbols = {b: c for b, c in byte_symbols().items() if chr(b) != c}
-        # suffixes of tokens, true if they are tokens themselves
-        self.tails = {t[k:]: False for t in self.ids for k in range(len(t))} | dict.fromkeys(self.ids, True)
+        self.spelled = {self._symbols_of(t): t for t in self.ids if t != self.end}
+        self.heads = {t[:k] for t in self.spelled for k in range(len(t) + 1)}
         self.stops = regex.compile(r"(?<=[^\W_])[.,](?=\s|$)")
         self.separators = regex.compile("[ \t\n\r\x0b\x0c]+")
         self.halves = {a + b: (a, b) for a, b in pairs}
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
-        self.endings: dict[str, tuple[int, ...]] = {}
-        self.longest = max(map(len, self.ids))
-        self.id_names = {t: str(i) for t, i in self.ids.items()}
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
+        self.stable: dict[str, dict[str, bool]] = {}
+        self.known_stable = 0
+        self._forget_steps()
         self.forget()
 
     @classmethod
@@ -83,18 +86,17 @@ class WordBpe:
         release()  # what the parsed file took
         return bpe
 
+    def _symbols_of(self, token: str) -> str:
+        return token.removesuffix(self.end) + END if token.endswith(self.end) else token
+
     def forget(self) -> None:
-        """Of every known string between spaces: the ids and the tokens as text; those without any; long ones."""
-        self.id_text: dict[str, str] = {t: str(i) for t, i in self.special.items()}
-        self.name_text: dict[str, str] = {t: t for t in self.special}
-        self.blank: set[str] = set()
+        """Of every known string between spaces: its ids as little-endian bytes; long strings."""
+        self.known: dict[str, bytes] = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
         self.long: list[str] = []
 
     def forget_long(self) -> None:
         for x in self.long:
-            del self.id_text[x]
-            self.name_text.pop(x, None)
-            self.blank.discard(x)
+            del self.known[x]
         self.long = []
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
@@ -111,75 +113,97 @@ class WordBpe:
         return known
 
     def _fits(self, before: str, token: str) -> bool:
-        known = self.stable.get((before, token))
-        if known is None:
-            if len(self.stable) > self.known_pairs:
-                self.stable.clear()
-                self.edges.clear()
-            known, left = True, self._edge(token, 0)
-            for a, taken_a in self._edge(before, 1):
-                for b, taken_b in left:
-                    rank = self.ranks.get((a, b))
-                    # of equal merges the leftmost comes first
-                    if rank is not None and rank < taken_a and rank <= taken_b:
-                        known = False
-            self.stable[before, token] = known
-        return known
-
-    def _lengths(self, s: str) -> tuple[int, ...]:
-        """Lengths of the tokens that ``s`` ends with, the longest first."""
-        found, start = [], len(s) - 1
-        while start >= 0:
-            token = self.tails.get(s[start:])
-            if token is None:
-                break
-            if token:
-                found.append(len(s) - start)
-            start -= 1
-        return tuple(found[::-1])
-
-    def _last(self, s: str, stop: int, tokens: list[str], starts: list[int]) -> tuple[str, int]:
-        """Last token of the prefix ``s[:stop]`` and its start."""
-        near = s[stop - CONTEXT if stop > CONTEXT else 0:stop]
-        lengths = self.endings.get(near)
-        if lengths is None:
-            if len(self.endings) > self.known_pairs:
-                self.endings.clear()
-            lengths = self.endings[near] = self._lengths(near) if near not in self.tails else ()
-        if not lengths:  # a token may be longer than the context
-            lengths = self._lengths(s[max(0, stop - self.longest):stop])
-        for n in lengths:
-            start = stop - n
-            piece = s[start:stop]
-            if start <= 0:
-                return piece, 0
-            fits = self.stable.get((tokens[start], piece))
-            if fits or fits is None and self._fits(tokens[start], piece):
-                return piece, start
-        raise ValueError(f"no token ends {s[:stop]!r}")
+        """Whether a pair of tokens is stable; remembered by the second one."""
+        if self.known_stable > self.known_pairs:
+            for pairs in self.stable.values():
+                pairs.clear()
+            self.edges.clear()
+            self.known_stable = 0
+        fits, left = True, self._edge(token, 0)
+        for a, taken_a in self._edge(before, 1):
+            for b, taken_b in left:
+                rank = self.ranks.get((a, b))
+                # of equal merges the leftmost comes first
+                if rank is not None and rank < taken_a and rank <= taken_b:
+                    fits = False
+        self.stable[token][before] = fits
+        self.known_stable += 1
+        return fits
+
+    def _forget_steps(self) -> None:
+        """The automaton of all tokens, made as texts need it.
+
+        A state is the longest end of the symbols read that begins a token: a
+        dict of the next states by symbol, and under None the tokens that end
+        there, the longest first, each with its number of symbols and its
+        stable pairs.
+        """
+        self.states: dict[str, dict] = {}
+        self.known_steps = 0
+        self.root = self._state("")
+
+    def _state(self, head: str) -> dict:
+        state = self.states.get(head)
+        if state is None:
+            found = []
+            for k in range(len(head)):
+                token = self.spelled.get(head[k:])
+                if token is not None:
+                    found.append((len(head) - k, token, self.stable.setdefault(token, {})))
+            state = self.states[head] = {None: found, "": head}
+        return state
+
+    def _step(self, state: dict, symbol: str) -> dict:
+        if self.known_steps > self.known_pairs:
+            self._forget_steps()
+        head = state[""] + symbol
+        while head not in self.heads:
+            head = head[1:]
+        self.known_steps += 1
+        state[symbol] = found = self._state(head)
+        return found
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """Each distinct word with its tokens, in the depth-first order of the trie."""
+        """Each distinct word with its tokens, in the depth-first order of the trie.
+
+        A path holds, for every prefix of the word, the automaton's state, the
+        last token and where it starts.
+        """
         spelled = {w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(self.symbols): w
                    for w in words}
-        tokens, starts, before = [""], [0], ""
+        tokens, starts, states, before = [""], [0], [self.root], ""
+        fits_of, step = self._fits, self._step
         for s in sorted(spelled):
-            n = len(s)
-            low, high = 0, min(n, len(tokens)) - 1
-            while low < high:  # the depth at which the word leaves the path of the one before
-                middle = (low + high + 1) // 2
-                low, high = (middle, high) if before.startswith(s[low:middle], low) else (low, middle - 1)
-            del tokens[low + 1:], starts[low + 1:]
-            for stop in range(low + 1, n):
-                token, start = self._last(s, stop, tokens, starts)
+            low, high = 0, min(len(s), len(before))
+            if before[:4] == s[:4]:
+                low = min(4, high)
+            while low < high and before[low] == s[low]:  # the depth at which the word leaves the path of the one before
+                low += 1
+            del tokens[low + 1:], starts[low + 1:], states[low + 1:]
+            state, stop = states[low], low
+            for c in s[low:] + END:
+                state = state.get(c) or step(state, c)
+                stop += 1
+                for n, token, stable in state[None]:
+                    start = stop - n
+                    if not start:
+                        break
+                    last = tokens[start]
+                    fits = stable.get(last)
+                    if fits or fits is None and fits_of(last, token):
+                        break
+                else:
+                    raise ValueError(f"no token ends {s[:stop]!r}")
                 tokens.append(token)
                 starts.append(start)
-            token, at = self._last(s + self.end, n + len(self.end), tokens, starts)
+                states.append(state)
             out = [token]
-            while at:
-                out.append(tokens[at])
-                at = starts[at]
+            while start:
+                out.append(tokens[start])
+                start = starts[start]
             before = s
+            # the end of the word is no part of the next one's path
+            del tokens[-1], starts[-1], states[-1]
             yield spelled[s], out[::-1]
 
     def pieces(self, text: str) -> Iterator[str]:
@@ -230,20 +254,14 @@ class WordBpe:
             else:
                 split[x] = self.words_of(x)
         words.update(*split.values())
-        ids, names = self.id_text, self.name_text
-        for word, tokens in self.encode_words(words - ids.keys()):
-            ids[word] = " ".join([self.id_names[t] for t in tokens])
-            if self.with_names:
-                names[word] = " ".join(tokens)
+        known, ids = self.known, self.id_bytes
+        for word, tokens in self.encode_words(words - known.keys()):
+            known[word] = b"".join([ids[t] for t in tokens]) if len(tokens) > 1 else ids[tokens[0]]
             if len(word) > KNOWN_LENGTH:
                 self.long.append(word)
         for x, ws in split.items():
-            if x not in ids:  # else a word itself
-                ids[x] = " ".join([ids[w] for w in ws])
-                if self.with_names:
-                    names[x] = " ".join([names[w] for w in ws])
-                if not ws:
-                    self.blank.add(x)
+            if x not in known:  # else a word itself
+                known[x] = b"".join([known[w] for w in ws])
                 if len(x) > KNOWN_LENGTH:
                     self.long.append(x)
 
@@ -252,14 +270,19 @@ class WordBpe:
         out = []
         for piece in self.pieces(text):
             strings = self.strings_of(piece)
-            self.learn(set(strings) - self.id_text.keys())
-            out += [int(i) for x in strings for i in self.id_text[x].split()]
+            self.learn(set(strings) - self.known.keys())
+            out.append(b"".join(map(self.known.__getitem__, strings)))
             self.forget_long()
-        return out
+        return np.frombuffer(b"".join(out), "<i4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by spaces, as without a decoder in the file; unknown ids are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        if not isinstance(ids, list):
+            ids = list(ids)
+        names = self.names
+        if self.whole and (not ids or 0 <= min(ids) and max(ids) < len(names)):
+            return " ".join(map(names.__getitem__, ids))
+        return " ".join(names[i] for i in ids if 0 <= i < len(names) and names[i] is not None)
 
 
 def _batched(column: pa.Array) -> Iterator[list[str | None]]:
@@ -270,84 +293,85 @@ def _batched(column: pa.Array) -> Iterator[list[str | None]]:
         yield column.slice(i, j - i).to_pylist()
 
 
-def _known_strings(bpe: WordBpe, column: pa.Array, most: int = KNOWN_STRINGS) -> Iterator[Iterable[list[str]]]:
-    """For each text its pieces as lists of strings whose encodings are known; beyond ``most`` they are forgotten."""
-    def known(lists: list[list[str]]) -> Iterator[list[str]]:
-        if len(bpe.id_text) > most:
+def _encoded(bpe: WordBpe, column: pa.Array, most: int) -> Iterator[np.ndarray]:
+    """For each text its ids; beyond ``most`` known strings they are forgotten."""
+    def known(lists: list[list[str]]) -> list[bytes]:
+        if len(bpe.known) > most:
             bpe.forget()
-        bpe.learn(set().union(*lists) - bpe.id_text.keys())
-        for strings in lists:
-            yield [x for x in strings if x not in bpe.blank] if bpe.blank else strings
+        bpe.learn(set().union(*lists) - bpe.known.keys())
+        out = [b"".join(map(bpe.known.__getitem__, strings)) for strings in lists]
         bpe.forget_long()
-
-    def one(text: str) -> Iterator[list[str]]:
-        for piece in bpe.pieces(text):
-            yield from known([bpe.strings_of(piece)])
+        return out
 
     for texts in _batched(column):
         if len(texts) == 1 and len(texts[0] or "") > PIECE_CHARS:
-            yield one(texts[0])
+            each = [b"".join([x for piece in bpe.pieces(texts[0]) for x in known([bpe.strings_of(piece)])])]
         else:
-            for strings in known([bpe.strings_of(t or "") for t in texts]):
-                yield [strings]
+            each = known([bpe.strings_of(t or "") for t in texts])
+        for ids in each:
+            yield np.frombuffer(ids, "<i4")
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *,
-                     known_strings: int = 50_000, known_pairs: int = 40_000) -> DataFrame:
-    """One row per row of ``docs``: id, input_ids (array of int).
+                     known_strings: int = KNOWN_STRINGS, known_pairs: int = KNOWN_PAIRS, decoded: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, input_ids (array of int) and, if asked for, decoded (the text that the ids give).
 
     Null texts are empty and have no ids; repeated rows and null ids are
-    encoded like any other; other columns are ignored; an empty table gives no
-    rows.  ``vocabulary`` is the path of the file on every executor.
+    encoded like any other, each by itself; other columns are ignored, whatever
+    their names; an empty table gives no rows; texts of any length are encoded
+    whole, a piece at a time.  There are no ties.  ``vocabulary`` is the path of
+    the file on every executor.
     """
     @tidy
     def run(batches):
         # made for this task alone: its worker goes on to other stages, which need the memory
-        bpe = WordBpe.load(vocabulary, with_names=False, known_pairs=known_pairs)
+        bpe = WordBpe.load(vocabulary, known_pairs=known_pairs)
         for batch in batches:
             first, rows, total = 0, [], 0
-            for k, pieces in enumerate(_known_strings(bpe, batch.column(1), known_strings)):
-                text = " ".join([" ".join(map(bpe.id_text.__getitem__, strings)) for strings in pieces])
-                rows.append(np.fromstring(text, np.int32, sep=" "))
-                total += len(rows[-1])
+            for k, ids in enumerate(_encoded(bpe, batch.column(1), known_strings)):
+                rows.append(ids)
+                total += len(ids)
                 if total > PIECE_CHARS or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(rows, pa.list_(pa.int32()))],
-                                                     names=["id", "input_ids"])
+                    out = {"id": batch.column(0).slice(first, len(rows)), "input_ids": pa.array(rows, pa.list_(pa.int32()))}
+                    if decoded:
+                        out["decoded"] = pa.array([bpe.decode(r.tolist()) for r in rows], pa.string())
+                    yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
                     first, rows, total = k + 1, [], 0
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, T.StructType(
-        [texts.schema["id"], T.StructField("input_ids", T.ArrayType(T.IntegerType()))])).withColumnRenamed("id", id_col)
+    columns = [texts.schema["id"], T.StructField("input_ids", T.ArrayType(T.IntegerType()))]
+    columns += [T.StructField("decoded", T.StringType())] if decoded else []
+    return texts.mapInArrow(run, T.StructType(columns)).withColumnRenamed("id", id_col)
 
 
-def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256.
+def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "input_ids") -> DataFrame:
+    """One row per row of ``encoded``: id, decoded.
 
-    The digests are of the decimal ids, joined by spaces, and of the decoded
-    text.  Cases as in :func:`encode_documents`.
+    Null ids of a row are none, a null or unknown id within them is left out;
+    repeated rows, null row ids, other columns and empty tables as in
+    :func:`encode_documents`.
     """
+    @tidy
     def run(batches):
-        # made for this task alone: its worker goes on to other stages, which need the memory
         bpe = WordBpe.load(vocabulary)
         for batch in batches:
-            n, first, second = [], [], []
-            for pieces in _known_strings(bpe, batch.column(1)):
-                total, gap = 0, b""
-                ids, names = hashlib.sha256(), hashlib.sha256()
-                for strings in pieces:
-                    if strings:
-                        part = " ".join(map(bpe.id_text.__getitem__, strings)).encode()
-                        total += part.count(b" ") + 1
-                        ids.update(gap + part)
-                        names.update(gap + " ".join(map(bpe.name_text.__getitem__, strings)).encode())
-                        gap = b" "
-                n.append(total)
-                first.append(ids.hexdigest())
-                second.append(names.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)],
-                                             names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = batch.column(1)
+            off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            for i, j in blocks(off.astype(np.int64), PIECE_CHARS):
+                texts = [bpe.decode([x for x in row or () if x is not None]) for row in ids.slice(i, j - i).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(texts, pa.string())], names=["id", "decoded"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, T.StructType(
-        [texts.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-         T.StructField("decoded_sha256", T.StringType())])).withColumnRenamed("id", id_col)
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("decoded", T.StringType())])).withColumnRenamed("id", id_col)
+
+
+def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256.
+
+    The digests are of the decimal ids, joined by spaces, and of the text that
+    these ids decode to.  Cases as in :func:`encode_documents`.
+    """
+    return encode_documents(docs, vocabulary, id_col, text_col, decoded=True).select(
+        id_col, F.size("input_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -284,6 +284,15 @@ def test_bpe_matches_the_library(spark):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == (len(want), sha(" ".join(map(str, want))), sha(plain))
     assert bpe.digest_documents(_docs(spark, []), path).collect() == []
+    both = bpe.encode_documents(docs, path, known_strings=50, known_pairs=100, decoded=True)  # forgets all the time
+    back = {r.doc_id: r.decoded for r in bpe.decode_documents(both.select("doc_id", "input_ids"), path).collect()}
+    for r in both.collect():
+        assert r.input_ids == ids[r.doc_id] and r.decoded == back[r.doc_id] == library.decode(r.input_ids, skip_special_tokens=False)
+    odd = spark.createDataFrame([(None, None, 1), (1, [], 2), (1, [5, None, -3, 10_000_000, 6], 3), (1, [5], 4)],
+                                "doc_id long, input_ids array<int>, decoded int")
+    assert sorted(r.decoded for r in bpe.decode_documents(odd, path).collect()) == sorted(
+        ["", "", library.decode([5, 6], skip_special_tokens=False), library.decode([5], skip_special_tokens=False)])
+    assert bpe.decode_documents(odd.limit(0), path).collect() == []
 
 
 def test_stable_pairs_by_definition():
