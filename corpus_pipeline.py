@@ -7,7 +7,9 @@ it again as the next one's input.
 
 Rows are told apart by document id and text together, so a null or repeated
 ``doc_id`` is judged row by row; columns beyond those of ``documents`` are
-carried along.  An empty table gives an empty result.
+carried along, whatever their names; of its columns ``doc_id`` and ``text`` must
+be there.  A null text is judged as an empty one (but stays null), texts of any
+length are judged whole, and an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -34,19 +36,36 @@ def _node() -> Column:
     return F.xxhash64("doc_id", "text", F.col("text").isNull())
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _columns(names: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def _bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
 def _without(docs: DataFrame, keys: DataFrame, key: Column | None = None) -> DataFrame:
     """``docs`` less the rows whose key is in ``keys``."""
-    keys = written(keys.select(F.col(_KEY).alias("__key")).distinct(), "rejected")
-    return docs.join(_bounded(keys, BROADCAST_KEYS), (_key() if key is None else key) == F.col("__key"), "left_anti")
+    name = _free(docs, "__key")
+    keys = written(keys.select(F.col(_KEY).alias(name)).distinct(), "rejected")
+    return docs.join(_bounded(keys, BROADCAST_KEYS), (_key() if key is None else key) == F.col(name), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; it never learns from a third of the labels."""
-    keyed = docs.withColumn(_KEY, _key())
+    """Drops the documents that the quality classifier rejects; it never learns from a third of the labels.
+
+    A document goes if its score is less than 0.5; at 0.5 it stays.  Empty and
+    null texts have a score like any other; equal rows have equal scores; rows
+    with a null id are scored, too, but no label is theirs.
+    """
+    keyed = docs.select("doc_id", "text", _key().alias(_KEY))
     stats = written(quality.document_statistics(keyed, _KEY, "text"), "statistics")
     labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", "quality")
     model = quality.fit(stats, keyed.select("doc_id", _KEY).join(labels, "doc_id").select(
@@ -60,7 +79,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Every id with a text is a node of its own, so texts that share an id, or
     have none, are judged each by itself.  A group keeps its smallest id; a row
     without an id only if none has one.  Of rows equal in id and text that
-    differ in other columns, the least by these columns stays.
+    differ in other columns, the least by these columns stays.  Texts without
+    words have no near duplicates but their equal rows.
     """
     nodes = written(docs.groupBy(_node().alias(_KEY)).agg(
         F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "nodes")
@@ -71,41 +91,58 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", _KEY)).alias("m")).select(F.col(f"m.{_KEY}").alias(_KEY))
     stays = written(members.select(_KEY, "n").join(first.withColumn("stays", F.lit(True)), _KEY, "left"), "decided")
     kept = _without(docs, stays.where("stays is null"), _node())
-    again = written(stays.where("stays and n > 1").select(F.col(_KEY).alias("__key")), "repeated")
+    name = _free(docs, "__key")
+    again = written(stays.where("stays and n > 1").select(F.col(_KEY).alias(name)), "repeated")
     if again.isEmpty():
         return kept
     repeated = _bounded(again, BROADCAST_KEYS)
-    same = _node() == F.col("__key")
+    same = _node() == F.col(name)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    order = F.to_json(F.struct(*_columns(rest))) if rest else F.lit("")
     one = kept.join(repeated, same, "left_semi").groupBy(_node().alias(_KEY)).agg(
-        F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+        F.min_by(F.struct(*_columns(docs.columns)), order).alias("row")).select("row.*")
     return kept.join(repeated, same, "left_anti").unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
+    """Drops the documents that hold a window of a benchmark item.
+
+    Null texts and texts without words hold none and stay; equal rows go or stay
+    together; without items everything stays.
+    """
     found = decontaminate.contamination(docs.select(_key().alias(_KEY), "text"), table(spark, sf_dir, "benchmark"), id_col=_KEY)
     return _without(docs, found.where("n_hit > 0"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the texts; ``n_chars`` follows."""
+    """Replaces every secret in the texts; ``n_chars``, if there, follows.
+
+    Overlapping spans become one mask; equal rows get equal texts; null and
+    empty texts, and texts without secrets, stay as they are.
+    """
     found = secrets.find_secrets(docs.select(_key().alias(_KEY), "text"), id_col=_KEY).where(F.size("spans") > 0)
-    spans = written(found.select(F.col(_KEY).alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"]), "redactions")
-    joined = docs.join(_bounded(spans, BROADCAST_SPANS), _key() == F.col("__key"), "left")
-    has = F.col("__spans").isNotNull()
-    text = F.when(has, secrets.redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    return joined.withColumn("n_chars", F.when(has, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn(
-        "text", text).select(*docs.columns)
+    key, cut = _free(docs, "__key"), _free(docs, "__spans")
+    spans = written(found.select(F.col(_KEY).alias(key), F.col("spans").alias(cut)).dropDuplicates([key]), "redactions")
+    joined = docs.join(_bounded(spans, BROADCAST_SPANS), _key() == F.col(key), "left")
+    has = F.col(cut).isNotNull()
+    text = F.when(has, secrets.redacted(F.col("text"), F.col(cut))).otherwise(F.col("text"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(has, F.length(text).cast("long")).otherwise(F.col("n_chars")))
+    return joined.withColumn("text", text).select(*_columns(docs.columns))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """Token ids of every document: doc_id, input_ids, n_tokens."""
+    """Token ids of every document and the text that they decode to: doc_id, input_ids, n_tokens, decoded.
+
+    Null and empty texts have no ids and decode to the empty text; every row is
+    encoded by itself, repeated ones, too.  It keeps fewer strings and pairs than
+    the operator by itself, since earlier stages' workers share the executors.
+    """
     if vocabulary is None:
         import public_tokenizers
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.encode_documents(docs, vocabulary).withColumn("n_tokens", F.size("input_ids").cast("long"))
+    return bpe.encode_documents(docs, vocabulary, known_strings=50_000, known_pairs=40_000, decoded=True).select(
+        "doc_id", "input_ids", F.size("input_ids").cast("long").alias("n_tokens"), "decoded")
 
 
 STAGES = [
@@ -113,7 +150,7 @@ STAGES = [
     ("near duplicates", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("secret scans", secrets_stage),
-    ("BPE encoding", bpe_stage),
+    ("BPE encoding and decoding", bpe_stage),
 ]
 
 #: SQL cannot express the classifier's fit, nor BPE; ``tests/llm`` compares the stages with brute force.
