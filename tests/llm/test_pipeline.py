@@ -58,12 +58,12 @@ def test_stages(spark, sf_dir):
     encoder = bpe.WordBpe.load(public_tokenizers.path("word_bpe_49k.json"))
     texts = {r["doc_id"]: r["text"] for r in safe}
     assert {r["doc_id"]: r["input_ids"] for r in ids} == {d: encoder.encode(t) for d, t in texts.items()}
-    assert all(r["n_tokens"] == len(r["input_ids"]) for r in ids)
+    assert all(r["n_tokens"] == len(r["input_ids"]) and r["decoded"] == encoder.decode(r["input_ids"]) for r in ids)
 
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
-    assert got.columns == ["doc_id", "input_ids", "n_tokens"] and got.count() > 50
+    assert got.columns == ["doc_id", "input_ids", "n_tokens", "decoded"] and got.count() > 50
 
 
 def test_near_duplicate_stage_judges_rows(spark):
@@ -84,3 +84,37 @@ def test_near_duplicate_stage_judges_rows(spark):
     want = [(1, a), (7, b), (7, c), (8, d), (8, e), (None, g), (9, ""), (9, None), (10, "")]
     assert sorted((x for x in kept if x not in of_f), key=key) == sorted(want, key=key)
     assert {r.source for r in got.collect() if r.text == d} == {"s4"}
+
+
+CLASHES = ["__key", "__stage_key", "__spans", "__key_", "id", "row", "spans", "score", "n", "component", "n_hit", "decoded", "a.b"]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None)] * 3, None], ids=["empty table", "null texts", "odd rows"])
+def test_stages_take_odd_tables(spark, sf_dir, rows):
+    """Null, empty, repeated and very long texts, null ids, no ``n_chars``, columns named like the stages' own."""
+    rnd = random.Random(13)
+    if rows is None:
+        long = " ".join("".join(rnd.sample("aeioutnrsl", 5)) for _ in range(30_000))
+        first = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id = 0").first().text
+        rows = [(1, None), (1, ""), (2, ""), (2, ""), (None, " \t"), (None, first), (0, first), (0, first), (5, long), (6, long + " x"),
+                (7, first + ' token = "0123456789abcdef0123456789abcdef"'), (None, None), (None, None), (8, "😂" * 9)]
+    docs = spark.createDataFrame([(d, t, *CLASHES) for d, t in rows],
+                                 ", ".join(["doc_id long, text string", *(f"`{c}` string" for c in CLASHES)]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert {d for d, _ in got} <= {d for d, _ in rows}
+        key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+        if stage is corpus_pipeline.secrets_stage:
+            want = [(d, t and t.replace('token = "0123456789abcdef0123456789abcdef', "[SECRET]")) for d, t in rows]
+            assert sorted(got, key=key) == sorted(want, key=key)
+        if stage is corpus_pipeline.decontamination_stage:
+            assert sorted(got, key=key) == sorted(rows, key=key)
+        if stage is corpus_pipeline.near_duplicate_stage and len(rows) > 3:
+            assert len(got) == len(set(got)) and {(1, None), (1, ""), (2, ""), (5, rows[8][1])} <= set(got)
+            assert [d for d, t in got if t == rows[5][1]] == [0] and 6 not in {d for d, _ in got}
+        for r in out.take(3):
+            assert [r[c] for c in CLASHES] == CLASHES
+    ids = corpus_pipeline.bpe_stage(spark, docs, sf_dir).collect()
+    assert len(ids) == len(rows) and all((r.n_tokens == 0) == (r.decoded == "") for r in ids)
