@@ -5,10 +5,14 @@ ANSI mode on, so every lenient conversion uses a ``try_*`` form.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotline.functions.keys import strip_ws
+
 # Fixed values that must equal the reference's type mapping (catalog type ->
 # runtime type).  Character types, binary types and timestamp spellings:
 STRING_TYPES = ("VARCHAR2", "NVARCHAR2", "CHAR", "NCHAR", "CLOB", "NCLOB")
@@ -123,10 +127,11 @@ def coerce_lenient(v: Column, target: str) -> Column:
 
 def strict_date(text: Column) -> Column:
     """DATE rule: ``YYYY-MM-DD`` or ``YYYY-MM-DD[T ]HH:MM:SS``, cut at 19 chars; NULL = bad."""
-    s = F.trim(text)
+    s = strip_ws(text)
     s = F.when(s.contains("T"), F.substring(F.regexp_replace(s, "T", " "), 1, 19)).otherwise(s)
     # checked by shape and cast without a zone: no local time is skipped or shifted
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?$"), s).try_cast("timestamp_ntz")
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}(\s+\d{2}:\d{2}:\d{2})?$"),
+                  F.regexp_replace(s, r"\s+", " ")).try_cast("timestamp_ntz")
 
 
 def strict_timestamp(text: Column) -> Column:
@@ -137,6 +142,66 @@ def strict_timestamp(text: Column) -> Column:
     return F.coalesce(full, cut)
 
 
+def strict_zoned(text: Column, zone: str = "UTC") -> Column:
+    """TIMESTAMP WITH TIME ZONE rule: ISO text with an offset or ``Z`` as an instant; NULL = bad.
+
+    Dates and times may be written with or without separators, the time down to
+    the hour; a date alone is its midnight, and text without an offset is a
+    local time of ``zone``.  Digits behind the microsecond
+    are cut; offsets go up to 18 hours.
+    """
+    s = strip_ws(text)
+    shape = (r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
+             r"(?:(Z)|([+-])(\d{2}):?(\d{2})?)?)?$")
+    part = lambda k: F.nullif(F.regexp_extract(s, shape, k), F.lit(""))
+    or_zero = lambda k: F.coalesce(part(k), F.lit("00"))
+    at = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), or_zero(4), F.lit(":"), or_zero(5),
+                  F.lit(":"), or_zero(6), F.lit("."), F.rpad(F.coalesce(part(7), F.lit("")), 6, "0"))
+    offset = F.when(part(8).isNotNull(), "Z").when(part(9).isNotNull(), F.concat(part(9), part(10), F.lit(":"), or_zero(11)))
+    return F.concat(at, F.coalesce(offset, F.lit(" " + zone))).try_cast("timestamp")
+
+
+def coerce_declared(df: DataFrame, types: Mapping[str, str], zone: str = "UTC") -> DataFrame:
+    """A11 as a row operator: every text column by its declared type.
+
+    ``types`` gives the declared type of columns (any case), as the catalog lists
+    them: DATE, TIMESTAMP..., TIMESTAMP WITH TIME ZONE (so spelled; with a
+    precision it is read as a plain TIMESTAMP), NUMBER, FLOAT, BINARY_FLOAT,
+    BINARY_DOUBLE.  Text that is no valid time gives NULL and its column in the
+    array ``_bad``, in the order of the frame; text that is no number gives NULL
+    and stays in ``<column>_RAW``.  NULLs, columns of other types or without a
+    declared type, and values that are no text stay as they are.
+    """
+    declared = {c.upper(): t.upper() for c, t in types.items()}
+    taken = {c.upper() for c in df.columns}
+    out, bad = [], []
+    for field in df.schema:
+        quoted = "`" + field.name.replace("`", "``") + "`"
+        text, kind = F.col(quoted), declared.get(field.name.upper(), "")
+        if not isinstance(field.dataType, T.StringType):
+            kind = ""
+        if kind == "DATE":
+            value = strict_date(text)
+        elif kind.startswith("TIMESTAMP WITH TIME ZONE"):
+            value = strict_zoned(text, zone)
+        elif kind.startswith("TIMESTAMP"):
+            value = strict_timestamp(text)
+        elif kind in ("NUMBER", "FLOAT", "BINARY_FLOAT", "BINARY_DOUBLE"):
+            number, raw = keep_raw_number(strip_ws(text))
+            name = field.name + "_RAW"
+            if name.upper() in taken:
+                raise ValueError(f"a column {name} exists already")
+            out += [number.alias(field.name), F.when(raw.isNotNull(), text).alias(name)]
+            continue
+        else:
+            out.append(text)
+            continue
+        out.append(value.alias(field.name))
+        bad.append(F.when(text.isNotNull() & value.isNull(), F.lit(field.name)))
+    none = F.array().cast("array<string>")
+    return df.select(*out, (F.array_compact(F.array(*bad)) if bad else none).alias("_bad"))
+
+
 def keep_raw_number(text: Column, precision: int = 38, scale: int = 10) -> tuple[Column, Column]:
     """NUMBER rule: decimal when the text parses, else keep the text in a raw column."""
     num = F.trim(text).try_cast(f"decimal({precision},{scale})")

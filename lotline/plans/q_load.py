@@ -282,6 +282,56 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
                     raw.alias("NUM_RAW"))
 
 
+#: Declared types of the text columns below, as a catalog lists them.
+TEXT_TYPES = {"O_DATE": "DATE", "O_TS": "TIMESTAMP(6)", "O_TSZ": "TIMESTAMP WITH TIME ZONE", "O_NUM": "NUMBER",
+              "O_NAME": "VARCHAR2", "O_KEY": "NUMBER"}
+
+
+@register("a11_declared_types", """
+WITH t AS (
+  SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%H:%M:%S') AS clock, o_totalprice AS price
+  FROM orders),
+r AS (
+  SELECT k,
+         CASE k % 4 WHEN 0 THEN day || 'T' || clock || '.5' WHEN 1 THEN day WHEN 2 THEN replace(day, '-', '/') END AS d,
+         CASE k % 3 WHEN 0 THEN day || 'T' || clock || '.25Z' WHEN 1 THEN day || ' ' || clock ELSE 'soon' END AS ts,
+         CASE k % 5 WHEN 0 THEN day || 'T' || clock || '+05:30' WHEN 1 THEN day || 'T' || clock || '.125Z'
+              WHEN 2 THEN day || ' ' || clock || '-08:00' WHEN 3 THEN day ELSE day || 'T25:00:00Z' END AS tz,
+         CASE k % 3 WHEN 0 THEN '	' || CAST(price AS VARCHAR) || ' ' WHEN 1 THEN 'n/a ' END AS num
+  FROM t),
+v AS (
+  SELECT *, CASE k % 4 WHEN 0 THEN try_strptime(replace(substr(d, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S')
+                 WHEN 1 THEN try_strptime(d, '%Y-%m-%d') END AS d_v,
+         TRY_CAST(replace(ts, 'Z', '') AS TIMESTAMP) AS ts_v,
+         epoch_us(CASE k % 5 WHEN 0 THEN CAST(substr(tz, 1, 19) AS TIMESTAMP) - INTERVAL 330 MINUTE
+                       WHEN 1 THEN CAST(replace(tz, 'Z', '') AS TIMESTAMP)
+                       WHEN 2 THEN CAST(substr(tz, 1, 19) AS TIMESTAMP) + INTERVAL 8 HOUR
+                       WHEN 3 THEN CAST(tz AS TIMESTAMP) END) AS tz_v,
+         TRY_CAST(trim(num, ' 	') AS DECIMAL(38,10)) AS num_v
+  FROM r)
+SELECT k AS O_KEY, d_v AS O_DATE, ts_v AS O_TS, tz_v AS O_TSZ_MICROS, CAST(num_v AS DOUBLE) AS O_NUM,
+       CASE WHEN num_v IS NULL THEN num END AS O_NUM_RAW, 'order ' || CAST(k AS VARCHAR) AS O_NAME,
+       concat_ws(',', CASE WHEN d IS NOT NULL AND d_v IS NULL THEN 'O_DATE' END,
+                 CASE WHEN ts_v IS NULL THEN 'O_TS' END, CASE WHEN tz_v IS NULL THEN 'O_TSZ' END) AS BAD
+FROM v""")
+def a11_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of texts through the strict row operator; the array of bad columns comma-joined."""
+    k, day, at = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "HH:mm:ss")
+    iso = F.concat(day, F.lit("T"), at)
+    rows = table(spark, d, "orders").select(
+        k.alias("O_KEY"),
+        F.when(k % 4 == 0, F.concat(iso, F.lit(".5"))).when(k % 4 == 1, day).when(k % 4 == 2, F.replace(day, F.lit("-"), F.lit("/"))).alias("O_DATE"),
+        F.when(k % 3 == 0, F.concat(iso, F.lit(".25Z"))).when(k % 3 == 1, F.concat_ws(" ", day, at)).otherwise("soon").alias("O_TS"),
+        F.when(k % 5 == 0, F.concat(iso, F.lit("+05:30"))).when(k % 5 == 1, F.concat(iso, F.lit(".125Z")))
+        .when(k % 5 == 2, F.concat(F.concat_ws(" ", day, at), F.lit("-08:00"))).when(k % 5 == 3, day)
+        .otherwise(F.concat(day, F.lit("T25:00:00Z"))).alias("O_TSZ"),
+        F.when(k % 3 == 0, F.concat(F.lit("\t"), F.col("o_totalprice").cast("string"), F.lit(" "))).when(k % 3 == 1, "n/a ").alias("O_NUM"),
+        F.concat(F.lit("order "), k.cast("string")).alias("O_NAME"))
+    typed = C.coerce_declared(rows, TEXT_TYPES)
+    return typed.select("O_KEY", "O_DATE", "O_TS", F.unix_micros("O_TSZ").alias("O_TSZ_MICROS"), F.col("O_NUM").cast("double").alias("O_NUM"),
+                        "O_NUM_RAW", "O_NAME", F.concat_ws(",", "_bad").alias("BAD"))
+
+
 @register("a12_fixed_projection", """
 SELECT 'C' || CAST(o_custkey AS VARCHAR) AS SRC_NAME, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS AMOUNT,
        o_orderdate AS CREATED_AT, o_orderkey AS ORDER_KEY
