@@ -24,6 +24,8 @@ from lotline.sources.tables import table
 BROADCAST_KEYS = 1_000_000
 #: Redactions (key and spans) are broadcast up to this number, else joined by a shuffle.
 BROADCAST_SPANS = 100_000
+#: Arrow batches of whole texts stand in the executor and in its Python worker at once: at most this many bytes each.
+BATCH_BYTES = 4 << 20
 _KEY = "__stage_key"
 
 
@@ -36,6 +38,13 @@ def _node() -> Column:
     return F.xxhash64("doc_id", "text", F.col("text").isNull())
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless it has a bound of its own; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``docs`` has it."""
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -65,6 +74,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     null texts have a score like any other; equal rows have equal scores; rows
     with a null id are scored, too, but no label is theirs.
     """
+    _small_batches(spark)
     keyed = docs.select("doc_id", "text", _key().alias(_KEY))
     stats = written(quality.document_statistics(keyed, _KEY, "text"), "statistics")
     labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", "quality")
@@ -82,6 +92,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     differ in other columns, the least by these columns stays.  Texts without
     words have no near duplicates but their equal rows.
     """
+    _small_batches(spark)
     nodes = written(docs.groupBy(_node().alias(_KEY)).agg(
         F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "nodes")
     found = minhash.near_duplicates(docs.select(_node().alias(_KEY), "text"), id_col=_KEY).groupBy(_KEY).agg(
@@ -138,6 +149,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str
     encoded by itself, repeated ones, too.  It keeps fewer strings and pairs than
     the operator by itself, since earlier stages' workers share the executors.
     """
+    _small_batches(spark)
     if vocabulary is None:
         import public_tokenizers
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
