@@ -301,3 +301,26 @@ def stamp(df: DataFrame, table_name: str, scenario: str, version: int, exclude:
     if table_name.upper() in {t.upper() for t in exclude}:
         return df
     return df.select(F.lit(scenario).alias("SCENARIO_ID"), F.lit(version).alias("VERSION_NO"), "*")
+
+
+def fab_in_out(events: DataFrame, part: str = "PART_ID", day: str = "DAY") -> DataFrame:
+    """F7 by part: quantities in, out and scrapped, and the level at the end, per day, week of a month, month and in all.
+
+    ``events`` has the part, the day (a timestamp) and decimal IN_QTY, OUT_QTY and SCRAP_QTY
+    (null: nothing; scrap is part of what goes out).  WIP_QTY is the running sum of in less
+    out of the part at the end of the period's last day with events; one running sum by day
+    serves all levels.  GID tells the levels (``grouping_id`` of month, week, day).  A null
+    part is a part; events without a day are left out.
+    """
+    nothing = F.lit(0).cast("decimal(20,4)")
+    amount = lambda c: F.sum(F.coalesce(F.col(c).cast("decimal(20,4)"), nothing)).alias(c)
+    daily = events.where(F.col(day).isNotNull()).groupBy(F.col(part).alias("PART_ID"), F.date_trunc("day", F.col(day)).cast("timestamp_ntz").alias("DAY")).agg(
+        amount("IN_QTY"), amount("OUT_QTY"), amount("SCRAP_QTY"))
+    level = frames.running_by_group(daily, ["PART_ID"], ["DAY"], {"WIP": ("sum", F.col("IN_QTY") - F.col("OUT_QTY"))})
+    level = level.select("*", F.date_trunc("month", "DAY").cast("timestamp_ntz").alias("MONTH"),
+                         F.date_trunc("week", "DAY").cast("timestamp_ntz").alias("WEEK"), F.struct("DAY", "WIP").alias("_last"))
+    g = level.groupingSets([["PART_ID", "MONTH", "WEEK", "DAY"], ["PART_ID", "MONTH", "WEEK"], ["PART_ID", "MONTH"], ["PART_ID"]],
+                           "PART_ID", "MONTH", "WEEK", "DAY").agg(
+        F.sum("IN_QTY").alias("FABIN_QTY"), F.sum("OUT_QTY").alias("FABOUT_QTY"), F.sum("SCRAP_QTY").alias("SCRAP_QTY"),
+        F.max("_last")["WIP"].alias("WIP_QTY"), F.grouping_id().alias("GID"))
+    return g.select("PART_ID", "MONTH", "WEEK", "DAY", "FABIN_QTY", "FABOUT_QTY", "WIP_QTY", "SCRAP_QTY", "GID")

@@ -158,6 +158,35 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
         F.grouping_id().alias("GID"))
 
 
+@register("f7_fab_in_out_by_part", """
+WITH j AS (SELECT l.l_partkey AS PART_ID, CAST(l.l_quantity AS DECIMAL(20,4)) AS q, l.l_returnflag AS rf, o.o_orderdate AS od, l.l_shipdate AS sd
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+ev AS (SELECT PART_ID, date_trunc('day', od) AS DAY, q AS in_q, 0 AS out_q, 0 AS scrap_q FROM j
+       UNION ALL SELECT PART_ID, date_trunc('day', sd), 0, q, CASE WHEN rf = 'R' THEN q ELSE 0 END FROM j),
+ends AS (SELECT PART_ID, DAY, sum(in_q) AS i, sum(out_q) AS o, sum(scrap_q) AS s,
+                date_trunc('month', DAY) AS MONTH, date_trunc('week', DAY) AS WEEK FROM ev GROUP BY PART_ID, DAY),
+p AS (SELECT PART_ID, DAY, WEEK, MONTH, i, o, s, 0 AS GID, DAY AS upto FROM ends
+      UNION ALL SELECT PART_ID, NULL, WEEK, MONTH, sum(i), sum(o), sum(s), 1, max(DAY) FROM ends GROUP BY PART_ID, WEEK, MONTH
+      UNION ALL SELECT PART_ID, NULL, NULL, MONTH, sum(i), sum(o), sum(s), 3, max(DAY) FROM ends GROUP BY PART_ID, MONTH
+      UNION ALL SELECT PART_ID, NULL, NULL, NULL, sum(i), sum(o), sum(s), 7, max(DAY) FROM ends GROUP BY PART_ID)
+SELECT p.PART_ID, p.MONTH, p.WEEK, p.DAY, CAST(any_value(p.i) AS DOUBLE) AS FABIN_QTY, CAST(any_value(p.o) AS DOUBLE) AS FABOUT_QTY,
+       CAST(sum(e.i - e.o) AS DOUBLE) AS WIP_QTY, CAST(any_value(p.s) AS DOUBLE) AS SCRAP_QTY, p.GID
+FROM p JOIN ends e ON e.PART_ID = p.PART_ID AND e.DAY <= p.upto
+GROUP BY p.PART_ID, p.MONTH, p.WEEK, p.DAY, p.GID""")
+def f7_by_part(spark: SparkSession, d: str) -> DataFrame:
+    """Lines come in on their order's day and go out on their ship day; returned ones are scrap."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    j = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate").join(
+        o, F.col("l_orderkey") == F.col("o_orderkey"))
+    q, none = F.col("l_quantity").cast("decimal(20,4)"), F.lit(None).cast("decimal(20,4)")
+    event = lambda day, i, out, scrap: F.struct(F.col(day).cast("timestamp_ntz").alias("DAY"), i.alias("IN_QTY"),
+                                                out.alias("OUT_QTY"), scrap.alias("SCRAP_QTY"))
+    events = j.select(F.col("l_partkey").alias("PART_ID"), F.inline(F.array(
+        event("o_orderdate", q, none, none), event("l_shipdate", none, q, F.when(F.col("l_returnflag") == "R", q)))))
+    found = S.fab_in_out(events)
+    return found.select(*[F.col(c).cast("double").alias(c) if c.endswith("_QTY") else F.col(c) for c in found.columns])
+
+
 @register("f8_wip_over_time", with_views(f"""
 WITH ev AS (SELECT STEP_SEQ AS STEP, START_TS AS TS, 1 AS KIND_ORDER, 1 AS DELTA, {MT} FROM moves
             UNION ALL SELECT STEP_SEQ, END_TS, 0, -1, {MT} FROM moves)
