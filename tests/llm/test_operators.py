@@ -1,5 +1,7 @@
 """The numbered operators against brute force, on small tables with every odd case."""
 import hashlib
+import itertools
+import math
 import random
 import re
 import tempfile
@@ -237,7 +239,7 @@ def _secrets(text):
 def test_secrets_match_brute_force(spark):
     rnd = random.Random(8)
     hexes = ["".join(rnd.choices("0123456789abcdef", k=40)) for _ in range(30)]
-    random_string = "".join(rnd.choices(secrets.ALPHABET[:62], k=40))
+    random_string = "".join(rnd.choices(secrets.ALPHABET, k=40))
     rows = [(k, f"the ordinary words of a sentence {WORDS[k]} and others token = \"{h}\" end") for k, h in enumerate(hexes)]
     prose = """it was a very long and ordinary afternoon and this is what the words of an ordinary language look like when there
     are enough of them to learn which letters follow which others in a sentence that says nothing in particular about secrets"""
@@ -262,6 +264,41 @@ def test_secrets_match_brute_force(spark):
     assert secrets.find_secrets(_docs(spark, [])).collect() == []
 
 
+def test_random_strings_match_brute_force(spark, monkeypatch):
+    """Runs scored by trying every stretch; compound names stay, random strings of 14 characters, rare in the corpus, go."""
+    rnd = random.Random(18)
+    ordinary = ["usr/local/share/documentation/python/packages", "self-contained-deployment-guide-for-beginners",
+                "org/articles/history-of-the-modern-city/part-two", "state-of-the-art-machine-learning-system",
+                "get_user_account_by_identifier_number", "AMAZINGLY-LONG-UPPERCASE-HEADING", "-" * 20, "=" * 20,
+                "2024-01-15T10-00-00", "1234567890123456", "internationalization"]
+    strings = ["".join(rnd.choices(secrets.ALPHABET, k=14)) for _ in range(12)] + ["Zk9xQ2vB7pLm4T"]
+    prose = """it was a very long and ordinary afternoon and this is what the words of an ordinary language look like when there
+    are enough of them to learn which letters follow which others in a sentence that says nothing in particular about secrets.
+    On Monday, the 12 of 1987, Peter and Anna went to the city; questions, extraordinary circumstances and jokes followed"""
+    hexes = ["".join(rnd.choices("0123456789abcdef", k=40)) for _ in range(30)]
+    rows = [(k, " ".join(rnd.sample(prose.split(), 40))) for k in range(300)] + [(1000 + k, h) for k, h in enumerate(hexes)]
+    rows += [(2000 + k, f"see {x}, there") for k, x in enumerate(ordinary)]
+    rows += [(3000 + k, f"see usr/local/share/{x} there") for k, x in enumerate(strings)]
+    rows += [(4000, "password=" + strings[0] + "/" + strings[1]), (4001, "é" + strings[2] + "é" + "=" * 30 + strings[3] + "." + strings[4])]
+    model, fit = {}, secrets.fit
+    monkeypatch.setattr(secrets, "fit", lambda *a: model.setdefault("m", fit(*a)))
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == 3] for r in secrets.find_secrets(_docs(spark, rows)).collect()}
+    ratios, threshold = model["m"]
+    symbol = {c: k + 1 for k, c in enumerate(secrets.ALPHABET)}
+    for doc_id, text in rows:
+        want = []
+        for m in re.finditer(secrets.TOKEN % 12, text):
+            s = [0] + [symbol.get(c, 0) for c in m[0]]
+            steps = [ratios[a * (len(symbol) + 1) + b] for a, b in itertools.pairwise(s)]
+            best = max(sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1))
+            overlaps = any(a < m.end() and m.start() < b for a, _, b in _secrets(text))
+            if best >= math.log(len(m[0])) + threshold and not overlaps:
+                want.append(m.span())
+        assert got[doc_id] == want, text
+    assert not any(got[2000 + k] for k in range(len(ordinary)))
+    assert sum(bool(got[3000 + k]) for k in range(len(strings))) >= 0.9 * len(strings) and got[3000 + len(strings) - 1]
+
+
 def test_bpe_matches_the_library(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
