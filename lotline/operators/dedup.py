@@ -73,50 +73,53 @@ def require_key(df: DataFrame, key: str) -> DataFrame:
 def dedup_ttl(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], ttl_seconds: int) -> DataFrame:
     """Keep a row when more than ``ttl`` passed since the key's last *accepted* row.
 
-    Exact and skew-safe.  ``next(i)`` is the first row of the same key later than
-    ``ts_i + ttl``; the accepted rows are the chain first -> next -> next ...
-    ``next`` is an as-of lookup done with range-partitioned running minima
+    Exact and skew-safe.  A row that comes more than ``ttl`` after the row before
+    it is accepted whatever was accepted earlier, so each key falls into segments
+    at such gaps, and a row alone in its segment needs no more.  In the others
+    ``next(i)`` is the first row of the same key later than ``ts_i + ttl``; the
+    accepted rows are the chain start -> next -> next ... up to the segment's
+    end.  ``next`` is an as-of lookup done with range-partitioned running minima
     (no per-key sort in one task); the chain is then marked by pointer
     doubling: each round joins the pointer table with itself on the row id,
     an evenly spread key, and doubles the jump length.  Rounds are
-    ``log2(chain length)``; lineage is cut each round by a checkpoint.
+    ``log2(longest chain of a segment)``; lineage is cut each round by a checkpoint.
+    Rows without a time are kept.
     """
     key = list(key)
     order = [ts, *tie]
     ids = frames.row_number_by(df, [], [*key, *order], "_id")        # dense ids in (key, ts, tie) order
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
     ttl_us = F.lit(int(ttl_seconds) * 1_000_000)
-    base = ids.select(*key, "_id", us.alias("_us"))
+    base = frames.beside(ids.select(*key, "_id", us.alias("_us")), key, ["_id"], ["_us"], "_next", "_prev")
+    starts = F.coalesce(F.col("_us") - F.col("_prev_us") > ttl_us, F.lit(True))
+    ends = F.coalesce(F.col("_next_us") - F.col("_us") > ttl_us, F.lit(True))
+    # odd ids mark the starts of segments, so that a running minimum of ids says whether it left the segment
+    base = frames.checkpoint(base.select(*key, (F.col("_id") * 2 + starts.cast("bigint")).alias("_id"), "_us",
+                                         (starts & ends).alias("_alone")))
+    odd = F.col("_id") % 2 == 1
+    inner = base.where(~F.col("_alone")).drop("_alone")
     # as-of: first row of the key with _us > probe.  Union rows and probes in
     # descending time order with probes ahead of rows of the same time (the gap
     # must be strictly greater than ttl), and take the running minimum row id.
-    rows = base.select(*key, F.col("_us").alias("_t"), F.lit(0).alias("_kind"), F.col("_id").alias("_rid"),
-                       F.lit(None).cast("bigint").alias("_pid"))
-    probes = base.select(*key, (F.col("_us") + ttl_us).alias("_t"), F.lit(1).alias("_kind"),
-                         F.lit(None).cast("bigint").alias("_rid"), F.col("_id").alias("_pid"))
+    rows = inner.select(*key, F.col("_us").alias("_t"), F.lit(0).alias("_kind"), F.col("_id").alias("_rid"),
+                        F.lit(None).cast("bigint").alias("_pid"))
+    probes = inner.select(*key, (F.col("_us") + ttl_us).alias("_t"), F.lit(1).alias("_kind"),
+                          F.lit(None).cast("bigint").alias("_rid"), F.col("_id").alias("_pid"))
     u = rows.unionByName(probes)
     run = frames.running_by_group(
         u, key, [F.col("_t").desc(), F.col("_kind").desc(), F.col("_rid").desc_nulls_first(),
                  F.col("_pid").desc_nulls_first()],
         {"_next": ("min", "_rid")})
-    nxt = run.where(F.col("_kind") == 1).select(F.col("_pid").alias("_id"), F.col("_next").alias("_jump"))
-    # chain roots: the first row of each key
-    firsts = base.groupBy(*key).agg(F.min("_id").alias("_id")).select("_id")
-    jump = frames.checkpoint(nxt)
-    on_chain = frames.checkpoint(firsts.withColumn("_on", F.lit(True)))
-    frontier = on_chain
-    while True:
+    jump = frames.checkpoint(run.where((F.col("_kind") == 1) & (F.col("_next") % 2 == 0)).select(
+        F.col("_pid").alias("_id"), F.col("_next").alias("_jump")))
+    on_chain = inner.where(odd).select("_id")
+    while not jump.isEmpty():
         # nodes reached from the current set by one jump of the current length
-        step = frontier.join(jump, "_id").where(F.col("_jump").isNotNull()).select(F.col("_jump").alias("_id"))
-        reached = frames.checkpoint(on_chain.select("_id").union(step).distinct().withColumn("_on", F.lit(True)))
-        frontier = reached
-        on_chain = reached
+        step = on_chain.join(jump, "_id").select(F.col("_jump").alias("_id"))
+        on_chain = frames.checkpoint(on_chain.union(step).distinct())
         a = jump.alias("a")
         b = jump.alias("b")
-        doubled = a.join(b, F.col("a._jump") == F.col("b._id"), "left").select(
-            F.col("a._id").alias("_id"), F.col("b._jump").alias("_jump"))
-        jump = frames.checkpoint(doubled.where(F.col("_jump").isNotNull()))
-        if jump.isEmpty():
-            break
-    kept = ids.join(on_chain.select("_id"), "_id", "left_semi")
-    return kept.drop("_id")
+        jump = frames.checkpoint(a.join(b, F.col("a._jump") == F.col("b._id")).select(
+            F.col("a._id").alias("_id"), F.col("b._jump").alias("_jump")))
+    kept = on_chain.union(base.where("_alone").select("_id")).select(F.shiftright("_id", 1).alias("_id"))
+    return ids.join(kept, "_id", "left_semi").drop("_id")

@@ -51,6 +51,29 @@ def test_ttl_dedup_matches_sequential(spark):
     assert got == _ttl_seq(rows, 10)
 
 
+def test_ttl_dedup_doubles_inside_segments_only(spark, monkeypatch):
+    """Gaps over the ttl cut a key's rows; sparse keys need no round, a dense one those of its own chain."""
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    sparse = [(i, "s", at(11 * i)) for i in range(300)]
+    bursts = [(1000 + i, rnd.choice("xyz"), at(1000 * (i // 6) + rnd.randint(0, 25))) for i in range(300)]
+    written, checkpoint = [], frames.checkpoint
+    monkeypatch.setattr(frames, "checkpoint", lambda df: written.append(1) or checkpoint(df))
+    rounds = []
+    for rows in (sparse, sparse + bursts):
+        written.clear()
+        df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz")
+        kept = dedup.dedup_ttl(df, ["k"], "ts", ["id"], 10)
+        rounds.append(len(written))
+        assert sorted(r.id for r in kept.collect()) == _ttl_seq(rows, 10)
+    assert rounds[1] - rounds[0] <= 2 * 2  # a burst of 25 s holds at most two jumps of more than 10 s
+    odd = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, t0), (4, None, t0), (5, "a", t0), (6, "a", at(10))],
+                                "id long, k string, ts timestamp_ntz")
+    assert sorted(r.id for r in dedup.dedup_ttl(odd, ["k"], "ts", ["id"], 10).collect()) == [1, 2, 3, 5]
+    assert dedup.dedup_ttl(odd.limit(0), ["k"], "ts", ["id"], 10).collect() == []
+
+
 def _bfs(adj, s):
     seen, order, q = {s}, [s], deque([s])
     while q:
