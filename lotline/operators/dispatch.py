@@ -104,8 +104,12 @@ def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
 
 def eligible(rows: DataFrame, arrange: DataFrame, keys: Sequence[str], ts: str,
              start: str = "START_TIME", end: str = "END_TIME") -> DataFrame:
-    """Rows joined to their allowed equipment where ``start <= ts <= end`` (NULL bounds open)."""
-    j = rows.join(arrange, list(keys))
+    """Rows joined to their allowed equipment where ``start <= ts <= end`` (NULL bounds open).
+
+    The allowed equipment grows with the parts, and its file size says little of its rows (the planner would
+    broadcast an exploded table by the size of its source): both sides are shuffled, whatever the guess.
+    """
+    j = rows.join(arrange.hint("merge"), list(keys))
     ok = ((F.col(start).isNull() | (F.col(start) <= F.col(ts))) & (F.col(end).isNull() | (F.col(ts) <= F.col(end))))
     return j.where(ok)
 
