@@ -32,6 +32,8 @@ from lotline import frames, graph
 R_UNKNOWN_START = "unknown start"
 #: Candidates that an unplaced request looks at in a round; parts of the lists that are kept apart.
 BLOCK, LISTS = 16, 8
+#: BFS levels that one job expands.
+LEVELS = 8
 _LOG = logging.getLogger("lotline.allocate")
 
 
@@ -72,7 +74,7 @@ def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
 
 
 class Frontier:
-    """BFS from many starts at once, a level at a time and only for the starts that ask.
+    """BFS from many starts at once, some levels at a time and only for the starts that ask.
 
     ``adj`` has every edge both ways (E1), so a neighbour of a node of level L
     lies in level L-1, L or L+1: new nodes are told from the last two levels of
@@ -80,43 +82,58 @@ class Frontier:
     order)``, and ranks continue after the nodes seen so far.  ``levels`` are the
     written parts of the visiting order: START_ID, NODE_ID, RANK (1 = the start),
     LEVEL, FREE, CUM_FREE (free capacity of ranks <= RANK).
+
+    One job expands ``LEVELS`` levels: rows are shuffled by start once and stay
+    there, so a graph of long paths costs its visits, not a round of jobs a level.
+    What a task sorts of one start is a few levels, at most the nodes of the graph
+    (rows that a window spills, not lists).
     """
 
     def __init__(self, starts: DataFrame, free: DataFrame, adj: DataFrame):
-        self.adj, self.free = adj.withColumnRenamed("NODE_ID", "_p"), free.select("NODE_ID", "FREE")
-        first = starts.select("START_ID", F.col("START_ID").alias("NODE_ID")).join(self.free, "NODE_ID")
-        first = first.select("START_ID", "NODE_ID", F.lit(1).cast("long").alias("RANK"), F.lit(0).alias("LEVEL"), "FREE",
-                             F.col("FREE").cast("long").alias("CUM_FREE"))
-        self.last = frames.checkpoint(first)
-        self.before = self.last.limit(0)
-        # per start: its last level and rank, and its free capacity so far
-        self.state = self.last.select("START_ID", "LEVEL", F.col("RANK").alias("LAST"), F.col("CUM_FREE").alias("GOT"))
-        self.levels = [self.last]
+        free = free.select("NODE_ID", "FREE")
+        known = adj.join(free.withColumnRenamed("NODE_ID", "NBR"), "NBR")
+        self.near = frames.checkpoint(frames.chunked_lists(known, ["NODE_ID"], ["EDGE_SEQ", "NBR"], F.struct("NBR", "EDGE_SEQ", "FREE")).select(
+            F.col("NODE_ID").alias("_p"), F.col("ITEMS").alias("_near")))
+        near = {f.name: f.dataType.simpleString() for f in self.near.schema["_near"].dataType.elementType}
+        self.types = {"NODE_ID": dict(starts.dtypes)["START_ID"], "FREE": near["FREE"], "EDGE_SEQ": near["EDGE_SEQ"]}
+        first = starts.select("START_ID", F.col("START_ID").alias("NODE_ID")).join(free, "NODE_ID")
+        first = frames.checkpoint(first.select(
+            "START_ID", "NODE_ID", F.lit(1).cast("long").alias("RANK"), F.lit(0).alias("LEVEL"), "FREE", F.col("FREE").cast("long").alias("CUM_FREE")))
+        # the last two levels of the starts that may go on, and the number of the last one
+        self.tail = first.withColumn("_cur", F.lit(0))
+        self.levels = [first]
+
+    def _level(self, seen: DataFrame, step: int) -> DataFrame:
+        """``seen`` with the neighbours of each start's level ``_cur + step``."""
+        row = "struct<NODE_ID:{NODE_ID},RANK:bigint,LEVEL:int,FREE:{FREE},CUM_FREE:bigint,_prank:bigint,EDGE_SEQ:{EDGE_SEQ}>".format(**self.types)
+        x = seen.withColumn("_at", F.expr(f"if(LEVEL = _cur + {step}, NODE_ID, null)")).join(self.near, F.expr("_at = _p"), "left")
+        x = x.selectExpr("START_ID", "_cur", f"""inline(concat(
+            cast(array(struct(NODE_ID, RANK, LEVEL, FREE, CUM_FREE, null, null)) as array<{row}>),
+            coalesce(cast(transform(_near, n -> struct(n.NBR, null, null, n.FREE, null, RANK, n.EDGE_SEQ)) as array<{row}>), array())))""")
+        x = x.groupBy("START_ID", "NODE_ID").agg(
+            *[F.max(c).alias(c) for c in ("_cur", "RANK", "LEVEL", "FREE", "CUM_FREE")], F.min(F.struct("_prank", "EDGE_SEQ")).alias("_d"))
+        # ranks have no gaps within a start, so the first one of its rows says where to go on
+        w = Window.partitionBy("START_ID").orderBy(F.col("RANK").asc_nulls_last(), "_d", "NODE_ID").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return x.select(
+            "START_ID", "NODE_ID", (F.first("RANK").over(w) + F.count(F.lit(1)).over(w) - 1).alias("RANK"),
+            F.coalesce("LEVEL", F.col("_cur") + step + 1).alias("LEVEL"), "FREE",
+            (F.first("CUM_FREE").over(w) - F.first("FREE").over(w) + F.sum("FREE").over(w)).alias("CUM_FREE"), "_cur")
 
     def expand(self, active: DataFrame | None = None) -> DataFrame | None:
-        """The next level of the ``active`` starts (START_ID; default all); None if no start has one."""
-        asked = self.last if active is None else self.last.join(active, "START_ID", "left_semi")
-        found = asked.select("START_ID", F.col("NODE_ID").alias("_p"), F.col("RANK").alias("_prank")).join(self.adj, "_p")
-        near = self.last.select("START_ID", "NODE_ID").unionByName(self.before.select("START_ID", "NODE_ID"))
-        found = found.select("START_ID", F.col("NBR").alias("NODE_ID"), "_prank", "EDGE_SEQ").join(near, ["START_ID", "NODE_ID"], "left_anti")
-        found = found.groupBy("START_ID", "NODE_ID").agg(F.min(F.struct("_prank", "EDGE_SEQ")).alias("_d"))
-        found = found.select("START_ID", "NODE_ID", "_d._prank", "_d.EDGE_SEQ").join(self.free, "NODE_ID")
-        found = frames.running_by_group(found, ["START_ID"], ["_prank", "EDGE_SEQ", "NODE_ID"],
-                                        {"_n": ("count", None), "_f": ("sum", "FREE")}).join(self.state, "START_ID")
-        new = frames.checkpoint(found.select(
-            "START_ID", "NODE_ID", (F.col("LAST") + F.col("_n")).alias("RANK"), (F.col("LEVEL") + 1).alias("LEVEL"), "FREE",
-            (F.col("GOT") + F.col("_f")).alias("CUM_FREE")))
-        if active is None:
-            self.before, self.last = self.last, new
-        else:  # the others keep their last two levels
-            rest = lambda df: df.join(active, "START_ID", "left_anti")
-            self.before, self.last = (frames.checkpoint(asked.unionByName(rest(self.before))),
-                                      frames.checkpoint(new.unionByName(rest(self.last))))
+        """The next levels of the ``active`` starts (START_ID; default all); None if no start has one."""
+        seen = self.tail if active is None else self.tail.join(active, "START_ID", "left_semi")
+        # the rows before the first step are few, but they grow in place
+        seen = seen.repartition(frames.tasks_for(seen.count() * LEVELS, 50_000, 8), "START_ID")
+        for step in range(LEVELS):
+            seen = self._level(seen, step)
+        seen = frames.checkpoint(seen)
+        new = seen.where(F.col("LEVEL") > F.col("_cur")).drop("_cur")
+        # a start without a level behind these has come to its end
+        tail = seen.withColumn("_cur", F.col("_cur") + LEVELS).where(F.col("LEVEL") >= F.col("_cur") - 1)
+        self.tail = tail if active is None else frames.checkpoint(tail.unionByName(self.tail.join(active, "START_ID", "left_anti")))
         if new.isEmpty():
             return None
-        gain = new.groupBy("START_ID").agg(F.max("LEVEL").alias("_v"), F.max("RANK").alias("_l"), F.max("CUM_FREE").alias("_g"))
-        self.state = frames.checkpoint(self.state.join(gain, "START_ID", "left").select(
-            "START_ID", F.coalesce("_v", "LEVEL").alias("LEVEL"), F.coalesce("_l", "LAST").alias("LAST"), F.coalesce("_g", "GOT").alias("GOT")))
         self.levels.append(new)
         return new
 
@@ -132,7 +149,7 @@ def bfs_ranks(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
     """BFS visiting order from every known start, whole (see :class:`Frontier`)."""
     front = Frontier(starts, free, adj)
     while front.expand() is not None:
-        _log(f"bfs: level {len(front.levels)}")
+        _log(f"bfs: level {LEVELS * (len(front.levels) - 1)}")
     return _union(front.levels)
 
 
@@ -238,7 +255,8 @@ def allocate_bfs(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFr
     need = frames.checkpoint(served.groupBy("START_ID").agg(F.max("_k").alias("NEED")))
     front = Frontier(need, free, adj)
     while True:
-        short = frames.checkpoint(front.state.join(need, "START_ID").where(F.col("GOT") < F.col("NEED")).select("START_ID"))
+        got = front.tail.groupBy("START_ID").agg(F.max("CUM_FREE").alias("GOT"))
+        short = frames.checkpoint(got.join(need, "START_ID").where(F.col("GOT") < F.col("NEED")).select("START_ID"))
         if short.isEmpty() or front.expand(short) is None:
             break
     cand = _union(front.levels)
