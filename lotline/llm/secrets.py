@@ -1,12 +1,12 @@
 """Secret scan: fixed patterns, and Markov models of characters, in SQL functions only.
 
 Spans of the three pattern kinds are found first.  Their values are the
-labelled samples of random strings; the whole texts of a bounded sample of
-documents are those of ordinary ones.  Two first-order Markov chains over
+labelled samples of random strings; the whole texts of all documents, counted
+word by word, are those of ordinary ones.  Two first-order Markov chains over
 characters give each transition of a further token a log-likelihood ratio
 (random against ordinary).  A token's score is that of its best stretch, so an
 ordinary prefix does not thin out a random string behind it; tokens whose score
-reaches a threshold, calibrated by length on other documents, are spans of kind
+reaches a threshold, calibrated by length on all tokens, are spans of kind
 ``random``.  Letters and digits are symbols of their own and every other
 character is one boundary symbol: a path, slug or snake-case name then reads
 like the words between blanks that it is made of, a ruler like white space.
@@ -68,15 +68,27 @@ def _spans(matches: DataFrame) -> DataFrame:
         "row", "kind", (F.col("stop") - F.col("lengths")).alias("start"), "stop", F.col("values").alias("value"))
 
 
-def _symbols(value: str) -> Column:
+def _symbols(value: str | Column) -> Column:
     return F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
 def _steps(values: DataFrame) -> DataFrame:
-    """Counts ``step, n`` of the transitions of the strings in ``value``, with a boundary at both ends."""
-    s = values.select(F.concat(F.lit(" "), "value", F.lit(" ")).alias("value")).select(_symbols("value").alias("s"))
+    """Counts ``step, n`` of the transitions of the strings in ``value``, with a boundary at both ends.
+
+    All words lie between boundaries, so the transitions of each different word
+    are counted once, times the number of the word; what remains of a string's
+    transitions lies between two boundaries.
+    """
+    words = F.filter(F.split("value", "[^A-Za-z0-9]+"), lambda w: w != "")
+    s = values.select((F.length("value") + 1).cast("long").alias("all"), words.alias("words"))
+    rest = F.col("all") - F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1)
+    one = lambda w, n: F.struct(w.alias("word"), n.alias("n"))
+    # the empty word between two boundaries is their one transition
+    each = s.select(F.inline(F.concat(F.transform("words", lambda w: one(w, F.lit(1).cast("long"))), F.array(one(F.lit(""), rest)))))
+    each = each.groupBy("word").agg(F.sum("n").alias("n"))
+    each = each.select("n", _symbols(F.concat(F.lit(" "), "word", F.lit(" "))).alias("s"))
     steps = F.zip_with("s", F.slice("s", F.lit(2), F.size("s")), lambda a, b: a * _SYMBOLS + b)
-    return s.select(F.explode(steps).alias("step")).where("step is not null").groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    return each.select(F.explode(steps).alias("step"), "n").where("step is not null and n > 0").groupBy("step").agg(F.sum("n").alias("n"))
 
 
 def _counts(samples: DataFrame) -> np.ndarray:
@@ -129,6 +141,10 @@ def best_stretch(value: str, ratios: list[float]) -> Column:
     return F.aggregate(_symbols(value), first, step, lambda a: F.greatest(a["best"], a["sum"]))
 
 
+#: Cells per unit of the logarithm, in which the scores beyond the threshold's bound are counted.
+CELLS = 10_000
+
+
 def threshold(tokens: DataFrame, rate: float, measured: float = 0.9, least: int = 100) -> float:
     """What a token's score must have beyond the logarithm of its length, from ordinary tokens with ``score``.
 
@@ -137,27 +153,45 @@ def threshold(tokens: DataFrame, rate: float, measured: float = 0.9, least: int
     corrects this for the fitted model; from there the tail is taken to fall
     like e^-x down to ``rate``, so some random strings among the tokens move it
     little.  With fewer than ``least`` tokens the bound itself holds.
+
+    The quantile is that of all tokens, whatever their number: they are counted
+    in cells of a ten-thousandth of their value, of which the driver gets those
+    above the bound, some ten thousands at most.
     """
-    n, beyond = tokens.agg(F.count(F.lit(1)), F.percentile(F.col("score") - F.log(F.length("value")), F.lit(measured))).first()
-    bound = -np.log(1 - measured)
-    return float(max(bound, beyond if n >= least else bound) + np.log((1 - measured) / rate))
+    bound = -float(np.log(1 - measured))
+    beyond = F.col("score") - F.log(F.length("value"))
+    cell = F.when(beyond > bound, F.ceil(F.log(beyond) * CELLS))  # null up to the bound
+    cells = sorted(((-1 << 62 if r["cell"] is None else r["cell"]), r["n"])
+                   for r in tokens.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total, above = sum(n for _, n in cells), bound
+    if total >= least:
+        below = 0
+        for c, n in cells:
+            below += n
+            if below >= measured * total:
+                above = bound if c == -1 << 62 else float(np.exp(c / CELLS))
+                break
+    return float(max(bound, above) + np.log((1 - measured) / rate))
+
+
+def _plain(text_col: str) -> Column:
+    """The text with a blank in the place of every pattern match; patterns are looked for where they may be."""
+    text = F.col(text_col)
+    low = F.lower(text)
+    named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
+    for pattern, possible in ((ASSIGN, named), (ACCESS, text.contains("AKIA")), (HEX, text.rlike(HEX))):
+        text = F.when(possible, F.regexp_replace(text, pattern, " ")).otherwise(text)
+    return text
 
 
-def fit(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, share: int, token_length: int,
-        false_rate: float) -> tuple[list[float], float]:
-    """Ratios and threshold, from the values of pattern spans and ``share`` millionths of the documents each."""
-    place = F.pmod(F.xxhash64(id_col), F.lit(1_000_000))
-    plain = F.col(text_col)
-    for pattern in (ASSIGN, ACCESS, HEX):
-        plain = F.regexp_replace(plain, pattern, " ")
-    ratios = log_ratios(base, docs.where(place < share).select(plain.alias("value")).where("value is not null"))
-    held_out = docs.where((place >= share) & (place < 2 * share)).select(
-        F.explode(F.regexp_extract_all(plain, F.lit(TOKEN % token_length), F.lit(0))).alias("value"))
-    return ratios, threshold(held_out.withColumn("score", best_stretch("value", ratios)), false_rate)
+def fit(docs: DataFrame, base: DataFrame, tokens: DataFrame, text_col: str, false_rate: float) -> tuple[list[float], float]:
+    """Ratios and threshold, from the values of all pattern spans, all texts and all ``tokens`` that overlap none."""
+    ratios = log_ratios(base, docs.select(_plain(text_col).alias("value")).where("value is not null"))
+    return ratios, threshold(tokens.withColumn("score", best_stretch("value", ratios)), false_rate)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, token_length: int = 12,
-                 false_rate: float = 1e-5, sample_documents: int = 2_000) -> DataFrame:
+                 false_rate: float = 1e-5) -> DataFrame:
     """One row per row of ``docs``: id, spans (array of start, kind, stop, in that order).
 
     Pattern spans are those of the leftmost matches that do not overlap within
@@ -165,9 +199,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``token_length`` characters ``[A-Za-z0-9+/_=-]`` that overlap no pattern
     span and whose best stretch reaches the threshold for their length, set for
     ``false_rate`` marked runs per ordinary one.  The ordinary class is learnt
-    from the whole texts of about ``sample_documents`` documents, chosen by a
-    hash of the id, and the threshold from the runs of as many others, without
-    their pattern matches (bounds on what is fitted; every text is scanned whole).  Null
+    from the whole texts of all documents without their pattern matches, and the
+    threshold from all runs that overlap no pattern span.  Null
     texts are empty; repeated rows and null ids are scanned like any other;
     texts and runs may be of any length; other columns are ignored; an empty
     table gives no rows.
@@ -178,19 +211,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for kind, least in LEAST.items():
         enough |= (F.col("kind") == KINDS.index(kind)) & (F.length("value") >= least)
     base = spans.where(enough)
-    total = found.where("kind = 0").count()
-    share = int(min(0.5, sample_documents / max(total, 1)) * 1_000_000)
-    ratios, beyond = fit(docs, base, id_col, text_col, share, token_length, false_rate)
     random = F.col("kind") == KINDS.index("random")
-    tokens = (spans.where(random).withColumn("score", best_stretch("value", ratios))
-              .where(F.col("score") >= F.log(F.length("value")) + beyond))
     everything = base.withColumn("base", F.lit(True)).unionByName(
-        tokens.drop("score").withColumn("base", F.lit(False)))
+        spans.where(random).withColumn("base", F.lit(False)))
     inside = Window.partitionBy("row").orderBy("start", "kind")
     before = F.max(F.when(F.col("base"), F.col("stop"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(F.col("base"), F.col("start"))).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    kept = everything.withColumns({"before": before, "after": after}).where(
-        "base or (coalesce(before, 0) <= start and coalesce(after, stop) >= stop)")
+    free = written(everything.withColumns({"before": before, "after": after}).where(
+        "base or (coalesce(before, 0) <= start and coalesce(after, stop) >= stop)").drop("before", "after"), "free")
+    tokens = free.where("not base")
+    ratios, beyond = fit(docs, base, tokens, text_col, false_rate)
+    marked = tokens.where(best_stretch("value", ratios) >= F.log(F.length("value")) + beyond)
+    kept = free.where("base").unionByName(marked)
     lists = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         F.col("start").cast("long").alias("start"), "kind", F.col("stop").cast("long").alias("stop")))).alias("spans"))
     return (found.where("kind = 0").select("row", "id").join(lists, "row", "left")
