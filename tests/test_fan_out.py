@@ -194,3 +194,30 @@ def test_staged_files_are_taken_in_order(spark, tmp_dir):
     spans = sorted((int(r["b"].rsplit("-", 1)[1]), r["lo"], r["hi"]) for r in spark.read.parquet(out).groupBy("batch_id").agg(
         F.min("id").alias("lo"), F.max("id").alias("hi")).withColumnRenamed("batch_id", "b").collect())
     assert len(spans) > 3 and all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_batch_of_one_file_is_decoded_by_all_cores(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "root")
+    rows = spark.createDataFrame([(i, _msg("x.log", {"text": f"t{i}"})) for i in range(400)], "seq bigint, body string").coalesce(1)
+    FO.FanOut(root, TABLES, list(ARRIVAL)).load_batch(rows, "one")
+    files = [f for f in os.listdir(f"{root}/tables/X.LOG/load_batch=one") if f.startswith("part-")]
+    assert len(files) == min(spark.sparkContext.defaultParallelism, 400)
+    assert FO.read_table(spark, root, TABLES["X.LOG"], ARRIVAL).count() == 400
+
+
+@pytest.mark.parametrize("hashes", [0, 1000])
+def test_many_keys_shuffle_only_stored_keys_of_their_own_hash(spark, tmp_dir, monkeypatch, hashes):
+    monkeypatch.setattr(FO, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(FO, "BROADCAST_HASHES", hashes)
+    out = FO.FanOut(os.path.join(tmp_dir, "root"), TABLES, list(ARRIVAL))
+
+    def batch(ids):
+        return spark.createDataFrame([(i, _msg("b", {"code": f"c{i}"})) for i in ids], "seq bigint, body string")
+
+    out.load_batch(batch(range(40)), "one")
+    out.load_batch(batch(range(30, 60)), "two")
+    assert _ledger(spark, out.root) == {("table", "APP.B"): (70, 60, 0, 10, 0)}
+    fresh = FO._read(spark, f"{out.root}/keys", FO.KEYS).where("load_batch = 'two'")
+    known = out._known_keys(spark, fresh, "three")
+    assert known.count() == 20
+    assert ("_short" in known._jdf.queryExecution().executedPlan().toString()) == (hashes > 0)
