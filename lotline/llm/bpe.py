@@ -126,7 +126,7 @@ class WordBpe:
                 # of equal merges the leftmost comes first
                 if rank is not None and rank < taken_a and rank <= taken_b:
                     fits = False
-        self.stable[token][before] = fits
+        self.stable.setdefault(token, {})[before] = fits
         self.known_stable += 1
         return fits
 
