@@ -7,10 +7,11 @@ hot equipment or route does not end up in a single task.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from lotline import frames
 from lotline.functions.calendar import hours_between, seconds_between, shop_day
@@ -32,18 +33,28 @@ def eqp_plan(track: DataFrame, keys: Sequence[str], ts: str = "TS", kind: str =
     visit may begin and end at one instant.  Whether a visit is open follows from
     the last instant with more arrivals than outs (open) or fewer (closed); as
     many of both leave it as it was.  An in at the instant of an arrival belongs
-    to the new visit.
+    to the new visit.  The events are shuffled once, by keys; keys with too many
+    events for one task are cut into slices.
     """
     k = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c == "EQP_ID" else F.col(c) for c in keys]
+    events = track.select(*k, F.col(ts).alias("_ts"), F.col(kind).alias("_k"))
+    small, large = frames.by_size(events, keys)
+    visits = _visits(small, keys, frames.running_within, track.schema[ts].dataType)
+    if large is not None:
+        visits = visits.unionByName(_visits(large, keys, frames.running_by_group, track.schema[ts].dataType))
+    return visits.select(F.lit(scenario).alias("SCENARIO_ID"), F.lit(version).alias("VERSION_NO"), *keys, "ARRIVAL_TS", "START_TS", "END_TS")
+
+
+def _visits(events: DataFrame, keys: Sequence[str], running: Callable[..., DataFrame], time: DataType) -> DataFrame:
+    """The visits of events (keys, _ts, _k); ``running`` takes the running values by keys."""
     count = lambda x: F.count_if(F.col("_k") == x)
-    at = track.select(*k, F.col(ts).alias("_ts"), F.col(kind).alias("_k")).groupBy(*keys, "_ts").agg(
-        count("arrive").alias("_a"), count("in").alias("_i"), count("out").alias("_o"))
+    at = events.groupBy(*keys, "_ts").agg(count("arrive").alias("_a"), count("in").alias("_i"), count("out").alias("_o"))
     turn = F.signum(F.col("_a") - F.col("_o"))
-    at = frames.running_by_group(at, keys, ["_ts"], {
+    at = running(at, keys, ["_ts"], {
         "_visit": ("sum", "_a"), "_last": ("max_before", F.when(turn != 0, F.struct("_ts", turn.alias("_turn"))))})
     both = F.coalesce(F.col("_last._turn") > 0, F.lit(False)) & (F.col("_a") > 0) & (F.col("_o") > 0)
     when = lambda c: F.when(c, F.col("_ts"))
-    none = F.lit(None).cast(track.schema[ts].dataType)
+    none = F.lit(None).cast(time)
     part = lambda visit, a, i, o: F.struct(visit.alias("_visit"), a.alias("_arrive"), i.alias("_in"), o.alias("_out"))
     visit = F.col("_visit")
     # arrivals of one instant beside the last open visits of their own
@@ -54,8 +65,7 @@ def eqp_plan(track: DataFrame, keys: Sequence[str], ts: str = "TS", kind: str =
         F.coalesce(earlier, F.array()))
     found = at.select(*keys, F.inline(parts))
     return found.groupBy(*keys, "_visit").agg(
-        F.min("_arrive").alias("ARRIVAL_TS"), F.min("_in").alias("START_TS"), F.max("_out").alias("END_TS")).select(
-        F.lit(scenario).alias("SCENARIO_ID"), F.lit(version).alias("VERSION_NO"), *keys, "ARRIVAL_TS", "START_TS", "END_TS")
+        F.min("_arrive").alias("ARRIVAL_TS"), F.min("_in").alias("START_TS"), F.max("_out").alias("END_TS"))
 
 
 def load_stat(intervals: DataFrame, eqp: str = "EQP_ID", start: str = "TS", end: str = "END_TS",
@@ -311,16 +321,32 @@ def fab_in_out(events: DataFrame, part: str = "PART_ID", day: str = "DAY") -> Da
     out of the part at the end of the period's last day with events; one running sum by day
     serves all levels.  GID tells the levels (``grouping_id`` of month, week, day).  A null
     part is a part; events without a day are left out.
+
+    Added up by part and day first, a part has no more rows than the calendar has days, so
+    windows of parts are bounded: one exchange by part serves the running sum and the sums
+    of all levels, and a period's row leaves with the period's last day.
     """
     nothing = F.lit(0).cast("decimal(20,4)")
     amount = lambda c: F.sum(F.coalesce(F.col(c).cast("decimal(20,4)"), nothing)).alias(c)
     daily = events.where(F.col(day).isNotNull()).groupBy(F.col(part).alias("PART_ID"), F.date_trunc("day", F.col(day)).cast("timestamp_ntz").alias("DAY")).agg(
         amount("IN_QTY"), amount("OUT_QTY"), amount("SCRAP_QTY"))
-    level = frames.running_by_group(daily, ["PART_ID"], ["DAY"], {"WIP": ("sum", F.col("IN_QTY") - F.col("OUT_QTY"))})
-    level = level.select("*", F.date_trunc("month", "DAY").cast("timestamp_ntz").alias("MONTH"),
-                         F.date_trunc("week", "DAY").cast("timestamp_ntz").alias("WEEK"), F.struct("DAY", "WIP").alias("_last"))
-    g = level.groupingSets([["PART_ID", "MONTH", "WEEK", "DAY"], ["PART_ID", "MONTH", "WEEK"], ["PART_ID", "MONTH"], ["PART_ID"]],
-                           "PART_ID", "MONTH", "WEEK", "DAY").agg(
-        F.sum("IN_QTY").alias("FABIN_QTY"), F.sum("OUT_QTY").alias("FABOUT_QTY"), F.sum("SCRAP_QTY").alias("SCRAP_QTY"),
-        F.max("_last")["WIP"].alias("WIP_QTY"), F.grouping_id().alias("GID"))
-    return g.select("PART_ID", "MONTH", "WEEK", "DAY", "FABIN_QTY", "FABOUT_QTY", "WIP_QTY", "SCRAP_QTY", "GID")
+    daily = daily.select("*", F.date_trunc("month", "DAY").cast("timestamp_ntz").alias("MONTH"),
+                         F.date_trunc("week", "DAY").cast("timestamp_ntz").alias("WEEK")).repartition("PART_ID")
+    # all in the order of part, month, week, day, so that the rows are sorted once
+    spans = {7: Window.partitionBy("PART_ID").orderBy("MONTH", "WEEK", "DAY"),
+             3: Window.partitionBy("PART_ID", "MONTH").orderBy("WEEK", "DAY"), 1: Window.partitionBy("PART_ID", "MONTH", "WEEK").orderBy("DAY")}
+    sums = ("IN_QTY", "OUT_QTY", "SCRAP_QTY")
+    running = [F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"_{c}{gid}") for gid, w in spans.items() for c in sums]
+    ends = [F.lead(F.lit(True)).over(w).isNull().alias(f"_end{gid}") for gid, w in spans.items()]
+    level = daily.select("*", *running, *ends)
+    none = F.lit(None).cast("timestamp_ntz")
+
+    def row(gid, month, week, day, of):
+        return F.struct(month.alias("MONTH"), week.alias("WEEK"), day.alias("DAY"), of[0].alias("FABIN_QTY"), of[1].alias("FABOUT_QTY"),
+                        (F.col("_IN_QTY7") - F.col("_OUT_QTY7")).alias("WIP_QTY"), of[2].alias("SCRAP_QTY"), F.lit(gid).cast("bigint").alias("GID"))
+
+    at = {0: ("MONTH", "WEEK", "DAY"), 1: ("MONTH", "WEEK"), 3: ("MONTH",), 7: ()}
+    rows = [F.when(F.col(f"_end{gid}") if gid else F.lit(True), row(
+        gid, *[F.col(c) if c in names else none for c in ("MONTH", "WEEK", "DAY")], [F.col(f"_{c}{gid}" if gid else c) for c in sums]))
+        for gid, names in at.items()]
+    return level.select("PART_ID", F.inline(F.array_compact(F.array(*rows))))

@@ -23,10 +23,8 @@ def _track(spark: SparkSession, d: str) -> DataFrame:
     keys = [F.col("EQP_ID"), F.col("LOT_ID"), F.col("PART_ID").alias("ROUTE_ID"), F.col("STEP_SEQ"),
             F.concat(F.lit("STEP"), F.col("STEP_SEQ").cast("string")).alias("STEP_ID")]
     arrive = F.timestamp_add("SECOND", F.round(F.col("WAIT_HOUR") * 3600).cast("int") * -1, F.col("START_TS"))
-    a = m.select(*keys, arrive.alias("TS"), F.lit("arrive").alias("KIND"))
-    i = m.select(*keys, F.col("START_TS").alias("TS"), F.lit("in").alias("KIND"))
-    o = m.select(*keys, F.col("END_TS").alias("TS"), F.lit("out").alias("KIND"))
-    return a.unionByName(i).unionByName(o)
+    event = lambda at, kind: F.struct(at.alias("TS"), F.lit(kind).alias("KIND"))
+    return m.select(*keys, F.inline(F.array(event(arrive, "arrive"), event(F.col("START_TS"), "in"), event(F.col("END_TS"), "out"))))
 
 
 @register("f1_eqp_plan", with_views("""
