@@ -51,8 +51,12 @@ def dedup_lifetime(df: DataFrame, key_cols: Sequence[str], arrival: Sequence[str
 
 
 def dedup_batch(df: DataFrame, key_cols: Sequence[str], arrival: Sequence[str], batch: str = "BATCH_ID",
-                key_name: str = "DEDUP_KEY") -> DataFrame:
-    """B2: first arrival wins inside each batch; the key set starts empty per batch."""
+                key_name: str = "DEDUP_KEY", partitions: int | None = None) -> DataFrame:
+    """B2: first arrival wins inside each batch; the key set starts empty per batch.
+
+    With ``partitions``, whole batches are dealt over that many tasks: for batches of bounded size.
+    """
+    df = df.repartition(partitions, batch) if partitions else df
     return dedup_lifetime(df, key_cols, arrival, key_name, group=[batch])
 
 
