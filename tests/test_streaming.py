@@ -53,3 +53,30 @@ def test_ttl_stream_fixture(spark, tmp_dir):
     kept = ttl_dedup_stream(stream, ["k"], "ts", "id", 10)
     LS.run_load(kept, out, ck)
     assert sorted((r.ts - t0).seconds for r in spark.read.parquet(out).collect()) == [1, 12, 30]
+
+
+def test_ttl_stream_calls_by_bucket_not_by_key(spark, tmp_dir, monkeypatch):
+    """State and calls are one per bucket of keys; null and large keys stay apart, over several micro-batches."""
+    import datetime as dt
+    import random
+
+    from lotline.streaming import ttl_dedup
+    monkeypatch.setattr(ttl_dedup, "BUCKETS", 16, raising=False)
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+    rnd, t0 = random.Random(11), dt.datetime(2024, 1, 1)
+    keys = [(i, k) for i in (None, 2**53, 2**53 + 1, *range(200)) for k in ("a", None)]
+    rows = [(i, *rnd.choice(keys), t0 + dt.timedelta(milliseconds=i * 10)) for i in range(6000)]
+    schema = "id long, k1 long, k2 string, ts timestamp_ntz"
+    for part in (rows[:2000], rows[2000:4000], rows[4000:]):
+        spark.createDataFrame(rnd.sample(part, len(part)), schema).coalesce(1).write.mode("append").parquet(src)
+    stream = LS.file_source(spark, src, spark.createDataFrame([], schema).schema, 1)
+    q = LS.run_load(ttl_dedup_stream(stream, ["k1", "k2"], "ts", "id", 10), out, ck)
+    last, want = {}, []
+    for i, k1, k2, t in rows:
+        if (k1, k2) not in last or (t - last[k1, k2]).total_seconds() > 10:
+            want.append((i, k1, k2, t))
+            last[k1, k2] = t
+    got = spark.read.parquet(out).drop("batch_id").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == want and len(want) < len(rows)
+    assert [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]] == [2000] * 3
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 16
