@@ -73,6 +73,34 @@ def test_threshold_join_prunes_and_loses_nothing():
     assert sum(len(v) for _, _, v in negatives.threshold_join(anchors, np.full(40, -np.inf), rows)) == 40 * 600
 
 
+def test_every_pair_of_blocks_meets_once_per_search(spark, monkeypatch):
+    """Windows that do not fill took a search per threshold before, up to seven in all."""
+    searches, search = [], negatives._search
+    monkeypatch.setattr(negatives, "_search", lambda *a: searches.append(a[3]) or search(*a))
+    rows = _rows(5, 60)
+    got = negatives.mine_negatives(_frame(spark, rows), F.col("id") % 5 == 0).collect()
+    assert sorted(map(tuple, got)) == _brute(rows) and searches == [True, False]
+
+
+def test_thresholds_rise_with_the_rows_found(monkeypatch):
+    rows = np.random.default_rng(6).integers(-100, 100, (5000, 32)).astype(np.int32)
+    join, looked = negatives.threshold_join, []
+
+    def counted(*args):
+        for found in join(*args):
+            looked.append(len(found[0]))
+            yield found
+
+    monkeypatch.setattr(negatives, "threshold_join", counted)
+    ids = np.arange(5000)
+    indexes = [x for p in (0, 2500) for _, x in negatives._slices(0, ids[p:p + 2500], rows[p:p + 2500], not p)]
+    w, found, score = negatives._best(ids[:20], rows[:20], np.arange(21), np.full(20, -np.inf), np.full(20, np.inf), indexes, 5)
+    scores = rows[:20].astype(np.int64) @ rows.T.astype(np.int64)
+    np.fill_diagonal(scores, -(1 << 40))
+    want = [(a, b, scores[a, b]) for a in range(20) for b in np.lexsort((ids, -scores[a]))[:5]]
+    assert list(zip(w, found, score)) == want and sum(looked) < 20 * 5000 / 10
+
+
 def test_exact_beyond_doubles():
     rows = np.full((3, 64), (1 << 24) - 1, np.int32)
     rows[1, 0] -= 1
