@@ -221,3 +221,27 @@ def test_many_keys_shuffle_only_stored_keys_of_their_own_hash(spark, tmp_dir, mo
     known = out._known_keys(spark, fresh, "three")
     assert known.count() == 20
     assert ("_short" in known._jdf.queryExecution().executedPlan().toString()) == (hashes > 0)
+
+
+def test_a_field_is_looked_up_and_typed_once(spark, tmp_dir, monkeypatch):
+    """Before, a key was picked and typed from the payload for its digest, and the row again behind the shuffle."""
+    typed = []
+    once = FO.load.load_table
+    monkeypatch.setattr(FO.load, "load_table", lambda rows, target, keep: typed.append(target.full_name) or once(rows, target, keep))
+    monkeypatch.setattr(FO.load, "pick", None)
+    rows = spark.createDataFrame([(i, _msg("b", {"code": f"c{i // 2}"})) for i in range(10)], "seq bigint, body string")
+    root = os.path.join(tmp_dir, "root")
+    FO.FanOut(root, TABLES, list(ARRIVAL)).load_batch(rows, "one")
+    assert _ledger(spark, root) == {("table", "APP.B"): (10, 5, 5, 0, 0)}
+    assert len(typed) == len(set(typed)) and "APP.B" in typed
+    assert sorted(r.seq for r in FO.read_table(spark, root, TABLES["APP.B"], ARRIVAL).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_projected_fields_are_the_picked_ones(spark):
+    bodies = [json.dumps({"Table": "b", "Payload": p}) for p in ({}, {"CODE": 1}, {"x": 2, "Code": "3", "code": None}, {"code": 4, "Code": [5]}, {"z": 6})]
+    rows = FO.load.decode_envelopes(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    target = TABLES["APP.B"]
+    want = rows.select("body", *[FO.load.pick(F.col("PAYLOAD"), c).alias(c) for c, _ in target.columns])
+    text = lambda df: sorted(map(tuple, df.select("body", *[F.to_json(F.col(c)).alias(c) for c, _ in target.columns]).collect()), key=str)
+    got = FO.load.project_raw(rows, target, keep=["body"])
+    assert text(got) == text(want)
