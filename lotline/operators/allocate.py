@@ -19,19 +19,28 @@ keep rounds, lists and pools small:
 
 A round reads one block of candidates per unplaced request.  Only loop counters
 reach the driver; each round is checkpointed.
+
+BFS forms (E4, E6) need rounds only for components too large for a task: the
+others are gathered whole and searched where they are (``traversal``).
 """
 from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lotline import frames, graph
+from lotline.operators import traversal
 
 R_UNKNOWN_START = "unknown start"
 #: Candidates that an unplaced request looks at in a round; parts of the lists that are kept apart.
 BLOCK, LISTS = 16, 8
+#: Rows (nodes, edges, and requests) of a component that is searched in one task; rows of a group of such components,
+#: and visits from a component's starts in one group.
+FITS, GROUP_ROWS, WORK = 250_000, 50_000, 2_000_000
 #: BFS levels that one job expands.
 LEVELS = 8
 _LOG = logging.getLogger("lotline.allocate")
@@ -145,12 +154,68 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _by_component(free: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Component of every node (NODE_ID, COMP), and per component its nodes, its rows (nodes and edges) and its free capacity ``_C``."""
+    comp = components(free.select("NODE_ID"), adj)
+    nodes = free.join(comp, "NODE_ID").groupBy("COMP").agg(F.count(F.lit(1)).alias("_nodes"), F.sum("FREE").alias("_C"))
+    edges = adj.join(comp, "NODE_ID").groupBy("COMP").agg(F.count(F.lit(1)).alias("_edges"))
+    sizes = nodes.join(edges, "COMP", "left").select("COMP", "_nodes", (F.col("_nodes") + F.coalesce("_edges", F.lit(0))).alias("_rows"), "_C")
+    return comp, frames.checkpoint(sizes)
+
+
+def _grouped(sizes: DataFrame, comp: DataFrame, free: DataFrame, adj: DataFrame, asks: DataFrame, key: str, work: Column):
+    """Rows of the components in ``sizes`` in groups of bounded work, whole components in each (see :mod:`traversal`).
+
+    A component of much ``work`` (a column of ``sizes``) is dealt to several
+    shards, which share the questions ``asks`` (NODE_ID, ``key``) and all have its graph.
+    """
+    sizes = sizes.select("COMP", "_rows", F.greatest(F.ceil(work / WORK), F.lit(1)).cast("int").alias("_shards"))
+    load = sizes.agg(F.sum(F.col("_rows") * F.col("_shards")), F.sum("_shards")).first()
+    groups = frames.tasks_for(max((load[0] or 0) // GROUP_ROWS, min(load[1] or 0, 1 << 16)), 1, 1)
+    least = int(free.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    comp = comp.join(sizes.drop("_rows"), "COMP")
+    every = F.explode(F.sequence(F.lit(0), F.col("_shards") - 1))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("_shards")).cast("int")
+    nodes = free.select("NODE_ID", "FREE").join(comp, "NODE_ID").select(
+        "COMP", every.alias("_shard"), F.lit(traversal.NODE).alias("_kind"), "NODE_ID", "FREE")
+    edges = adj.select("NODE_ID", "NBR", "EDGE_SEQ").join(comp, "NODE_ID").select(
+        "COMP", every.alias("_shard"), F.lit(traversal.EDGE).alias("_kind"), "NODE_ID", "NBR", "EDGE_SEQ")
+    asks = asks.join(comp, "NODE_ID").select("COMP", own("NODE_ID").alias("_shard"), F.lit(traversal.ASK).alias("_kind"),
+                                             *dict.fromkeys(["NODE_ID", key]))
+    rows = nodes.unionByName(edges, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True)
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("COMP", "_shard"), F.lit(max(groups, least))))
+    return rows.repartition(max(-(-groups // 8), least), "_group").groupBy("_group")
+
+
+def _applied(grouped, run, schema: str) -> DataFrame:
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return grouped.applyInArrow(lambda table: run(table, kinds), schema)
+
+
 def bfs_ranks(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
-    """BFS visiting order from every known start, whole (see :class:`Frontier`)."""
-    front = Frontier(starts, free, adj)
+    """BFS visiting order from every known start, whole.
+
+    Components that fit a task are searched in groups (see :mod:`traversal`),
+    from some of their starts in each; larger ones by :class:`Frontier`.
+    """
+    free = free.select("NODE_ID", "FREE").where(F.col("NODE_ID").isNotNull())
+    comp, sizes = _by_component(free, adj)
+    starts = starts.select("START_ID").distinct()
+    asked = comp.join(starts.withColumnRenamed("START_ID", "NODE_ID"), "NODE_ID").groupBy("COMP").agg(F.count(F.lit(1)).alias("_asks"))
+    sizes = frames.checkpoint(sizes.join(asked, "COMP"))
+    fits = F.col("_rows") <= FITS
+    grouped = _grouped(sizes.where(fits), comp, free, adj, starts.withColumnRenamed("START_ID", "NODE_ID"), "NODE_ID",
+                       F.col("_asks") * F.col("_nodes"))
+    kind = dict(free.dtypes)
+    out = _applied(grouped, traversal.ranked, f"START_ID {kind['NODE_ID']}, NODE_ID {kind['NODE_ID']}, RANK bigint, LEVEL int, "
+                                              f"FREE {kind['FREE']}, CUM_FREE bigint")
+    large = sizes.where(~fits)
+    if large.isEmpty():
+        return out
+    front = Frontier(starts.join(comp.join(large, "COMP", "left_semi").select(F.col("NODE_ID").alias("START_ID")), "START_ID", "left_semi"), free, adj)
     while front.expand() is not None:
         _log(f"bfs: level {LEVELS * (len(front.levels) - 1)}")
-    return _union(front.levels)
+    return out.unionByName(_union(front.levels))
 
 
 def one_hop_candidates(starts: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
@@ -244,14 +309,35 @@ def allocate_bfs(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFr
     """Each request (REQ_NO, START_ID) in order takes a slot at its first BFS-ranked node with room.
 
     Unknown starts and requests beyond their component's free capacity get NULL.
+    Components that fit a task with the requests they serve are run one request
+    after the other (see :mod:`traversal`), many components side by side; larger
+    ones in rounds.
+    """
+    free = free.select("NODE_ID", "FREE").where(F.col("NODE_ID").isNotNull())
+    comp, sizes = _by_component(free, adj)
+    r = requests.join(comp.withColumnRenamed("NODE_ID", "START_ID"), "START_ID")
+    r = frames.row_number_by(r, ["COMP"], ["REQ_NO"], "_pos").join(sizes.select("COMP", "_C"), "COMP").where(F.col("_pos") <= F.col("_C"))
+    r = frames.checkpoint(r.select("REQ_NO", "START_ID", "COMP"))
+    sizes = frames.checkpoint(sizes.join(r.groupBy("COMP").agg(F.count(F.lit(1)).alias("_asks")), "COMP"))
+    fits = F.col("_rows") + F.col("_asks") <= FITS
+    asks = r.join(sizes.where(fits), "COMP", "left_semi").select("REQ_NO", F.col("START_ID").alias("NODE_ID"))
+    # one request follows the other, so a component is not dealt to shards
+    grouped = _grouped(sizes.where(fits), comp, free, adj, asks, "REQ_NO", F.lit(0))
+    kind = dict(free.dtypes)["NODE_ID"]
+    got = _applied(grouped, traversal.placed, f"REQ_NO {dict(r.dtypes)['REQ_NO']}, NODE_ID {kind}")
+    large = sizes.where(~fits)
+    if not large.isEmpty():
+        got = got.unionByName(_allocate_in_rounds(r.join(large, "COMP", "left_semi").select("REQ_NO", "START_ID"), free, adj))
+    return requests.select("REQ_NO", "START_ID").join(got, "REQ_NO", "left")
+
+
+def _allocate_in_rounds(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
+    """Places (REQ_NO, NODE_ID) of requests that their components serve, by deferred acceptance.
+
     A start's list is expanded until it has room for its own requests, and
     further, level by level, only while one of them is without a place.
     """
-    comp = components(free.select("NODE_ID"), adj)
-    cap = free.join(comp, "NODE_ID").groupBy("COMP").agg(F.sum("FREE").alias("_C"))
-    r = requests.join(comp.withColumnRenamed("NODE_ID", "START_ID"), "START_ID")
-    r = frames.row_number_by(r, ["COMP"], ["REQ_NO"], "_pos").join(cap, "COMP").where(F.col("_pos") <= F.col("_C"))
-    served = frames.checkpoint(frames.row_number_by(r.select("REQ_NO", "START_ID"), ["START_ID"], ["REQ_NO"], "_k"))
+    served = frames.checkpoint(frames.row_number_by(requests, ["START_ID"], ["REQ_NO"], "_k"))
     need = frames.checkpoint(served.groupBy("START_ID").agg(F.max("_k").alias("NEED")))
     front = Frontier(need, free, adj)
     while True:
@@ -260,8 +346,7 @@ def allocate_bfs(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFr
         if short.isEmpty() or front.expand(short) is None:
             break
     cand = _union(front.levels)
-    got = _placed(_first_places(served, cand, need), cand, free, front.expand)
-    return requests.select("REQ_NO", "START_ID").join(got, "REQ_NO", "left")
+    return _placed(_first_places(served, cand, need), cand, free, front.expand)
 
 
 def allocate_one_hop(requests: DataFrame, free: DataFrame, adj: DataFrame) -> DataFrame:
